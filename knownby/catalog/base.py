@@ -17,10 +17,10 @@ from knownby.session import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, Callable[[], str]] = {}
 
 
-def register(name: str, sql: str | None = None, digits: int = 6) -> Callable[[Query], Query]:
+def register(name: str, sql: Callable[[], str] | None = None, digits: int = 6) -> Callable[[Query], Query]:
     def wrap(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return present(fn(prepare(spark), sf_dir), digits)
@@ -59,9 +59,14 @@ def cte(name: str, body: str, uses: Sequence[str] = ()) -> None:
     CTES[name] = (uses, body.strip())
 
 
-def oracle(body: str, uses: str = "", floats: str = "", dates: str = "", stamps: str = "",
-           digits: int = 6) -> str:
-    """SQL text: the needed proxies, the body, and the same presentation as ``present``."""
+def oracle(*args, **kwargs) -> Callable[[], str]:
+    """SQL text built on demand, once every proxy is defined."""
+    return lambda: sql_text(*args, **kwargs)
+
+
+def sql_text(body: str, uses: str = "", floats: str = "", dates: str = "", stamps: str = "",
+             digits: int = 6) -> str:
+    """The needed proxies, the body, and the same presentation as ``present``."""
     order: list[str] = []
 
     def visit(name: str) -> None:

@@ -259,7 +259,7 @@ def _(spark, sf):
     stored = rows.where("status = 'F'").drop("status")
     shift = lambda n: F.col("valid_from") + F.expr(f"interval {n} days")
     incoming = rows.where("status <> 'F'").select("security_id", shift(3).alias("valid_from"), shift(40).alias("valid_to"), "order_key")
-    kept, rejected = iv.insert_intervals(stored, incoming, keys=["security_id"], tie_break=["order_key"])
+    kept, rejected = iv.insert_intervals(stored, incoming, keys=["security_id"], tie_break=["order_key"], payload=["order_key"])
     return kept.withColumn("rejected", F.lit(False)).unionByName(rejected.withColumn("rejected", F.lit(True))).select("security_id", "valid_from", "rejected")
 
 
@@ -279,7 +279,7 @@ def _(spark, sf):
     f"""SELECT portfolio_name, as_of, security_id, weight FROM (SELECT c_mktsegment AS portfolio_name, o_orderdate AS as_of, max(o_orderkey) AS snapshot_id
          FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderdate <= {WEEK_AT} GROUP BY 1, 2
          QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_orderdate DESC) = 1)
-        JOIN (SELECT l_orderkey AS snapshot_id, l_partkey AS security_id, sum(CAST(l_discount AS DECIMAL(18,4))) AS weight FROM lineitem GROUP BY 1, 2) USING (snapshot_id)""",
+        JOIN (SELECT l_orderkey AS snapshot_id, l_partkey AS security_id, CAST(sum(CAST(l_discount AS DECIMAL(18,4))) AS DOUBLE) AS weight FROM lineitem GROUP BY 1, 2) USING (snapshot_id)""",
     "", "weight", stamps="as_of"))
 def _(spark, sf):
     orders, customers = table(spark, sf, "orders"), table(spark, sf, "customer")

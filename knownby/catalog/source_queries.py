@@ -205,7 +205,7 @@ def _(spark, sf):
 
 @register("a14_bar_contract", oracle(
     """SELECT event_id, concat_ws(',', CASE WHEN available_at > ingested_at THEN 'available_after_ingested' END, CASE WHEN volume < 0 THEN 'negative_volume' END,
-       CASE WHEN low > least(open, close, high) THEN 'low_above_others' END) AS violations
+       CASE WHEN high < greatest(open, close, low) THEN 'high_below_others' END, CASE WHEN low > least(open, close, high) THEN 'low_above_others' END) AS violations
        FROM (SELECT *, date_trunc('day', available_at) + INTERVAL 12 HOUR AS ingested_at FROM raw_bars)""", "raw_bars"))
 def _(spark, sf):
     rows = raw_bars(spark, sf).withColumn("effective_at", F.col("available_at")).withColumn(
