@@ -6,6 +6,7 @@ from knownby.catalog.base import ORACLES, QUERIES
 
 GROUPS = (
     "series_queries", "pit_queries", "source_queries", "panel_queries", "domain_queries", "inference_queries",
+    "research_queries", "stream_queries",
 )
 
 for _name in GROUPS:

@@ -78,7 +78,7 @@ def sql_text(body: str, uses: str = "", floats: str = "", dates: str = "", stamp
     for name in uses.split():
         visit(name)
     parts = [f"{n} AS ({CTES[n][1]})" for n in order] + [f"result_rows AS ({body.strip()})"]
-    shown = [f"round({c}, {digits}) + 0.0 AS {c}" for c in floats.split()]
+    shown = [f"round(CAST({c} AS DOUBLE), {digits}) + 0.0 AS {c}" for c in floats.split()]
     shown += [f"CAST({c} AS VARCHAR) AS {c}" for c in dates.split()]
     shown += [f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f') AS {c}" for c in stamps.split()]
     replace = f" REPLACE ({', '.join(shown)})" if shown else ""

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from knownby.functions.numeric import deviation, finite, ratio
 from knownby.functions.student_t import t_critical, t_p_value
+from knownby.session import materialize
 from knownby.operators.scale import (
     attach, exact_quantiles, magnitude_bucket, running_fold, running_position, value_positions,
 )
@@ -136,6 +137,8 @@ def mean_test_hac(df: DataFrame, *, keys: Sequence[str], value: str, order: Sequ
     rows = df.where(x.isNotNull()).select(*keys, *order, x.alias("__x"))
     rows = attach(rows, moments.select(*keys, "observations", "estimate", "__lags"), keys, "inner")
     rows = rows.withColumn("__e", F.col("__x") - F.col("estimate"))
+    if bucket is not None:
+        rows = materialize(rows)
     placed = _ordered(rows, keys, order, bucket, F.col("__e"), position="__i", prefix="__p").select(
         *keys, "observations", "__lags", "__i", "__p"
     )
@@ -143,6 +146,7 @@ def mean_test_hac(df: DataFrame, *, keys: Sequence[str], value: str, order: Sequ
         w = Window.partitionBy(*keys).orderBy("__i")
         paired = placed.withColumn("__back", F.lag("__p", max_lags + 1).over(w))
     else:
+        placed = materialize(placed)
         back = placed.select(
             *keys, (F.col("__i") + F.col("__lags") + 1).alias("__i"), F.col("__p").alias("__back")
         )
@@ -205,6 +209,7 @@ def block_bootstrap_mean(df: DataFrame, *, keys: Sequence[str], value: str, orde
     usable = totals.where(n >= minimum_observations).withColumn("__b", used).withColumn(
         "__blocks", blocks
     ).withColumn("__short", n - (F.col("__blocks") - 1) * F.col("__b"))
+    placed, usable = materialize(placed), materialize(usable)
     series = attach(placed, usable, keys, "inner")
 
     def stop_sum(length: str, name: str, frame: DataFrame) -> DataFrame:
@@ -274,7 +279,7 @@ def benjamini_hochberg(df: DataFrame, *, keys: Sequence[str] = (), p_value: str
             F.raise_error(F.lit("p-values must lie between zero and one")).cast("double")
         ),
     )
-    places = value_positions(checked, keys=keys, value="__p")
+    places = materialize(value_positions(checked, keys=keys, value="__p"))
     stepped = running_fold(
         places, keys=keys, order=[F.col("value").desc()], bucket=-magnitude_bucket(F.col("value")),
         value=F.col("value") * F.col("n") / F.col("last"), kind="min", name="__adjusted",
@@ -309,6 +314,7 @@ def bucket_summary(df: DataFrame, buckets: DataFrame, *, keys: Sequence[str], bu
                    alpha: float, with_inference: bool = True) -> DataFrame:
     """Descriptive statistics, HAC test and FDR per (key, bucket), listing empty buckets too."""
     cell = [*keys, bucket]
+    df = materialize(df)
     stats = descriptive_statistics(df, keys=cell, value=value)
     tests = mean_test_hac(df, keys=cell, value=value, order=order, max_lags=max_lags,
                           minimum_observations=minimum_observations, with_inference=with_inference)
@@ -320,6 +326,8 @@ def bucket_summary(df: DataFrame, buckets: DataFrame, *, keys: Sequence[str], bu
         "valid", F.coalesce("valid", F.lit(False))
     ).withColumn("warning", F.when(F.col("valid"), F.lit(None)).otherwise(
         F.coalesce("warning", F.lit("insufficient_observations"))))
+    if with_inference:
+        table = materialize(table)
     table = table.withColumnsRenamed(
         {"mean": "mean_return", "median": "median_return", "standard_deviation": "sample_std",
          "valid": "test_valid", "warning": "test_warning"}

@@ -13,7 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knownby.functions.numeric import clip, dispersed, finite, ratio
-from knownby.operators.scale import attach, average_rank, exact_quantiles, group_moments
+from knownby.operators.scale import (
+    attach, average_rank, exact_quantiles, group_moments, value_positions,
+)
+from knownby.session import materialize
 
 
 def winsorize(df: DataFrame, *, keys: Sequence[str], value: str, lower: float = 0.01,
@@ -55,9 +58,19 @@ def percentile_rank(df: DataFrame, *, keys: Sequence[str], value: str,
 def normalize_factor(df: DataFrame, *, keys: Sequence[str], value: str, groups: str | None = None,
                      lower: float = 0.01, upper: float = 0.99, ddof: int = 0,
                      minimum: int = 5) -> DataFrame:
-    """Adds raw, winsorized, zscore and percentile columns for one factor."""
-    work = df.withColumn("raw", finite(value))
-    work = winsorize(work, keys=keys, value="raw", lower=lower, upper=upper, minimum=minimum)
-    work = cross_sectional_zscore(work, keys=keys, value="winsorized", groups=groups, ddof=ddof,
-                                  minimum=minimum)
-    return percentile_rank(work, keys=keys, value="winsorized")
+    """Adds raw, winsorized, zscore and percentile columns for one factor.
+
+    Each step derives group facts from its input and joins them back; storing
+    the input and the winsorized values keeps those reads from multiplying.
+    """
+    base = materialize(df.withColumn("raw", finite(value)))
+    clipped = materialize(
+        winsorize(base, keys=keys, value="raw", lower=lower, upper=upper, minimum=minimum)
+    )
+    scored = cross_sectional_zscore(clipped, keys=keys, value="winsorized", groups=groups, ddof=ddof,
+                                    minimum=minimum)
+    ranks = value_positions(clipped, keys=keys, value="winsorized").select(
+        *keys, F.col("value").alias("winsorized"),
+        ratio((F.col("first") + F.col("last")) / F.lit(2.0), "n").alias("percentile"),
+    )
+    return attach(scored, ranks, [*keys, "winsorized"])

@@ -17,6 +17,7 @@ from knownby.functions.numeric import dispersed, finite, ratio
 from knownby.operators.pit import Instant, assert_available_by_decision, instant, require_columns, utc
 from knownby.operators.scale import attach, average_rank
 from knownby.operators.series import drawdown_path
+from knownby.session import materialize
 
 
 @dataclass(frozen=True)
@@ -156,13 +157,17 @@ def evaluate_portfolio(panel: DataFrame, returns: DataFrame, spec: PortfolioSpec
         (F.col("feature_name") == spec.feature_name) & (F.col("decision_at") >= start)
         & (F.col("decision_at") <= end) & F.col("available_at").isNotNull() & finite("value").isNotNull()
     )
-    legs = quantile_legs(
-        rebalance_decisions(rows, spec.rebalance), quantiles=spec.quantiles, direction=spec.direction,
-        minimum_names=spec.minimum_names,
+    # One feature's decisions, then the legs: each is read several times below.
+    decisions = materialize(rows.select("decision_at", "security_id", "value"))
+    legs = materialize(
+        quantile_legs(
+            rebalance_decisions(decisions, spec.rebalance), quantiles=spec.quantiles,
+            direction=spec.direction, minimum_names=spec.minimum_names,
+        )
     )
     weights = target_weights(legs)
     bounded = returns.where((F.col("session") >= start) & (F.col("session") <= end))
-    calendar = executable_calendar(bounded, weights)
+    calendar = materialize(executable_calendar(bounded, weights))
     result = linear_cost(
         portfolio_turnover(portfolio_returns(calendar, weights, bounded), weights), spec.transaction_cost_bps
     )

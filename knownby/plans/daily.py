@@ -18,6 +18,7 @@ from knownby.operators.intervals import active_coverage_members, benchmark_as_of
 from knownby.operators.pit import Instant, instant, latest_by, utc
 from knownby.operators.research import Materiality, build_cards, build_price_findings, price_bar_evidence
 from knownby.operators.scale import attach
+from knownby.session import materialize
 from knownby.operators.series import (
     abnormal_returns, relative_return, rolling_beta, rolling_total_return, rolling_volatility,
     simple_returns, volume_zscore,
@@ -196,8 +197,11 @@ def daily_research(request: DailyRequest, *, members: DataFrame, mappings: DataF
         (F.col("effective_at") >= start) & (F.col("effective_at") <= instant(as_of))
         & (F.col("available_at") <= instant(request.data_cutoff_at)) & (F.col("source") == request.source)
     ).join(wanted, "security_id", "left_semi")
-    history = latest_by(known, keys=["security_id", "frequency", "source", "effective_at"],
-                        order=["available_at", "source_record_id"])
+    # Selected once, then read by the series, the lineage and the evidence below.
+    history = materialize(
+        latest_by(known, keys=["security_id", "frequency", "source", "effective_at"],
+                  order=["available_at", "source_record_id"])
+    )
 
     # The run identity lists its distinct ingestion batches (one per load, not per bar).
     batches = history.agg(
@@ -263,6 +267,8 @@ def daily_research(request: DailyRequest, *, members: DataFrame, mappings: DataF
         held = weights.select("security_id", F.col("weight").cast("double").alias("position_weight"))
         snapshots = attach(snapshots, held, ["security_id"])
 
+    # One row per member feeds features, findings and cards.
+    snapshots = materialize(snapshots)
     features = long_features(snapshots).withColumn(
         "feature_snapshot_id",
         research_id("feature", F.concat_ws(":", "research_run_id", F.col("security_id").cast("string"), "feature_name")),

@@ -20,7 +20,7 @@ from knownby.sources.bars import batch_status, batch_violations
 def close_workflow(*, coverage_lists: DataFrame, members: DataFrame, mappings: DataFrame, bars: DataFrame,
                    snapshots: DataFrame, positions: DataFrame, source: str, data_cutoff_at: Instant,
                    coverage_list_id: str | None = None, as_of: Instant | None = None,
-                   materiality: Materiality | None = None) -> DailyRun:
+                   lookback_days: int = 550, materiality: Materiality | None = None) -> DailyRun:
     """Daily run over the newest coverage list, the newest bar instant and the newest weights.
 
     Two single-row lookups fix the request before the plan is built.
@@ -41,7 +41,7 @@ def close_workflow(*, coverage_lists: DataFrame, members: DataFrame, mappings: D
     everything = latest_portfolio_weights(
         snapshots.withColumn("portfolio_name", F.lit("latest")), positions, as_of=as_of
     )
-    request = DailyRequest(coverage_list_id, as_of, data_cutoff_at, source)
+    request = DailyRequest(coverage_list_id, as_of, data_cutoff_at, source, lookback_days=lookback_days)
     return daily_research(request, members=members, mappings=mappings, bars=bars,
                           weights=everything.select("security_id", "weight"), materiality=materiality)
 

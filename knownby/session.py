@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # AQE re-plans joins from measured sizes (broadcast only under the threshold) and
 # splits skewed shuffle partitions; no operator forces a broadcast by hint.
@@ -50,3 +51,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
     return configured
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate once to the shared folder and read it back.
+
+    Used where a plan reads the same expensive intermediate several times: the
+    lineage is cut, a lost executor re-reads files instead of recomputing the
+    upstream, and later scans prune columns and know their size.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/intermediate-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
