@@ -128,23 +128,22 @@ SELECT *, close / nullif(lag(close) OVER (PARTITION BY security_id ORDER BY sess
 FROM bars_daily""", ["bars_daily"])
 
 
-def _sums() -> list:
-    return [
-        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("amount"),
-        F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("units"),
-    ]
-
-
 def weekly_sums(spark: SparkSession, sf: str) -> DataFrame:
-    """Traded amount and units per supplier and week; decimals keep sums order-free."""
-    return table(spark, sf, "lineitem").groupBy(
-        F.col("l_suppkey").alias("security_id"), F.to_date(F.date_trunc("week", "l_shipdate")).alias("session_date")
-    ).agg(*_sums())
+    """Traded amount and units per supplier and week, in whole hundredths.
+
+    Integer sums do not depend on the order of addition; the week is truncated on
+    dates, which needs no time-zone arithmetic per row.
+    """
+    hundredths = lambda c: F.sum(F.round(F.col(c) * 100).cast("bigint"))
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    return lines.groupBy(
+        F.col("l_suppkey").alias("security_id"), F.trunc(F.col("l_shipdate").cast("date"), "week").alias("session_date")
+    ).agg(hundredths("l_extendedprice").alias("amount"), hundredths("l_quantity").alias("units"))
 
 
 cte("weekly_sums", """
 SELECT l_suppkey AS security_id, CAST(date_trunc('week', l_shipdate) AS DATE) AS session_date,
-       sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS amount, sum(CAST(l_quantity AS DECIMAL(18,2))) AS units
+       sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS amount, sum(CAST(round(l_quantity * 100) AS BIGINT)) AS units
 FROM lineitem GROUP BY 1, 2""")
 
 
@@ -152,7 +151,7 @@ def _priced(df: DataFrame) -> DataFrame:
     return df.select(
         *[c for c in df.columns if c not in ("amount", "units")],
         F.try_divide(F.col("amount").cast("double"), F.col("units").cast("double")).alias("close"),
-        F.col("units").cast("double").alias("volume"),
+        (F.col("units") / F.lit(100.0)).alias("volume"),
     )
 
 
@@ -162,7 +161,7 @@ def bars_weekly(spark: SparkSession, sf: str) -> DataFrame:
 
 cte("bars_weekly", """
 SELECT security_id, session_date, CAST(amount AS DOUBLE) / nullif(CAST(units AS DOUBLE), 0) AS close,
-       CAST(units AS DOUBLE) AS volume FROM weekly_sums""", ["weekly_sums"])
+       units / 100.0 AS volume FROM weekly_sums""", ["weekly_sums"])
 
 
 def supplier_regions(spark: SparkSession, sf: str) -> DataFrame:

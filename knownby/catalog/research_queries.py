@@ -29,7 +29,7 @@ def instruments(spark, sf):
         "security_id", "session_date", F.lit("1d").alias("frequency"), at.alias("effective_at"),
         (at + F.expr("interval 6 hours")).alias("available_at"), (at + F.expr("interval 12 hours")).alias("ingested_at"),
         F.try_divide(F.col("amount").cast("double"), F.col("units").cast("double")).alias("close"),
-        F.lit(None).cast("double").alias("adjusted_close"), F.col("units").cast("double").alias("volume"), F.lit("fixture").alias("source"),
+        F.lit(None).cast("double").alias("adjusted_close"), (F.col("units") / F.lit(100.0)).alias("volume"), F.lit("fixture").alias("source"),
         F.concat_ws(":", "security_id", F.col("session_date").cast("string")).alias("source_record_id"),
         F.date_format("session_date", "'batch-'yyyy").alias("ingestion_batch_id"))
 

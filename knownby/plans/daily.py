@@ -49,6 +49,12 @@ class DailyRequest:
     config_version: str = "equity-mvp-v0"
     lookback_days: int = 550
 
+    def __post_init__(self) -> None:
+        if utc(self.as_of) > utc(self.data_cutoff_at):
+            raise ValueError("as_of cannot be later than data_cutoff_at")
+        if self.lookback_days < 370:
+            raise ValueError("lookback_days must be at least 370")
+
     @property
     def clock(self) -> Instant:
         """Calculation time: never before the data cutoff."""
