@@ -29,7 +29,7 @@ def price_violations(df: DataFrame) -> Column:
     o, h, l, c = (finite(x) for x in ("open", "high", "low", "close"))
     out_of_range = (h < F.greatest(o, l, c)) | (l > F.least(o, h, c))
     rules = [
-        (F.to_date("session_date").isNull(), "invalid_session_date"),
+        (F.col("session_date").try_cast("date").isNull(), "invalid_session_date"),
         (bad_number, "missing_or_non_finite_value"),
         (not_positive, "non_positive_price"),
         (finite("volume") < 0, "negative_volume"),
@@ -49,7 +49,7 @@ def normalize_prices(df: DataFrame, *, keys: Sequence[str] = ("security_id",),
     marked = df.withColumn("violations", price_violations(df))
     rejected = marked.where(F.size("violations") > 0)
     good = marked.where(F.size("violations") == 0).drop("violations").withColumn(
-        "session_date", F.to_date("session_date")
+        "session_date", F.col("session_date").try_cast("date")
     )
     numbers = {c: finite(c) for c in ("open", "high", "low", "close", "volume")}
     adjusted = finite("adjusted_close") if "adjusted_close" in df.columns else finite("close")
@@ -74,7 +74,7 @@ def price_quality_report(raw: DataFrame, normalized: DataFrame, *, keys: Sequenc
         # so no session list is expanded per security.
         from pyspark.sql import Window
 
-        days = calendar.select(F.to_date("session_date").alias("session_date")).distinct()
+        days = calendar.select(F.col("session_date").try_cast("date").alias("session_date")).distinct()
         ranked = days.withColumn("__pos", F.row_number().over(Window.orderBy("session_date")))
         on_calendar = normalized.join(ranked, "session_date").groupBy(*keys).agg(
             F.count_distinct("session_date").alias("__seen"), F.min("__pos").alias("__first"),

@@ -27,7 +27,7 @@ def series(spark, columns, key="a"):
 
     names = list(columns)
     rows = [
-        (key, date(2024, 1, 1) + timedelta(days=i), *values)
+        (key, date(2024, 1, 1) + timedelta(days=i), *[None if v is None else float(v) for v in values])
         for i, values in enumerate(zip(*[columns[n] for n in names]))
     ]
     fields = "security_id string, session_date date, " + ", ".join(f"{n} double" for n in names)
