@@ -128,14 +128,16 @@ def _(spark, sf):
     return out.select("event_id", "response_session", *WINDOWS, "overnight_gap", "volume_zscore", "eps_surprise")
 
 
-cte("releases", "SELECT event_type AS series_id, ts AS release_at, value, 25.0 AS consensus FROM events")
+cte("releases", "SELECT event_type AS series_id, date_trunc('hour', ts) AS release_at, avg(value) AS value, 25.0 AS consensus FROM events GROUP BY 1, 2")
 
 
 @register("f10_f11_macro_surprise", oracle(
     f"""SELECT series_id, release_at, sp AS surprise, {zscore_sql('sp', 24, 12).replace('security_id', 'series_id').replace('session_date', 'release_at')} AS standardized_surprise
         FROM (SELECT *, value - consensus AS sp FROM releases)""", "releases", "surprise standardized_surprise", stamps="release_at"))
 def _(spark, sf):
-    rows = table(spark, sf, "events").select(F.col("event_type").alias("series_id"), F.col("ts").alias("release_at"), events.macro_surprise(F.col("value"), F.lit(25.0)).alias("surprise"))
+    # One release per series and hour: the series grows with the calendar, not with the events.
+    hourly = table(spark, sf, "events").groupBy(F.col("event_type").alias("series_id"), F.date_trunc("hour", "ts").alias("release_at")).agg(F.avg("value").alias("actual"))
+    rows = hourly.select("series_id", "release_at", events.macro_surprise(F.col("actual"), F.lit(25.0)).alias("surprise"))
     return series.rolling_standardized_surprise(rows, keys=["series_id"], order="release_at", value="surprise")
 
 

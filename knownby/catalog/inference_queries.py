@@ -74,7 +74,7 @@ def _(spark, sf):
 def _(spark, sf):
     rows = table(spark, sf, "events").select("event_type", "value", "ts", "event_id")
     out = inference.mean_test_hac(rows, keys=["event_type"], value="value", order=["ts", "event_id"], max_lags=12,
-                                  bucket=F.unix_seconds("ts") / F.lit(3600), with_inference=False)
+                                  bucket=F.unix_seconds("ts") / F.lit(60), with_inference=False)
     return out.select("event_type", "observations", "estimate", "standard_error")
 
 

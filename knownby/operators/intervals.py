@@ -107,13 +107,17 @@ def resolve(references: DataFrame, identifiers: DataFrame, *, as_of: Column | In
     return references.join(answers, on, "left").drop(*[f"__r_{c}" for c in names])
 
 
+def _hour(at: Column) -> Column:
+    return F.floor(F.unix_seconds(at.cast("timestamp")) / F.lit(3600))
+
+
 def overlapping_intervals(
     intervals: DataFrame, *, keys: Sequence[str], tie_break: Sequence[str],
     start: str = "valid_from", end: str = "valid_to",
 ) -> DataFrame:
     """Intervals that start before an earlier interval of the same key has ended.
 
-    A running maximum of the ends, carried over monthly buckets, replaces the
+    A running maximum of the ends, carried over hourly buckets, replaces the
     pairwise comparison; an exact repeat of an interval is a retry, not an overlap.
     """
     distinct = intervals.dropDuplicates([*keys, start, end])
@@ -122,7 +126,7 @@ def overlapping_intervals(
         distinct,
         keys=keys,
         order=[start, *tie_break],
-        bucket=F.trunc(F.col(start).cast("date"), "month"),
+        bucket=_hour(F.col(start)),
         value=F.coalesce(F.col(end).cast("timestamp"), far),
         kind="max",
         name="__reach",
@@ -149,17 +153,17 @@ def insert_intervals(
         fresh.select(*columns, F.lit(1).alias("__new"))
     )
     far = F.lit("9999-01-01").cast("timestamp")
-    month = F.trunc(F.col("valid_from").cast("date"), "month")
-    ordered = dict(keys=keys, bucket=month, name="__reach", inclusive=False)
+    hour = _hour(F.col("valid_from"))
     swept = running_fold(
-        marked, order=["valid_from", *tie_break], value=F.coalesce("valid_to", far), kind="max", **ordered
-    ).withColumnRenamed("__reach", "__before")
+        marked, keys=keys, order=["valid_from", *tie_break], bucket=hour, value=F.coalesce("valid_to", far),
+        kind="max", name="__before", inclusive=False,
+    )
     # Looking backward from the far end finds a later-starting neighbour.
     swept = running_fold(
         swept,
         keys=keys,
         order=[F.col("valid_from").desc(), *[F.col(c).desc() for c in tie_break]],
-        bucket=-F.datediff(month, F.lit("1900-01-01").cast("date")),
+        bucket=-hour,
         value=F.col("valid_from"),
         kind="min",
         name="__after",

@@ -22,6 +22,11 @@ from knownby.session import materialize
 def winsorize(df: DataFrame, *, keys: Sequence[str], value: str, lower: float = 0.01,
               upper: float = 0.99, minimum: int = 5, name: str = "winsorized") -> DataFrame:
     """Clip to linear quantiles of the group; thin groups give null, missing stays missing."""
+    return _winsorize(materialize(df), keys, value, lower, upper, minimum, name)
+
+
+def _winsorize(df, keys, value, lower, upper, minimum, name) -> DataFrame:
+    """``winsorize`` of a stored input, which is read for counts, quantiles and rows."""
     if not 0.0 <= lower < upper <= 1.0 or minimum < 1:
         raise ValueError("winsorization bounds or minimum are out of range")
     bounds = exact_quantiles(df, keys=keys, value=value, quantiles={"__lo": lower, "__hi": upper})
@@ -51,7 +56,7 @@ def cross_sectional_zscore(df: DataFrame, *, keys: Sequence[str], value: str,
 def percentile_rank(df: DataFrame, *, keys: Sequence[str], value: str,
                     name: str = "percentile") -> DataFrame:
     """Average rank over the number of non-missing names."""
-    ranked = average_rank(df, keys=keys, value=value, rank="__rank", count="__count")
+    ranked = average_rank(materialize(df), keys=keys, value=value, rank="__rank", count="__count")
     return ranked.withColumn(name, ratio("__rank", "__count")).drop("__rank", "__count")
 
 
@@ -65,7 +70,7 @@ def normalize_factor(df: DataFrame, *, keys: Sequence[str], value: str, groups:
     """
     base = materialize(df.withColumn("raw", finite(value)))
     clipped = materialize(
-        winsorize(base, keys=keys, value="raw", lower=lower, upper=upper, minimum=minimum)
+        _winsorize(base, keys, "raw", lower, upper, minimum, "winsorized")
     )
     scored = cross_sectional_zscore(clipped, keys=keys, value="winsorized", groups=groups, ddof=ddof,
                                     minimum=minimum)

@@ -48,7 +48,8 @@ def attach(df: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "lef
     otherwise shuffles, splitting skewed partitions of the row side.
     """
     if not keys:
-        return df.crossJoin(facts) if how == "inner" else df.join(facts, F.lit(True), how)
+        # Facts of an ungrouped table are a single row.
+        return df.join(facts, F.lit(True), how)
     renamed = facts.select(
         *[F.col(k).alias(f"__k_{k}") for k in keys],
         *[F.col(c) for c in facts.columns if c not in keys],
@@ -116,7 +117,11 @@ def average_rank(
     rank: str = "rank",
     count: str = "rank_count",
 ) -> DataFrame:
-    """Attach the average rank of each finite value and the finite count of its group."""
+    """Attach the average rank of each finite value and the finite count of its group.
+
+    The input is read for the counts and again for the rows; ``materialize`` a
+    costly one first.
+    """
     ranks = value_positions(df, keys=keys, value=value).select(
         *keys,
         F.col("value").alias("__v"),

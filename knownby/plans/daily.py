@@ -120,9 +120,10 @@ def price_features(series: DataFrame, factors: DataFrame) -> DataFrame:
     as_side = lambda n: bench.select(
         F.col("security_id").alias(f"{n}_id"), "session_date", F.col("ret").alias(f"{n}_ret")
     )
-    # Re-partition on the series key so the windows below add no further shuffle.
+    # Only what the windows need travels through them.
     work = (
-        series.join(factors, "security_id")
+        series.select("security_id", "session_date", "effective_at", "close", "volume", "ret")
+        .join(factors, "security_id")
         .join(as_side("market"), ["market_id", "session_date"], "left")
         .join(as_side("sector"), ["sector_id", "session_date"], "left")
     )
@@ -131,6 +132,7 @@ def price_features(series: DataFrame, factors: DataFrame) -> DataFrame:
     work = work.withColumn(
         "factor_1", F.when(has_market, F.col("market_ret")).otherwise(F.col("sector_ret"))
     ).withColumn("factor_2", F.when(has_market & has_sector, F.col("sector_ret")))
+    work = work.drop("market_ret")
     work = abnormal_returns(work, keys=keys, order=t, asset="ret", factors=["factor_1", "factor_2"],
                             first_factor_only=~(has_market & has_sector))
     work = volume_zscore(work, keys=keys, order=t, volume=F.col("close") * F.col("volume"), window=20, minimum=20)

@@ -16,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rank filters up to the largest screen limit prune inside each map task.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
 
 
@@ -37,7 +39,8 @@ def local_session(cores: int = 8, memory: str = "12g", app: str = "knownby") ->
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings that results depend on."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for key in ("spark.sql.session.timeZone", "spark.sql.optimizer.windowGroupLimitThreshold"):
+        spark.conf.set(key, SETTINGS[key])
     return spark
 
 
