@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from knownby.catalog.base import cte, cutoff_values, oracle, register, table, weekly_features, weekly_panel
 from knownby.catalog.pit_queries import WEEK_AS_OF, WEEK_AT
 from knownby.operators import portfolio, screens
+from knownby.session import materialize
 
 DECLINE, BREAKOUT = screens.ABNORMAL_RESIDUAL_DECLINE, screens.RELATIVE_STRENGTH_BREAKOUT
 MONTHS = [f"{y}-{m:02d}-01T00:00:00+00:00" for y in (1999, 2000, 2001) for m in range(1, 11)]
@@ -94,14 +95,14 @@ def _(spark, sf):
 
 
 @register("k7_shipped_screens_history_matches", oracle(
-    f"""SELECT as_of, security_id, match_rank FROM (SELECT as_of, security_id, row_number() OVER (PARTITION BY as_of ORDER BY residual_return_zscore_1d NULLS LAST, security_id) AS match_rank
-        FROM (SELECT as_of, security_id, {', '.join(f"max(CASE WHEN feature_name = '{n}' THEN value END) AS {n}" for n in _DN)}
+    f"""SELECT as_of, security_id, match_rank FROM (SELECT as_of, security_id, row_number() OVER (PARTITION BY as_of ORDER BY relative_return_sector_63d DESC NULLS LAST, security_id) AS match_rank
+        FROM (SELECT as_of, security_id, {', '.join(f"max(CASE WHEN feature_name = '{n}' THEN value END) AS {n}" for n in _BN)}
           FROM (SELECT c.as_of, f.* FROM (VALUES {cutoff_values(MONTHS)}) c(as_of) JOIN weekly_features f ON f.available_at <= c.as_of
-                QUALIFY row_number() OVER (PARTITION BY c.as_of, security_id, feature_name ORDER BY available_at DESC) = 1) GROUP BY 1, 2) WHERE {_DECLINE}) WHERE match_rank <= 25""",
+                QUALIFY row_number() OVER (PARTITION BY c.as_of, security_id, feature_name ORDER BY available_at DESC) = 1) GROUP BY 1, 2) WHERE {_BREAK}) WHERE match_rank <= 25""",
     "weekly_features", stamps="as_of"))
 def _(spark, sf):
-    out = screens.screen_history(weekly_features(spark, sf), DECLINE, cutoffs=MONTHS)
-    return screens.screen_matches(out, DECLINE).select("as_of", "security_id", "match_rank")
+    out = screens.screen_history(weekly_features(spark, sf), BREAKOUT, cutoffs=MONTHS)
+    return screens.screen_matches(out, BREAKOUT).select("as_of", "security_id", "match_rank")
 
 
 # -- portfolios --------------------------------------------------------------
@@ -159,7 +160,8 @@ def _(spark, sf):
 def _legs(spark, sf):
     rows = decision_panel(spark, sf).where("feature_name = 'residual_return_zscore_1d' and value is not null").where(
         "decision_at between timestamp '1996-01-01' and timestamp '2001-06-30'")
-    return portfolio.quantile_legs(portfolio.rebalance_decisions(rows, "monthly"), quantiles=5)
+    decisions = materialize(rows.select("decision_at", "security_id", "value"))
+    return materialize(portfolio.quantile_legs(portfolio.rebalance_decisions(decisions, "monthly"), quantiles=5))
 
 
 @register("l2_quantile_legs", oracle(

@@ -1,4 +1,4 @@
-"""Streaming queries (group Q): drained streams whose sink equals the batch result."""
+"""Streaming queries (group Q) and workflows that write tables before returning them."""
 
 from __future__ import annotations
 
@@ -11,8 +11,11 @@ from knownby.catalog.panel_queries import _BN, _BREAK, pivot_sql, wide_sql
 from knownby.catalog.pit_queries import WEEK_AS_OF, WEEK_AT
 from knownby.catalog.research_queries import REQUEST, _SEVEN, coverage, instruments, market_mappings
 from knownby.operators import screens
-from knownby.plans import daily
+from knownby.plans import daily, workflows
 from knownby.session import checkpoint_dir
+from knownby.catalog.domain_queries import WINDOWS, company_events, week_bars
+from knownby.catalog.source_queries import _request, loaded
+from knownby.sources import bars as bar_sources
 from knownby.sources.appends import FEATURES, PRICE_BARS, VintageTable
 from knownby.streaming import live
 
@@ -95,3 +98,21 @@ def _(spark, sf):
     # The newest batch that touched a security holds its current features.
     newest = results.groupBy("security_id").agg(F.max("batch").alias("batch"))
     return results.join(newest, ["security_id", "batch"]).select("security_id", *_SEVEN.split())
+
+
+@register("a13_ingest_prices", oracle(
+    "SELECT security_id, session_date, close, ingestion_batch_id, source_record_id FROM loaded WHERE session_date IS NOT NULL", "loaded", "close", "session_date"))
+def _(spark, sf):
+    root = scratch(spark)
+    rows = loaded(spark, sf)
+    batches = bar_sources.batch_status(rows).withColumn("request_fingerprint", F.lit("fingerprint"))
+    for _attempt in range(2):  # a retry appends nothing
+        workflows.ingest_prices(spark, f"{root}/bars", rows, _request(spark, sf), batches)
+    return spark.read.parquet(f"{root}/bars").select("security_id", "session_date", "close", "ingestion_batch_id", "source_record_id")
+
+
+@register("o8_earnings_study", oracle(
+    f"SELECT event_id, s AS response_session, {', '.join(WINDOWS)}, overnight_gap, is_complete FROM study", "study", " ".join(WINDOWS) + " overnight_gap", "response_session"))
+def _(spark, sf):
+    out, _spec = workflows.earnings_study(week_bars(spark, sf), company_events(spark, sf), pre_sessions=3, post_sessions=3)
+    return out.select("event_id", "response_session", *WINDOWS, "overnight_gap", "is_complete")

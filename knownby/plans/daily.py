@@ -235,7 +235,7 @@ def daily_research(request: DailyRequest, *, members: DataFrame, mappings: DataF
             F.lit("insufficient price history: "), F.coalesce("bars", F.lit(0)).cast("string"),
             F.lit(f" bars; need at least {MINIMUM_BARS}"),
         ).alias("message"),
-    )
+    ).join(run_ids.select("research_run_id"), F.lit(True), "inner")
 
     newest = history.groupBy("security_id").agg(
         F.max("available_at").alias("__available"),
@@ -316,7 +316,7 @@ def store_daily_run(run: DailyRun, root: str) -> None:
     tables = {
         "runs": (run.run, ["run_key"]), "features": (run.features, ["feature_snapshot_id"]),
         "evidence": (run.evidence, ["evidence_id"]), "findings": (run.findings, ["finding_key"]),
-        "cards": (run.cards, ["card_key"]), "failures": (run.failures, ["security_id"]),
+        "cards": (run.cards, ["card_key"]), "failures": (run.failures, ["research_run_id", "security_id"]),
     }
     for name, (df, key) in tables.items():
         path = f"{root}/{name}"
