@@ -208,7 +208,7 @@ def findings(spark, sf):
     parts = []
     for kind, base, tier, confidence, mark in _KINDS:
         key = F.concat(F.lit(mark + ":"), F.col("s_suppkey").cast("string"))
-        metric = F.struct(F.lit("daily_return").alias("name"), (F.col("s_acctbal") / 7000 + base).alias("value"), F.lit("decimal_return").alias("unit"), F.lit("1d").alias("horizon"), at.alias("as_of"))
+        metric = F.struct(F.lit("daily_return").alias("name"), (F.col("s_acctbal") / 10000 + base).alias("value"), F.lit("decimal_return").alias("unit"), F.lit("1d").alias("horizon"), at.alias("as_of"))
         own = F.struct(F.lit(mark + "_score").alias("name"), (F.col("s_nationkey") + base).alias("value"), F.lit("zscore").alias("unit"), F.lit(None).cast("string").alias("horizon"), at.alias("as_of"))
         parts.append(table(spark, sf, "supplier").select(
             F.lit("run-1").alias("research_run_id"), F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("security_id"), key.alias("finding_key"),
@@ -220,7 +220,7 @@ def findings(spark, sf):
 
 cte("findings", " UNION ALL ".join(
     f"""SELECT 'S' || CAST(s_suppkey AS VARCHAR) AS security_id, '{m}:' || CAST(s_suppkey AS VARCHAR) AS finding_key, '{k}' AS category, {b} + abs(s_acctbal) / 20000 AS raw_score,
-        {b} + abs(s_acctbal) / 20000 * {2.0 if m == 'p' else 1.0} AS priority_score, s_acctbal / 7000 + {b} AS ret, s_acctbal FROM supplier""" for k, b, _t, _c, m in _KINDS))
+        {b} + abs(s_acctbal) / 20000 * {2.0 if m == 'p' else 1.0} AS priority_score, s_acctbal / 10000 + {b} AS ret, s_acctbal FROM supplier""" for k, b, _t, _c, m in _KINDS))
 cte("cards", """SELECT security_id, any_value(s_acctbal) AS s_acctbal, 'material' AS materiality_tier, 'low' AS confidence, string_agg(finding_key, ',' ORDER BY priority_score DESC, finding_key) AS finding_ids,
  string_agg(category || ' seen.', ' ' ORDER BY priority_score DESC, finding_key) AS change, arg_max(ret, priority_score) AS first_return, arg_max(category, priority_score) AS lead_category,
  (SELECT string_agg(e, ',' ORDER BY e) FROM (SELECT unnest(list_append(list(finding_key), 'shared')) AS e)) AS evidence_ids FROM findings GROUP BY 1""", ["findings"])

@@ -66,3 +66,32 @@ def all_of(conditions: list[Column]) -> Column:
 
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions, F.lit(False))
+
+
+def _halves(value: Column) -> tuple[Column, Column]:
+    """A double as the exact sum of two short-mantissa doubles."""
+    wide = value * F.lit(134217729.0)
+    high = wide - (wide - value)
+    return high, value - high
+
+
+def fixed_digits(value: Column, digits: int) -> Column:
+    """Round the exact binary value to decimals, ties to even.
+
+    Text formatting in the JVM rounds the shortest decimal form of a double up at
+    a tie; this rounds the number itself, which decides ties by the exact
+    remainder of value times the power of ten. Valid below 2^53 after scaling.
+    """
+    scale = float(10**digits)
+    magnitude = F.abs(value.cast("double"))
+    product = magnitude * F.lit(scale)
+    (a, b), (c, d) = _halves(magnitude), _halves(F.lit(scale))
+    remainder = ((a * c - product) + a * d + b * c) + b * d
+    whole = F.floor(product).cast("double")
+    tie = (product - whole) - F.lit(0.5)
+    up = (tie > 0) | (
+        (tie == 0) & ((remainder > 0) | ((remainder == 0) & (whole % F.lit(2.0) == 1.0)))
+    )
+    # A product rounded up to a whole number may stand just below it; that is still nearest.
+    rounded = (whole + F.when(up, 1.0).otherwise(0.0)) / F.lit(scale)
+    return F.when(value < 0, -rounded).otherwise(rounded)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from knownby.functions.ids import iso_instant, research_id
-from knownby.functions.numeric import finite
+from knownby.functions.numeric import finite, fixed_digits
 from knownby.operators.pit import Instant, availability_violations, instant
 from knownby.operators.scale import attach
 
@@ -296,19 +296,15 @@ def build_cards(findings: DataFrame, context: DataFrame | None = None) -> DataFr
     )
 
 
-def _signed(value: Column, pattern: str) -> Column:
-    return F.format_string(pattern, value)
-
-
 def render_card_markdown(cards: DataFrame, *, label: str = "security_label", name: str = "markdown") -> DataFrame:
     """Card text as one string expression per row."""
     def line(m: Column) -> Column:
         v, unit = m["value"], m["unit"]
         shown = (
-            F.when(unit.isin("decimal_return", "annualized_decimal"), F.format_string("%.2f%%", v * 100))
-            .when(unit == "basis_points", F.format_string("%.1f bps", v * 10_000))
-            .when(unit == "zscore", F.format_string("%+.2f sigma", v))
-            .otherwise(F.format_string("%.3f", v))
+            F.when(unit.isin("decimal_return", "annualized_decimal"), F.format_string("%.2f%%", fixed_digits(v * 100, 2)))
+            .when(unit == "basis_points", F.format_string("%.1f bps", fixed_digits(v * 10_000, 1)))
+            .when(unit == "zscore", F.format_string("%+.2f sigma", fixed_digits(v, 2)))
+            .otherwise(F.format_string("%.3f", fixed_digits(v, 3)))
         )
         horizon = F.when(m["horizon"].isNotNull() & (m["horizon"] != ""), F.concat(F.lit(" ("), m["horizon"], F.lit(")"))).otherwise("")
         return F.concat(F.lit("- "), m["name"], horizon, F.lit(": "), shown)
@@ -316,11 +312,13 @@ def render_card_markdown(cards: DataFrame, *, label: str = "security_label", nam
     evidence = F.array_join(F.transform("quant_evidence", line), "\n")
     weight = F.when(
         F.col("position_weight").isNotNull(),
-        F.format_string("- Position weight: %.2f%%", F.col("position_weight").cast("double") * 100),
+        F.format_string(
+            "- Position weight: %.2f%%", fixed_digits(F.col("position_weight").cast("double") * 100, 2)
+        ),
     )
     gain = F.when(
         F.col("contribution_bps").isNotNull(),
-        F.format_string("- Indicative daily contribution: %+.1f bps", F.col("contribution_bps")),
+        F.format_string("- Indicative daily contribution: %+.1f bps", fixed_digits(F.col("contribution_bps"), 1)),
     )
     noted = F.transform("notes", lambda x: F.concat(F.lit("- "), x))
     context = F.array_join(F.concat(F.array_compact(F.array(weight, gain)), noted), "\n")

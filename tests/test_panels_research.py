@@ -171,6 +171,19 @@ def test_sections_and_version_comparison(spark):
     assert rows[(1, "New Part")]["change_ratio"] == 1.0
 
 
+def test_fixed_digits_formats_like_the_number_itself(spark):
+    import random
+
+    from knownby.functions.numeric import fixed_digits
+
+    rng = random.Random(8)
+    values = [0.125, 0.375, 2.675, 111.205, -111.205, 1.005, -0.005, 0.0, 4.35, 1e9 + 0.125, -1e-9]
+    values += [round(rng.uniform(-500, 500), 3) for _ in range(3000)] + [rng.uniform(-5, 5) for _ in range(500)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", F.format_string("%.2f", fixed_digits(F.col("v"), 2)).alias("t")).collect()
+    wrong = [(r["v"], r["t"]) for r in rows if r["t"].replace("-0.00", "0.00") != f"{r['v']:.2f}".replace("-0.00", "0.00")]
+    assert not wrong
+
+
 def test_evidence_checks(spark):
     df = spark.createDataFrame([(["a", "b"], ["b"], 4, 3), ([], [], 0, 0)], "got array<string>, want array<string>, n int, k int")
     out = filings.evaluate_evidence(df, predicted="got", expected="want", claims="n", supported="k").collect()
