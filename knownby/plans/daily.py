@@ -194,7 +194,9 @@ def daily_research(request: DailyRequest, *, members: DataFrame, mappings: DataF
     as_of = utc(request.as_of)
     covered = active_coverage_members(members, coverage_list_id=request.coverage_list_id, as_of=as_of)
     covered = covered.select("security_id", "benchmark_security_id").dropDuplicates(["security_id"])
-    benchmarks = member_benchmarks(covered, mappings, as_of=as_of)
+    # One short row per member; stored so that the plans below stay small.
+    benchmarks = materialize(member_benchmarks(covered, mappings, as_of=as_of))
+    covered = benchmarks.select("security_id", "benchmark_security_id")
     wanted = benchmarks.select(
         F.explode(F.array("security_id", "market_id", "sector_id")).alias("security_id")
     ).where("security_id is not null").distinct()
@@ -223,9 +225,12 @@ def daily_research(request: DailyRequest, *, members: DataFrame, mappings: DataF
     run_ids = batches.withColumn("run_key", F.concat(F.lit("daily:"), F.sha2(text, 256))).withColumn(
         "research_run_id", research_id("run", F.col("run_key"))
     )
+    run_ids = materialize(run_ids)
 
     series = session_returns(history)
-    factors = usable_factors(benchmarks, history).select("security_id", "market_id", "sector_id")
+    factors = materialize(
+        usable_factors(benchmarks, history).select("security_id", "market_id", "sector_id")
+    )
     latest = last_session(price_features(series, factors))
     judged = attach(covered.select("security_id"), latest, ["security_id"])
     too_short = F.coalesce("bars", F.lit(0)) < MINIMUM_BARS

@@ -29,6 +29,8 @@ def local_session(cores: int = 8, memory: str = "12g", app: str = "knownby") ->
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.ui.enabled", "false")
+        # Plans with many stages compile many classes; the default keeps only 100.
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
