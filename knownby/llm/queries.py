@@ -4,7 +4,7 @@ from importlib import import_module
 
 from knownby.llm.catalog import ORACLES, QUERIES
 
-MODULES = ("bpe",)
+MODULES = ("bpe", "packing", "warc")
 
 for _name in MODULES:
     import_module(f"knownby.llm.{_name}")
