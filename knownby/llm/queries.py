@@ -4,7 +4,7 @@ from importlib import import_module
 
 from knownby.llm.catalog import ORACLES, QUERIES
 
-MODULES = ("bpe", "packing", "warc", "site_style_tree")
+MODULES = ("bpe", "packing", "warc", "site_style_tree", "pii")
 
 for _name in MODULES:
     import_module(f"knownby.llm.{_name}")
