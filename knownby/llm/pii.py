@@ -221,6 +221,10 @@ def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", suppor
     return joined.withColumn(text, changed).select(*docs.columns)
 
 
+def count_of(kind: str) -> Column:
+    return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+
 def joined_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
@@ -229,7 +233,7 @@ def joined_spans(spans: Column) -> Column:
 def op6_information_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every document."""
     found = find(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("spans", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in PATTERNS]
+    counts = [count_of(kind).alias(f"n_{kind}") for kind in PATTERNS]
     short = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
     terms = F.transform("terms", lambda t: F.struct(t["start"].alias("start"), F.lit(KINDS.index("term")).alias("rank"), F.lit("term").alias("kind"), t["end"].alias("end")))
     return found.select("doc_id", *counts, F.sha2(joined_spans(F.col("spans")), 256).alias("base_sha256"), joined_spans(F.array_sort(F.concat(short, terms))).alias("spans"))
