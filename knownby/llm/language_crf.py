@@ -217,11 +217,11 @@ def fit(docs: DataFrame, held_out: str | None = None, per_language: int = PER_LA
     return train([r.text for r in rows], [r.lang for r in rows], sequences)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", words: bool = False) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text: str = "text", words: bool = False, prefix: str = "") -> DataFrame:
     """Add ``lang_pred`` and ``score`` of each whole text, and with ``words`` also ``word_langs``, a label for each word."""
-    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    added += [T.StructField("word_langs", T.ArrayType(T.StringType()))] if words else []
-    keep = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score", "word_langs")]
+    added = [T.StructField(f"{prefix}lang_pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType())]
+    added += [T.StructField(f"{prefix}word_langs", T.ArrayType(T.StringType()))] if words else []
+    keep = [f for f in docs.schema.fields if f.name.lower() not in {a.name.lower() for a in added}]
     schema = T.StructType(keep + added)
     names = np.array(model.languages + [UNDETERMINED], dtype=object)
 

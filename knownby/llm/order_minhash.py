@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from knownby.llm.catalog import query
 from knownby.llm.graph import connected_components
-from knownby.llm.substring_dedup import only_members, runs, text_hash
+from knownby.llm.substring_dedup import only_members, runs, text_hash, with_changes
 from knownby.llm.tables import BASES, flat, mix, ranges, slices, span_hashes, table, text_column, window_hashes, word_spans
 from knownby.session import materialize
 
@@ -310,7 +310,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """One document of each class, with all its columns."""
     found = near_duplicates(docs, doc_id, text)
     dropped = materialize(found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).distinct())
-    return docs.join(dropped, docs[doc_id].cast("long").eqNullSafe(F.col("_id")) & (text_hash(text) == F.col("_th")), "left_anti")
+    return with_changes(docs, dropped, doc_id, text, "left_anti")
 
 
 @query("op10_order_minhash")

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from knownby.llm.catalog import query
+from knownby.llm.substring_dedup import text_hash, with_changes
 from knownby.llm.tables import table
 from knownby.session import materialize
 
@@ -131,10 +132,6 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     return source.select("doc_id", text_hash("text").alias("text_hash"), spans.alias("spans"))
 
 
-def text_hash(text: str) -> Column:
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-
-
 def words_with_starts(context: Column) -> Column:
     """Words of a short context with their starts in it."""
     found = F.regexp_extract_all(context, F.lit(WORD), 0)
@@ -215,8 +212,8 @@ def masked(text: Column, spans: Column, terms: Column, remove: float) -> Column:
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """Every row with its text sanitised; null texts stay null."""
     found = find(docs, doc_id, text, support, generalise).where((F.size("spans") > 0) | (F.size("terms") > 0))
-    once = found.groupBy("doc_id", "text_hash").agg(F.first("spans").alias("_spans"), F.first("terms").alias("_terms")).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    joined = docs.join(once, docs[doc_id].eqNullSafe(F.col("_id")) & (text_hash(text) == F.col("_hash")), "left")
+    once = materialize(found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).agg(F.first("spans").alias("_spans"), F.first("terms").alias("_terms")))
+    joined = with_changes(docs, once, doc_id, text)
     changed = F.when(F.col("_spans").isNull(), F.col(text)).otherwise(masked(F.col(text), F.col("_spans"), F.col("_terms"), remove))
     return joined.withColumn(text, changed).select(*docs.columns)
 

@@ -253,17 +253,24 @@ def by_row(replies: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, th long, places binary").dropDuplicates(["doc_id", "th"])
 
 
-def only_members(rows: DataFrame, members: DataFrame, keys: list[str], bits: int = FILTER_BITS) -> DataFrame:
-    """Rows whose key may be among ``members``, by a bitmap of at most 2**bits bits (8 MB), small enough to broadcast at any size.
+def marked(rows: DataFrame, members: DataFrame, keys: list[str], bits: int = FILTER_BITS) -> DataFrame:
+    """Add ``_maybe``: false where the key is certainly not among ``members``.
 
-    It keeps texts that have no partner out of the shuffle of the join that must follow; false positives remain.
+    A bitmap of at most 2**bits bits (8 MB), small enough to broadcast at any size, keeps texts that have no partner out
+    of the shuffle of the join that must follow; rows with ``_maybe`` may still have none.
     """
     slot = F.pmod(F.xxhash64(*keys), F.lit(1 << bits))
     words = members.select(slot.alias("slot")).groupBy(F.shiftright("slot", 15).alias("_word")).agg(F.bitmap_construct_agg(F.expr("slot & 32767")).alias("_bits"))
     place = F.pmod(F.xxhash64(*keys), F.lit(1 << 15))
     byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    near = rows.join(F.broadcast(words), F.shiftright(slot, 15) == F.col("_word"))
-    return near.where(byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), place.bitwiseAND(F.lit(7)).cast("int"))) != 0).drop("_word", "_bits")
+    bit = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), place.bitwiseAND(F.lit(7)).cast("int")))
+    near = rows.join(F.broadcast(words), F.shiftright(slot, 15) == F.col("_word"), "left")
+    return near.withColumn("_maybe", F.coalesce(bit != 0, F.lit(False))).drop("_word", "_bits")
+
+
+def only_members(rows: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose key may be among ``members``."""
+    return marked(rows, members, keys).where("_maybe").drop("_maybe")
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -302,11 +309,21 @@ def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window:
     return both.mapInArrow(cut, "doc_id long, th long, kept string, n_words long, n_removed long").dropDuplicates(["doc_id", "th"])
 
 
+def with_changes(docs: DataFrame, changes: DataFrame, doc_id: str, text: str, how: str = "left") -> DataFrame:
+    """All columns of ``docs`` and those of ``changes`` (_id, _th, ...), joined on id and text hash; only rows that may have a change are shuffled."""
+    keyed = docs.withColumns({"_id": docs[doc_id].cast("long"), "_th": text_hash(text)})
+    rows = marked(keyed, changes, ["_id", "_th"])
+    given = changes.withColumnsRenamed({"_id": "_id2", "_th": "_th2"})
+    near = rows.where("_maybe").join(given, F.col("_id").eqNullSafe(F.col("_id2")) & (F.col("_th") == F.col("_th2")), how)
+    far = rows.where("not _maybe")
+    return near.drop("_id", "_th", "_id2", "_th2", "_maybe").unionByName(far.drop("_id", "_th", "_maybe"), allowMissingColumns=True)
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """Every row, with its text cut where it repeats; the text of the others is untouched."""
-    changed = materialize(repeats(docs, doc_id, text, window)).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "kept")
-    joined = docs.join(changed, (docs[doc_id].cast("long") == F.col("_id")) & (text_hash(text) == F.col("_th")), "left")
-    return joined.withColumn(text, F.coalesce("kept", F.col(text))).select(*docs.columns)
+    changed = materialize(repeats(docs, doc_id, text, window)).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("kept").alias("_kept"))
+    joined = with_changes(docs, changed, doc_id, text)
+    return joined.withColumn(text, F.coalesce("_kept", F.col(text))).select(*docs.columns)
 
 
 def word_digests(docs: DataFrame) -> DataFrame:
