@@ -73,7 +73,7 @@ def codes(unit: np.ndarray, tables: int, parts: int, probes: int) -> tuple[np.nd
     """Own bucket (vector, table) and probed buckets (vector, table, probe) of each vector."""
     n = len(unit)
     own = np.zeros((n, tables), dtype=np.int64)
-    probed = np.zeros((n, tables, probes), dtype=np.int64)
+    probed = np.full((n, tables, probes), -1, dtype=np.int64)  # fewer, where there are fewer axes
     turned = rotations(unit, tables * parts)
     rows = np.arange(n)
     for t in range(tables):
@@ -94,7 +94,7 @@ def codes(unit: np.ndarray, tables: int, parts: int, probes: int) -> tuple[np.nd
         weight = [width ** (parts - 1 - i) for i in range(parts)]
         change = np.concatenate([(part[:, 1:] - part[:, :1]) * weight[i] for i, part in enumerate(axes)], axis=1)
         take = np.argsort(loss, axis=1, kind="stable")[:, :probes]
-        probed[:, t, :] = best[:, None] + change[rows[:, None], take]
+        probed[:, t, :take.shape[1]] = best[:, None] + change[rows[:, None], take]
     return own, probed
 
 
@@ -203,7 +203,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     coded = materialize(hashed(nodes.select("node", "d", "copies", "vector").join(settings, "d")))
 
     resident = coded.select("node", F.col("d"), F.posexplode("own").alias("tbl", "bucket"), F.lit(False).alias("probing"))
-    probing = coded.select("node", F.col("d"), F.posexplode("probed").alias("at", "bucket")).select("node", "d", F.floor(F.col("at") / PROBES).cast("int").alias("tbl"), "bucket", F.lit(True).alias("probing"))
+    probing = coded.select("node", F.col("d"), F.posexplode("probed").alias("at", "bucket")).select("node", "d", F.floor(F.col("at") / PROBES).cast("int").alias("tbl"), "bucket", F.lit(True).alias("probing")).where("bucket >= 0")
     entries = resident.union(probing)
     # A bucket with one resident and no prober has no pair; large ones are cut into blocks that meet pairwise.
     sizes = entries.groupBy("d", "tbl", "bucket").agg(F.count("*").alias("size"), F.count(F.when(~F.col("probing"), 1)).alias("residents")).where("size > 1 and residents > 0")
