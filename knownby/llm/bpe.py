@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from knownby.llm.catalog import query
 from knownby.llm.pretokens import Cached, split
-from knownby.llm.tables import slices, table, text_column
+from knownby.llm.tables import WIDE_BYTES, slices, table, text_column
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -198,7 +198,7 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, WIDE_BYTES):
                 ids, at = encode_texts(text_column(batch, text).to_pylist(), path)
                 column = pa.array([ids[a:b].tobytes() for a, b in zip(at[:-1], at[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in keep), column], names=[*keep, "ids"])
@@ -241,7 +241,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = decimals(len(symbols(path)))
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, WIDE_BYTES):
                 ids, at = encode_texts(text_column(batch, text).to_pylist(), path)
                 ids_sha, decoded_sha = [], []
                 for a, b in zip(at[:-1], at[1:]):

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from knownby.llm.catalog import query
-from knownby.llm.tables import flat, mix, ranges, slices, table, text_column, word_spans
+from knownby.llm.tables import WIDE_BYTES, flat, mix, ranges, slices, table, text_column, word_spans
 
 PER_LANGUAGE = 200
 SEQUENCES = 6000
@@ -227,7 +227,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", words: bool = Fal
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, text):
+            for batch in slices(whole, text, WIDE_BYTES):
                 column = text_column(batch, text)
                 best, score, labels = predict_column(column, model)
                 columns = [batch.column(batch.schema.get_field_index(f.name)) for f in keep]

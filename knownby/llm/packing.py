@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from knownby.llm.catalog import query
 from knownby.llm.pretokens import Cached, split
-from knownby.llm.tables import slices, table, text_column
+from knownby.llm.tables import WIDE_BYTES, slices, table, text_column
 
 VOCABULARY = "byte_bpe_50k.json"
 LENGTH = 1024
@@ -72,7 +72,7 @@ def pack(df: DataFrame, path: str, longest: int = LENGTH, end: int = END, doc_id
         partition = TaskContext.get().partitionId()
         used = [0] * longest.bit_length()
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", WIDE_BYTES):
                 tokens, first = split(text_column(batch, "text").to_pylist())
                 ids, per = encoder(path).ids(tokens)
                 at = np.concatenate([[0], np.cumsum(per)])[first].tolist()

@@ -37,7 +37,7 @@ from knownby.llm.tables import BASES, flat, mix, ranges, slices, span_hashes, ta
 from knownby.session import materialize
 
 WINDOW = 50
-WORDS_PER_GROUP = 1 << 22
+WORDS_PER_GROUP = 1 << 19
 FILTER_BITS = 26
 
 IS_WORD = np.ones(256, dtype=bool)

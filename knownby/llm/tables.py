@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 BATCH_ROWS = "1000"
 BATCH_BYTES = "8m"
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = (1 << 20) - 64  # prefix sums and powers over a slice stay in a few tens of MB
+WIDE_BYTES = 4 << 20  # where distinct tokens are looked up once per slice
 
 
 def prepare(spark: SparkSession) -> SparkSession:
