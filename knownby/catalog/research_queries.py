@@ -66,12 +66,12 @@ cte("day_base", f"""SELECT w.*, s.s_acctbal, s.s_acctbal < 0 AS single, CASE WHE
 cte("day_two", two_factor_sql("day_base"), ["day_base"])
 cte("day_one", f"""SELECT security_id, session_date, CASE WHEN ok THEN my + cxy / vx * (sec_ret - mx) END AS expected,
  CASE WHEN ok THEN sqrt(greatest((n - 1) * (vy - cxy / vx * cxy) / (n - 2), 0)) END AS sigma1 FROM
- (SELECT *, n >= 63 AND vx > 1e-12 AND sec_ret IS NOT NULL AS ok FROM
+ (SELECT *, n >= 63 AND vx > 0 AND sec_ret IS NOT NULL AS ok FROM
  (SELECT security_id, session_date, sec_ret, count(y) {_F} AS n, avg(y) {_F} AS my, avg(x) {_F} AS mx, var_samp(y) {_F} AS vy, var_samp(x) {_F} AS vx, covar_samp(y, x) {_F} AS cxy
   FROM (SELECT *, CASE WHEN ret IS NOT NULL AND sec_ret IS NOT NULL THEN ret END AS y, CASE WHEN ret IS NOT NULL AND sec_ret IS NOT NULL THEN sec_ret END AS x FROM day_base)))""", ["day_base"])
 cte("day_rest", f"""SELECT security_id, session_date, s_acctbal, single, ret, f1, sec_ret, {zscore_sql('lv', 20, 20)} AS volume_zscore,
  CASE WHEN count(ret) {_TR.replace('@', '19')} >= 20 THEN stddev_samp(ret) {_TR.replace('@', '19')} * sqrt(252) END AS realized_volatility_20d,
- CASE WHEN count(y) {_F} >= 63 AND count(f1) {_F} >= 63 AND var_samp(f1) {_F} > 1e-12 THEN covar_samp(y, x) {_F} / var_samp(f1) {_F} END AS beta_126d,
+ CASE WHEN count(y) {_F} >= 63 AND count(f1) {_F} >= 63 AND var_samp(f1) {_F} > 0 THEN covar_samp(y, x) {_F} / var_samp(f1) {_F} END AS beta_126d,
  CASE WHEN count(rel) {_TR.replace('@', '62')} >= 63 THEN product(1 + rel) {_TR.replace('@', '62')} - 1 END AS relative_return_sector_63d,
  count(ret) OVER (PARTITION BY security_id ORDER BY session_date ROWS UNBOUNDED PRECEDING) AS observations
  FROM (SELECT *, CASE WHEN ret IS NOT NULL AND f1 IS NOT NULL THEN ret END AS y, CASE WHEN ret IS NOT NULL AND f1 IS NOT NULL THEN f1 END AS x FROM day_base)""", ["day_base"])

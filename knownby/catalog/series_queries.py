@@ -174,7 +174,7 @@ def _(spark, sf):
 
 _F = frame(126, 1)
 cte("one_factor", f"""
-SELECT *, CASE WHEN n >= 63 AND vx * (n - 1) / n > 1e-12 AND mkt_ret IS NOT NULL THEN cxy / vx END AS b
+SELECT *, CASE WHEN n >= 63 AND vx > 1e-26 * mx * mx AND mkt_ret IS NOT NULL THEN cxy / vx END AS b
 FROM (SELECT security_id, session_date, ret, mkt_ret, count(y) {_F} AS n, avg(y) {_F} AS my, avg(x) {_F} AS mx,
         var_samp(y) {_F} AS vy, var_samp(x) {_F} AS vx, covar_samp(y, x) {_F} AS cxy
       FROM (SELECT *, CASE WHEN ret IS NOT NULL AND mkt_ret IS NOT NULL THEN ret END AS y,
@@ -204,7 +204,7 @@ SELECT *, CASE WHEN fit THEN my - b1 * m1 - b2 * m2 END AS b0,
   CASE WHEN fit THEN sqrt(greatest((n - 1) * (vy - b1 * c1 - b2 * c2) / (n - 3), 0)) END AS sigma
 FROM (SELECT *, CASE WHEN fit THEN (c1 * v2 - c2 * c12) / det END AS b1, CASE WHEN fit THEN (c2 * v1 - c1 * c12) / det END AS b2
  FROM (SELECT *, v1 * v2 - c12 * c12 AS det,
-   n >= 63 AND {a} IS NOT NULL AND {b} IS NOT NULL AND v1 > 1e-12 AND v2 > 1e-12 AND v1 * v2 - c12 * c12 > 1e-12 * v1 * v2 AS fit
+   n >= 63 AND {a} IS NOT NULL AND {b} IS NOT NULL AND v1 > 1e-26 * m1 * m1 AND v2 > 1e-26 * m2 * m2 AND v2 - c12 * c12 / nullif(v1, 0) > 1e-12 * v2 AS fit
   FROM (SELECT *, count(yy) {_F} AS n, avg(yy) {_F} AS my, avg(x1) {_F} AS m1, avg(x2) {_F} AS m2,
     var_samp(yy) {_F} AS vy, var_samp(x1) {_F} AS v1, var_samp(x2) {_F} AS v2,
     covar_samp(yy, x1) {_F} AS c1, covar_samp(yy, x2) {_F} AS c2, covar_samp(x1, x2) {_F} AS c12
@@ -225,9 +225,35 @@ def _(spark, sf):
     return out.select("security_id", T, "expected_return", "residual_return", "residual_volatility", "abnormal_score")
 
 
-@register("e3_abnormal_returns_general", None)
+def general_fit_sql(source: str, y: str, factors: list[str]) -> str:
+    """Rolling least squares of any number of factors by elimination over ``source`` (126-row training frame)."""
+    k = range(1, len(factors) + 1)
+    values = [y, *factors]
+    ok = " AND ".join(f"{v} IS NOT NULL" for v in values)
+    sql = "SELECT *, " + ", ".join(f"CASE WHEN {ok} THEN {v} END AS v{i}" for i, v in enumerate(values)) + f" FROM ({source})"
+    pairs = [(i, j) for i in range(len(values)) for j in range(i, len(values))]
+    sql = f"SELECT *, count(v0) {_F} AS n, " + ", ".join(f"avg(v{i}) {_F} AS m{i}" for i in range(len(values))) + ", " + ", ".join(f"covar_pop(v{i}, v{j}) {_F} AS c{i}_{j}" for i, j in pairs) + f" FROM ({sql})"
+    sql = "SELECT *, true AS full_rank, " + ", ".join(f"c{i}_{i} AS own{i}" for i in range(len(values))) + f" FROM ({sql})"
+    name = lambda i, j: f"c{min(i, j)}_{max(i, j)}"
+    for p in k:
+        rest = [0, *range(p + 1, len(values))]
+        sql = f"SELECT *, " + ", ".join(f"{name(p, i)} / nullif(c{p}_{p}, 0) AS f{p}_{i}" for i in rest) + f" FROM ({sql})"
+        swap = [f"{name(i, j)} - f{p}_{i} * {name(p, j)} AS {name(i, j)}" for i, j in pairs if i in rest and j in rest]
+        swap.append(f"full_rank AND coalesce(own{p} > 1e-26 * m{p} * m{p} AND c{p}_{p} > 1e-12 * own{p}, false) AS full_rank")
+        sql = f"SELECT * REPLACE ({', '.join(swap)}) FROM ({sql})"
+    current = " AND ".join(f"{f} IS NOT NULL" for f in factors)
+    for p in reversed(k):
+        slope = f"f{p}_0" + "".join(f" - f{p}_{j} * b{j}" for j in range(p + 1, len(values)))
+        sql = f"SELECT *, CASE WHEN full_rank AND n >= 63 AND {current} THEN {slope} END AS b{p} FROM ({sql})"
+    shift = "".join(f" + b{i} * ({f} - m{i})" for i, f in enumerate(factors, start=1))
+    return f"SELECT *, m0{shift} AS expected, CASE WHEN c0_0 > 1e-14 * own0 THEN sqrt(c0_0 * n / (n - {len(values)})) END AS sigma FROM ({sql})"
+
+
+@register("e3_abnormal_returns_general", oracle(
+    f"""SELECT security_id, session_date, expected AS expected_return, ret - expected AS residual_return, (ret - expected) / sigma AS abnormal_score
+        FROM ({general_fit_sql("SELECT *, ln(volume) AS vol_change FROM weekly_panel", "ret", ["mkt_ret", "sec_ret", "vol_change"])})""",
+    "weekly_panel", "expected_return residual_return abnormal_score", "session_date"))
 def _(spark, sf):
-    """Three factors through grouped numpy least squares (no SQL twin; see tests)."""
     work = weekly_panel(spark, sf).withColumn("vol_change", F.ln("volume"))
     work = work.select("security_id", T, "ret", "mkt_ret", "sec_ret", "vol_change")
     out = series.abnormal_returns(work, keys=K, order=T, asset="ret", factors=["mkt_ret", "sec_ret", "vol_change"])
@@ -235,7 +261,7 @@ def _(spark, sf):
 
 
 @register("e4_abnormal_fit_warnings", oracle(
-    """SELECT security_id, CASE WHEN bool_or(n >= 63 AND mkt_ret IS NOT NULL AND NOT (vx * (n - 1) / n > 1e-12))
+    """SELECT security_id, CASE WHEN bool_or(n >= 63 AND mkt_ret IS NOT NULL AND NOT (vx > 1e-26 * mx * mx))
        THEN 'rank_deficient_training_windows_skipped' ELSE '' END AS warnings FROM one_factor GROUP BY 1""", "one_factor"))
 def _(spark, sf):
     out = series.abnormal_returns(weekly_panel(spark, sf), keys=K, order=T, asset="ret", factors=["mkt_ret"])
@@ -296,9 +322,9 @@ def _(spark, sf):
 
 
 @register("e11_rolling_beta", oracle(
-    f"""SELECT security_id, session_date, CASE WHEN n >= 63 AND m >= 63 AND v > 1e-12 THEN c / v END AS rolling_beta
+    f"""SELECT security_id, session_date, CASE WHEN n >= 63 AND m >= 63 AND v > 1e-26 * l * l THEN c / v END AS rolling_beta
         FROM (SELECT security_id, session_date, count(y) {_F} AS n, count(mkt_ret) {_F} AS m,
-              covar_samp(y, x) {_F} AS c, var_samp(mkt_ret) {_F} AS v
+              covar_samp(y, x) {_F} AS c, var_samp(mkt_ret) {_F} AS v, avg(mkt_ret) {_F} AS l
               FROM (SELECT *, CASE WHEN ret IS NOT NULL AND mkt_ret IS NOT NULL THEN ret END AS y,
                     CASE WHEN ret IS NOT NULL AND mkt_ret IS NOT NULL THEN mkt_ret END AS x FROM weekly_panel))""",
     "weekly_panel", "rolling_beta", "session_date"))

@@ -11,8 +11,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Dispersions at or below this are rounding noise around a constant series.
-ZERO_DISPERSION = 1e-12
+# A dispersion below this share of the values' magnitude is rounding noise around a constant series.
+NOISE = 1e-14
 
 
 def col(value: Column | str) -> Column:
@@ -45,9 +45,10 @@ def positive(value: Column) -> Column:
     return F.when(value > 0, value)
 
 
-def dispersed(value: Column) -> Column:
-    """A standard deviation, null when it is zero up to rounding."""
-    return F.when(value > F.lit(ZERO_DISPERSION), value)
+def dispersed(value: Column, around: Column | str | None = None) -> Column:
+    """A standard deviation, null when it is zero; with ``around`` (their mean), zero up to rounding of the values."""
+    noise = F.lit(0.0) if around is None else F.coalesce(F.abs(col(around)), F.lit(0.0)) * F.lit(NOISE)
+    return F.when(value > noise, value)
 
 
 def deviation(value: Column, ddof: int) -> Column:
@@ -64,10 +65,6 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
-
-
 def _halves(value: Column) -> tuple[Column, Column]:
     """A double as the exact sum of two short-mantissa doubles."""
     wide = value * F.lit(134217729.0)
