@@ -101,8 +101,8 @@ def bars_daily(spark: SparkSession, sf: str) -> DataFrame:
         table(spark, sf, "events").where("value > 0")
         .groupBy(F.col("user_id").alias("security_id"), F.to_date("ts").alias("session_date"))
         .agg(
-            F.min_by("value", "ts").alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),
-            F.max_by("value", "ts").alias("close"), F.count(F.lit(1)).cast("double").alias("volume"),
+            F.min_by("value", F.struct("ts", "event_id")).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"),
+            F.max_by("value", F.struct("ts", "event_id")).alias("close"), F.count(F.lit(1)).cast("double").alias("volume"),
             F.max("ts").alias("effective_at"),
         )
         .withColumn("available_at", F.col("effective_at") + F.expr("interval 5 minutes"))
@@ -110,8 +110,8 @@ def bars_daily(spark: SparkSession, sf: str) -> DataFrame:
 
 
 cte("bars_daily", """
-SELECT user_id AS security_id, CAST(ts AS DATE) AS session_date, arg_min(value, ts) AS open,
-       max(value) AS high, min(value) AS low, arg_max(value, ts) AS close,
+SELECT user_id AS security_id, CAST(ts AS DATE) AS session_date, arg_min(value, (ts, event_id)) AS open,
+       max(value) AS high, min(value) AS low, arg_max(value, (ts, event_id)) AS close,
        CAST(count(*) AS DOUBLE) AS volume, max(ts) AS effective_at,
        max(ts) + INTERVAL 5 MINUTE AS available_at
 FROM events WHERE value > 0 GROUP BY 1, 2""")

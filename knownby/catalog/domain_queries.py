@@ -232,14 +232,11 @@ def _(spark, sf):
 @register("h2_peer_relative_zscore", oracle(
     """SELECT security_id, session_date, CASE WHEN n >= 5 AND n > 0 AND sd > 1e-12 THEN (close - m) / sd END AS peer_zscore FROM
        (SELECT a.security_id, a.session_date, any_value(a.close) AS close, count(b.close) AS n, avg(b.close) AS m, stddev_pop(b.close) AS sd
-        FROM weekly_panel a JOIN weekly_panel b ON a.session_date = b.session_date AND a.region = b.region AND a.security_id <> b.security_id GROUP BY 1, 2)""",
+        FROM weekly_panel a LEFT JOIN weekly_panel b ON a.session_date = b.session_date AND a.region = b.region AND a.security_id <> b.security_id GROUP BY 1, 2)""",
     "weekly_panel", "peer_zscore", "session_date"))
 def _(spark, sf):
     out = estimates.peer_relative_zscore(weekly_panel(spark, sf), peer_group=["session_date", "region"], value="close", exclude_self=True)
-    counted = out.select("security_id", "session_date", "peer_zscore", "region")
-    # A name alone in its group has no peer row in the SQL twin.
-    sizes = out.groupBy("session_date", "region").agg(F.count(F.lit(1)).alias("size"))
-    return counted.join(sizes, ["session_date", "region"]).where("size > 1").select("security_id", "session_date", "peer_zscore")
+    return out.select("security_id", "session_date", "peer_zscore")
 
 
 @register("h3_valuation_decomposition", oracle(
@@ -299,10 +296,10 @@ def _(spark, sf):
 
 
 @register("i3_target_expiry", oracle(
-    f"""SELECT security_id, arg_min(expiry, struct_pack(d := abs(days - 30), e := expiry)) AS target_expiry FROM
-        (SELECT *, expiry - CAST({WEEK_AT} AS DATE) AS days FROM chain WHERE expiry - CAST({WEEK_AT} AS DATE) >= 7) GROUP BY 1""", "chain", dates="target_expiry"))
+    f"""SELECT security_id, arg_min(CASE WHEN days >= 7 THEN expiry END, CASE WHEN days >= 7 THEN struct_pack(d := abs(days - 30), e := expiry) END) AS target_expiry FROM
+        (SELECT *, expiry - CAST({WEEK_AT} AS DATE) AS days FROM chain) GROUP BY 1""", "chain", dates="target_expiry"))
 def _(spark, sf):
-    return positioning.select_target_expiry(chain(spark, sf), as_of=WEEK_AS_OF).where("target_expiry is not null")
+    return positioning.select_target_expiry(chain(spark, sf), as_of=WEEK_AS_OF)
 
 
 @register("i4_implied_realized_spread", oracle(

@@ -75,12 +75,12 @@ def _(spark, sf):
 
 @register("k4_pinned_screen", oracle(
     f"""SELECT s_suppkey AS security_id, {', '.join(_BN)}, ({' OR '.join(n + ' IS NULL' for n in _BN)}) AS excluded_for_missing_data, coalesce({_BREAK}, false) AS matches
-        FROM supplier LEFT JOIN {pivot_sql(_BN, f"WHERE calculated_at <= {WEEK_AT} AND feature_version = 'price-mvp-v0' AND security_id >= 10")} w ON w.security_id = s_suppkey""",
+        FROM (SELECT s_suppkey FROM supplier UNION ALL SELECT -s_suppkey - 1 FROM supplier) LEFT JOIN {pivot_sql(_BN, f"WHERE calculated_at <= {WEEK_AT} AND feature_version = 'price-mvp-v0'")} w ON w.security_id = s_suppkey""",
     "weekly_features", " ".join(_BN)))
 def _(spark, sf):
-    # The first suppliers have no features, so the universe join has placeholders to fill.
-    universe = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("security_id"))
-    return screens.evaluate_pinned(weekly_features(spark, sf).where("security_id >= 10"), BREAKOUT, universe, as_of=WEEK_AS_OF).drop("as_of")
+    # Negative ids have no features, so the universe join has placeholders to fill.
+    universe = table(spark, sf, "supplier").select(F.explode(F.array(F.col("s_suppkey"), -F.col("s_suppkey") - 1)).alias("security_id"))
+    return screens.evaluate_pinned(weekly_features(spark, sf), BREAKOUT, universe, as_of=WEEK_AS_OF).drop("as_of")
 
 
 @register("k5_screen_history", oracle(

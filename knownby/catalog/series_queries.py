@@ -87,11 +87,13 @@ def _(spark, sf):
 @register("c9_relative_strength", oracle(
     f"""SELECT security_id, session_date,
         CASE WHEN sum(CASE WHEN rel IS NULL THEN 1 ELSE 0 END) {CUM} = 0 THEN 100 * product(1 + rel) {CUM} END AS relative_strength
-        FROM (SELECT *, (1 + ret) / nullif(1 + mkt_ret, 0) - 1 AS rel FROM weekly_panel
-              QUALIFY row_number() {W} > 1)""", "weekly_panel", "relative_strength", "session_date"))
+        FROM (SELECT *, CASE WHEN row_number() {W} = 1 THEN 0 ELSE (1 + ret) / nullif(1 + mkt_ret, 0) - 1 END AS rel FROM weekly_panel)""",
+    "weekly_panel", "relative_strength", "session_date"))
 def _(spark, sf):
-    first = series.sessions(K, T)
-    rows = weekly_panel(spark, sf).withColumn("n", F.row_number().over(first)).where("n > 1")
+    # The first session is the base: it has no return of its own.
+    base = F.row_number().over(series.sessions(K, T)) == 1
+    rows = weekly_panel(spark, sf)
+    rows = rows.withColumns({c: F.when(base, F.lit(0.0)).otherwise(F.col(c)) for c in ("ret", "mkt_ret")})
     out = series.relative_strength(rows, keys=K, order=T, asset="ret", benchmark="mkt_ret", base=100.0)
     return out.select("security_id", T, "relative_strength")
 

@@ -66,10 +66,11 @@ def _(spark, sf):
 def _(spark, sf):
     root = scratch(spark)
     spec = VintageTable("vintage", ("security_id", "metric", "available_at"), ("value",))
-    rows = table_stream(spark, sf, "events").select(
+    rows = table(spark, sf, "events").select(
         F.col("user_id").alias("security_id"), F.col("event_type").alias("metric"), F.col("ts").cast("timestamp").alias("available_at"), "value")
-    doubled = rows.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    drained(live.ingest_vintages(doubled, spec, path=f"{root}/sink", checkpoint=f"{root}/checkpoint", watermark="40 days"))
+    # Several micro-batches; each row comes twice, and old vintages arrive after new ones.
+    doubled = rows.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).repartition(12, F.pmod(F.xxhash64("security_id", "available_at", "copy"), F.lit(12))).drop("copy")
+    drained(live.ingest_vintages(replay(spark, doubled, root), spec, path=f"{root}/sink", checkpoint=f"{root}/checkpoint"))
     return spark.read.parquet(f"{root}/sink")
 
 

@@ -113,14 +113,15 @@ def _hour(at: Column) -> Column:
 
 def overlapping_intervals(
     intervals: DataFrame, *, keys: Sequence[str], tie_break: Sequence[str],
-    start: str = "valid_from", end: str = "valid_to",
+    start: str = "valid_from", end: str = "valid_to", payload: Sequence[str] = (),
 ) -> DataFrame:
     """Intervals that start before an earlier interval of the same key has ended.
 
     A running maximum of the ends, carried over hourly buckets, replaces the
-    pairwise comparison; an exact repeat of an interval is a retry, not an overlap.
+    pairwise comparison. A repeat of an interval is a retry, not an overlap, if
+    it says the same: ``payload`` names what it says (default: ``tie_break``).
     """
-    distinct = intervals.dropDuplicates([*keys, start, end])
+    distinct = intervals.dropDuplicates([*dict.fromkeys([*keys, start, end, *(payload or tie_break)])])
     far = F.lit("9999-01-01").cast("timestamp")
     swept = running_fold(
         distinct,

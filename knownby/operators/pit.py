@@ -299,19 +299,23 @@ def panel_as_of(
     )
 
 
+def refuse(violations: DataFrame, message: str) -> None:
+    """Raise if there is any violation.
+
+    The check is an action of its own, before the result exists. A check inside a
+    column or a filter of the result goes as soon as the caller does not read it,
+    or Spark moves another filter below it.
+    """
+    first = violations.limit(1).collect()
+    if first:
+        raise ValueError(f"{message}: {first[0].asDict()}")
+
+
 def require_unambiguous(panel: DataFrame) -> DataFrame:
-    """Fail the job when a panel cell had several winning snapshots."""
-    return panel.withColumn(
-        "candidates",
-        F.when(F.col("candidates") == 1, F.col("candidates")).otherwise(
-            F.raise_error(
-                F.concat(
-                    F.lit("ambiguous feature snapshots for "),
-                    F.col("security_id").cast("string"), F.lit("/"), F.col("feature_name"),
-                )
-            ).cast("bigint")
-        ),
-    )
+    """The panel, once no cell of it has several winning snapshots."""
+    shared = panel.where(F.coalesce(F.col("candidates"), F.lit(0)) != 1)
+    refuse(shared.select("security_id", "feature_name", "candidates"), "ambiguous feature snapshots")
+    return panel
 
 
 def cards_as_of(
@@ -338,16 +342,11 @@ def availability_violations(
 def assert_available_by_decision(
     df: DataFrame, *, decision: str = "decision_at", available: str = "available_at"
 ) -> DataFrame:
-    """Pass rows through; the job fails on the first look-ahead row."""
-    require_columns(df, [decision, available])
-    late = F.col(decision).isNull() | F.col(available).isNull() | (
-        F.col(available) > F.col(decision)
-    )
-    return df.withColumn(
-        available,
-        F.when(late, F.raise_error(F.lit("rows unavailable at decision time")).cast("timestamp"))
-        .otherwise(F.col(available)),
-    )
+    """The rows, once none of them became known after its decision."""
+    late = availability_violations(df, decision=decision, available=available)
+    refuse(late.select(decision, available), "rows unavailable at decision time")
+    return df
+
 
 
 def normalize_utc(df: DataFrame, column: str, *, strict: bool = False) -> DataFrame:

@@ -10,8 +10,8 @@ The operators here instead cut each group into many buckets by a *monotone* and
 3. carry totals across buckets with a window over one small row per bucket.
 
 Because the bucket function is monotone the results are exact whatever the data
-looks like, and because it depends on the row alone a recomputed task after a
-lost executor reproduces the same bucket.
+looks like. It depends on the row and on stored cuts alone, so a recomputed task
+after a lost executor reproduces the same bucket.
 """
 
 from __future__ import annotations
@@ -22,25 +22,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knownby.functions.numeric import all_of, finite, ratio
+from knownby.session import materialize
 
 # Buckets per e-fold of magnitude: about 0.05 % relative width.
 _RESOLUTION = 2000
 # Larger than the resolution times the largest |ln(double)|, so signs never mix.
 _OFFSET = 1_600_000
+# Parts that a group is cut into, at quantiles of its own values.
+PARTS = 256
 
 
 def magnitude_bucket(value: Column) -> Column:
-    """Monotone map of a finite double to a logarithmically spaced bucket number."""
+    """Monotone map of a finite double to a logarithmically spaced bucket number, for values spread over magnitudes."""
     step = F.floor(F.ln(F.abs(value)) * F.lit(_RESOLUTION)) + F.lit(_OFFSET)
     return (
         F.when(value > 0, step).when(value < 0, -step).when(value == 0, F.lit(0)).cast("bigint")
     )
 
 
-def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    return all_of([left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def attach(df: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join per-key facts onto rows, treating null keys as equal.
 
@@ -60,15 +59,16 @@ def attach(df: DataFrame, facts: DataFrame, keys: Sequence[str], how: str = "lef
 
 def _value_counts(df: DataFrame, keys: Sequence[str], value: Column | str) -> DataFrame:
     """One row per distinct finite value of a group, with its multiplicity and rank start."""
-    number = finite(value)
-    counted = (
-        df.select(*keys, number.alias("__v"))
-        .where(F.col("__v").isNotNull())
-        .withColumn("__b", magnitude_bucket(F.col("__v")))
-        .groupBy(*keys, "__b", "__v")
-        .agg(F.count(F.lit(1)).alias("__c"))
-    )
-    return counted
+    rows = df.select(*keys, finite(value).alias("__v")).where(F.col("__v").isNotNull())
+    counted = rows.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    # Close values, offsets and outliers alike: the cuts follow the group's own distribution. They only decide which
+    # task sees a value, so approximate quantiles, merged from every task's summary, leave the results exact. They are
+    # written once, because a summary computed again could differ and move values between parts.
+    cuts = materialize(rows.groupBy(*keys).agg(
+        F.percentile_approx("__v", [i / PARTS for i in range(1, PARTS)], F.lit(10 * PARTS)).alias("__cuts")
+    ))
+    part = F.size(F.filter("__cuts", lambda c: c < F.col("__v"))).cast("bigint")
+    return attach(counted, cuts, keys).withColumn("__b", part).select(*keys, "__b", "__v", "__c")
 
 
 def _bucket_offsets(counted: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from knownby.functions.numeric import all_of, finite
 from knownby.operators.pit import (
     Instant, cutoff_table, instant, ordered_cutoffs, panel_as_of, require_columns,
-    require_unambiguous, with_first_cutoff,
+    refuse, require_unambiguous, with_first_cutoff,
 )
 
 PANEL_COLUMNS = (
@@ -203,9 +203,8 @@ def _judge(wide: DataFrame, screen: Screen) -> DataFrame:
     for name in screen.features:
         missing = missing | F.col(name).isNull()
     if screen.missing_policy == "fail":
-        missing = F.when(
-            missing, F.raise_error(F.concat(F.lit("missing screen inputs for "), F.col("security_id").cast("string"))).cast("boolean")
-        ).otherwise(F.lit(False))
+        refuse(wide.where(missing).select("security_id"), "missing screen inputs")
+        missing = F.lit(False)
     return wide.withColumn("excluded_for_missing_data", missing).withColumn(
         "matches", all_of([c.holds() for c in screen.criteria])
     )
@@ -263,9 +262,8 @@ def evaluate_pinned(features: DataFrame, screen: Screen, universe: DataFrame, *,
     )
     wide = panel.groupBy("security_id").agg(
         *[F.max(F.when(F.col("feature_name") == n, finite("value"))).alias(n) for n in screen.features],
-        F.max("candidates").alias("__candidates"),
     )
-    full = wanted.join(wide, "security_id", "left").drop("__candidates")
+    full = wanted.join(wide, "security_id", "left")
     return _judge(full.withColumn("as_of", instant(as_of)), screen)
 
 

@@ -14,6 +14,7 @@ from knownby.operators.research import Materiality
 from knownby.operators.screens import Screen, run_screen, screen_matches
 from knownby.plans.daily import DailyRequest, DailyRun, daily_research
 from knownby.sources.appends import PRICE_BARS, append_vintages
+from knownby.session import materialize
 from knownby.sources.bars import batch_status, batch_violations
 
 
@@ -59,15 +60,21 @@ def weekly_screen(features: DataFrame, screen: Screen, *, as_of: Instant, tie_br
 def ingest_prices(spark: SparkSession, path: str, loaded: DataFrame, request: DataFrame,
                   batches: DataFrame) -> dict[str, object]:
     """Validate a loaded batch, then append its bars; returns received and inserted counts."""
+    loaded = materialize(loaded)  # checked, counted and appended
     rows = loaded.where("session_date is not null").withColumn("frequency", F.lit("1d"))
     broken = batch_violations(batches, rows, request).limit(1).collect()
     if broken:
         raise ValueError(f"price batch rejected: {broken[0].asDict()}")
-    summary = batch_status(loaded).agg(F.sum("row_count").alias("n"), F.max("status").alias("s")).first()
+    severity = F.coalesce(F.array_position(F.array(*map(F.lit, SEVERITY)), F.col("status")), F.lit(0))
+    summary = batch_status(loaded, requested=batches).agg(F.coalesce(F.sum("row_count"), F.lit(0)).alias("n"), F.max_by("status", severity).alias("s")).first()
     inserted = append_vintages(spark, path, rows, PRICE_BARS)
     return {"received": int(summary["n"]), "inserted": inserted, "status": summary["s"]}
 
 
+#: Statuses of a batch from good to bad; the worst speaks for a load.
+SEVERITY = ("succeeded", "partial", "failed")
+
+
 def latest_status(records: DataFrame, *, order: str = "started_at", by: Sequence[str] = ()) -> DataFrame:
     """The newest record per provider or overall, by one aggregation."""
     rest = [c for c in records.columns if c not in by]

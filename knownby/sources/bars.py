@@ -151,17 +151,22 @@ def load_batch(request: DataFrame, bars: DataFrame, *, source: str, batch_id: Co
     )
 
 
-def batch_status(loaded: DataFrame, *, strict_failure: bool = True) -> DataFrame:
+def batch_status(loaded: DataFrame, *, strict_failure: bool = True, requested: DataFrame | None = None) -> DataFrame:
     """Status of each batch from its loaded rows.
 
     With ``strict_failure`` a batch that got nothing has failed; otherwise missing
-    symbols only make it partial.
+    symbols only make it partial. ``requested`` (ingestion_batch_id) names the batches
+    that were asked for: one whose symbols all have bars, but none in the range, has
+    no loaded row and has succeeded with none.
     """
     found = F.col("session_date").isNotNull()
     counts = loaded.groupBy("ingestion_batch_id").agg(
         F.count_if(found).alias("row_count"),
         F.count_distinct(F.when(~found, F.col("provider_identifier"))).alias("missing_symbols"),
     )
+    if requested is not None:
+        named = requested.select("ingestion_batch_id").distinct()
+        counts = named.join(counts, "ingestion_batch_id", "left").na.fill(0, ["row_count", "missing_symbols"])
     failed = (F.col("row_count") == 0) & (F.col("missing_symbols") > 0) & F.lit(strict_failure)
     return counts.withColumn(
         "status",

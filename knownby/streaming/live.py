@@ -42,22 +42,16 @@ def start(stream: DataFrame, handle: Callable[[DataFrame, int], None], *, checkp
     return writer.start()
 
 
-def unique_vintages(stream: DataFrame, table: VintageTable, *, watermark: str = "1 day",
-                    available: str = "available_at") -> DataFrame:
-    """Drop exact repeats inside the watermark; rows that differ in content pass on
-    so that the append can report the conflict."""
-    return stream.withWatermark(available, watermark).dropDuplicatesWithinWatermark(
-        [*table.key, *table.content]
-    )
-
-
-def ingest_vintages(stream: DataFrame, table: VintageTable, *, path: str, checkpoint: str,
-                    watermark: str = "1 day") -> StreamingQuery:
-    """Idempotent vintage ingest; a conflicting vintage fails its batch."""
+def ingest_vintages(stream: DataFrame, table: VintageTable, *, path: str, checkpoint: str) -> StreamingQuery:
+    """Idempotent vintage ingest; a conflicting vintage fails its batch.
+
+    The stored table is the state, and the append knows repeats however old they
+    are. So there is no watermark, and a vintage that arrives late is stored.
+    """
     def handle(batch: DataFrame, _: int) -> None:
         append_vintages(batch.sparkSession, path, batch, table)
 
-    return start(unique_vintages(stream, table, watermark=watermark), handle, checkpoint=checkpoint)
+    return start(stream, handle, checkpoint=checkpoint)
 
 
 def live_screen(stream: DataFrame, screen: Screen, table: VintageTable, *, features_path: str, results_path: str,

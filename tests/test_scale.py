@@ -68,3 +68,14 @@ def test_cross_section_literals(spark):
     assert out[3]["winsorized"] == 26.5 and out[3]["percentile"] == 1.0
     thin = panels.winsorize(df, keys=["d"], value="v", minimum=5).collect()
     assert {r["winsorized"] for r in thin} == {None}
+
+
+def test_close_values_spread_over_many_parts(spark):
+    """Values near one offset share a magnitude, not a task."""
+    from knownby.operators.scale import _value_counts
+
+    df = spark.range(200_000).select((F.col("id") % 3).alias("g"), (F.col("id") + 1.7e9).alias("v"))
+    sizes = [r["count"] for r in _value_counts(df, ["g"], "v").groupBy("g", "__b").count().collect()]
+    assert len(sizes) > 3 * 200 and max(sizes) < 3 * 200_000 / len(sizes)
+    odd = spark.createDataFrame([("a", v) for v in (1e300, -1e300, 0.0, 5.0, 5.0, float("nan"), None)], "g string, v double")
+    assert sorted((r["__v"], r["__c"]) for r in _value_counts(odd, ["g"], "v").collect()) == [(-1e300, 1), (0.0, 1), (5.0, 2), (1e300, 1)]
