@@ -196,3 +196,11 @@ def test_evidence_checks(spark):
 def test_squeeze_flag(spark):
     df = spark.createDataFrame([(0.2, 6.0), (0.1, 6.0), (None, 9.0)], "a double, b double").select(naive.squeeze_flag("a", "b").alias("f"))
     assert [r["f"] for r in df.collect()] == [True, False, False]
+
+
+def test_look_ahead_in_another_feature_is_refused(spark):
+    panel, returns = portfolio_inputs(spark)
+    spec = portfolio.PortfolioSpec("signal", "2024-01-01T00:00:00+00:00", "2024-01-31T00:00:00+00:00", quantiles=2, rebalance="daily", minimum_names=4)
+    late = panel.limit(1).withColumns({"feature_name": F.lit("other"), "available_at": F.col("decision_at") + F.expr("interval 1 second")})
+    with pytest.raises(ValueError, match="unavailable at decision time"):
+        portfolio.evaluate_portfolio(panel.unionByName(late), returns, spec)

@@ -127,3 +127,24 @@ def test_future_rows_change_nothing(spark, name, past, future):
         sorted(map(str, OPERATORS[name](vintages(spark, rows)).collect())) for rows in (before, before + after)
     ]
     assert results[0] == results[1]
+
+
+def test_guards_hold_when_other_columns_are_read(spark):
+    late = spark.createDataFrame([(utc(2024, 1, 2), utc(2024, 1, 3), 1.0)], "decision_at timestamp, available_at timestamp, value double")
+    with pytest.raises(ValueError, match="unavailable at decision time"):
+        pit.assert_available_by_decision(late).select("value").collect()
+    row = ("a", "signal", "v1", 1.0, utc(2024, 1, 2), utc(2024, 1, 2), utc(2024, 1, 2), "c")
+    pins = spark.createDataFrame([("signal", "v1")], "feature_name string, feature_version string")
+    tied = snapshots(spark, [row, ("a", "signal", "v1", 2.0, *row[4:])])
+    with pytest.raises(ValueError, match="ambiguous feature snapshots"):
+        pit.require_unambiguous(pit.panel_as_of(tied, pins=pins, as_of=CUT, config_version="c")).select("value").collect()
+
+
+def test_same_interval_with_another_payload_overlaps(spark):
+    from knownby.operators import intervals as iv
+
+    schema = "security_id long, benchmark_security_id long, valid_from timestamp, valid_to timestamp"
+    one = (1, 7, utc(2024, 1, 1), utc(2024, 2, 1))
+    found = lambda rows: iv.overlapping_intervals(spark.createDataFrame(rows, schema), keys=["security_id"], tie_break=["benchmark_security_id"]).count()
+    assert found([one, one]) == 0
+    assert found([one, (1, 9, *one[2:])]) == 1
