@@ -303,9 +303,12 @@ def claim_docs(spark, sf):
     return table(spark, sf, "documents").select("doc_id", "n_chars", body.alias("text"))
 
 
-@register("n1_numeric_claims", oracle("SELECT doc_id, position, value, unit FROM claims", "claims", "value"))
+@register("n1_numeric_claims", oracle("SELECT doc_id, position, raw, value, unit, true AS found_there FROM claims", "claims", "value"))
 def _(spark, sf):
-    return filings.extract_numeric_claims(claim_docs(spark, sf)).select("doc_id", "position", "value", "unit")
+    docs = claim_docs(spark, sf)
+    claims = filings.extract_numeric_claims(docs).join(docs.select("doc_id", "text"), "doc_id")
+    there = F.substring("text", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")) == F.col("raw")
+    return claims.select("doc_id", "position", "raw", "value", "unit", there.alias("found_there"))
 
 
 @register("n2_validate_claims", oracle(
@@ -349,16 +352,20 @@ cte("lines", r"SELECT doc_id, section, line, count(*) AS c FROM (SELECT doc_id,
 
 
 @register("n5_compare_versions", oracle(
-    r"""SELECT pair AS doc_id, section, CAST(sum(CASE WHEN shown THEN greatest(now - before, 0) ELSE 0 END) AS BIGINT) AS added_lines, CAST(sum(CASE WHEN shown THEN greatest(before - now, 0) ELSE 0 END) AS BIGINT) AS removed_lines,
+    r"""SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY change_ratio DESC, section) AS change_rank FROM (SELECT pair AS doc_id, section,
+       array_to_string(list_sort(flatten(list(CASE WHEN shown THEN list_transform(range(greatest(now - before, 0)), lambda i: stripped) ELSE [] END))), ',') AS added,
+       array_to_string(list_sort(flatten(list(CASE WHEN shown THEN list_transform(range(greatest(before - now, 0)), lambda i: stripped) ELSE [] END))), ',') AS removed,
+       CAST(sum(CASE WHEN shown THEN greatest(now - before, 0) ELSE 0 END) AS BIGINT) AS added_lines, CAST(sum(CASE WHEN shown THEN greatest(before - now, 0) ELSE 0 END) AS BIGINT) AS removed_lines,
        1 - 2.0 * sum(least(now, before)) / sum(now + before) AS change_ratio FROM
-       (SELECT coalesce(p.doc_id + 1, c.doc_id) AS pair, coalesce(p.section, c.section) AS section, coalesce(c.c, 0) AS now, coalesce(p.c, 0) AS before, regexp_matches(coalesce(p.line, c.line), '\S') AS shown
+       (SELECT coalesce(p.doc_id + 1, c.doc_id) AS pair, coalesce(p.section, c.section) AS section, coalesce(c.c, 0) AS now, coalesce(p.c, 0) AS before, regexp_matches(coalesce(p.line, c.line), '\S') AS shown, regexp_replace(coalesce(p.line, c.line), '^\s+|\s+$', '', 'g') AS stripped
         FROM lines p FULL JOIN lines c ON c.doc_id = p.doc_id + 1 AND c.section = p.section AND c.line = p.line)
        WHERE pair IN (SELECT a.doc_id FROM documents a JOIN documents b ON b.doc_id = a.doc_id - 1) GROUP BY 1, 2
-       HAVING sum(CASE WHEN shown THEN abs(now - before) ELSE 0 END) > 0""", "lines", "change_ratio"))
+       HAVING sum(CASE WHEN shown THEN abs(now - before) ELSE 0 END) > 0)""", "lines", "change_ratio"))
 def _(spark, sf):
     docs = headed_docs(spark, sf)
     before = docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("text").alias("previous"))
-    return filings.compare_versions(docs.withColumnRenamed("text", "current").join(before, "doc_id"), key="doc_id", previous="previous", current="current")
+    out = filings.compare_versions(docs.withColumnRenamed("text", "current").join(before, "doc_id"), key="doc_id", previous="previous", current="current")
+    return out.withColumns({c: F.sort_array(c) for c in ("added", "removed")})
 
 
 @register("n6_evidence_evaluation", oracle(

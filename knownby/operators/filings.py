@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knownby.functions.numeric import col, ratio
+from knownby.functions.text import match_starts
 from knownby.operators.scale import attach
 
 # What counts as a numeric claim and as a filing heading.
@@ -20,8 +21,9 @@ _OPEN, _CLOSE = "\u0001", "\u0002"
 
 
 def numeric_claims(text: Column | str) -> Column:
-    """Array of (raw, value, unit) in text order; one regex scan per document, no shuffle."""
-    def parse(raw: Column) -> Column:
+    """Array of (raw, value, unit, start, end) in text order, by regex scans of the row, no shuffle; offsets count characters."""
+    def parse(found: Column) -> Column:
+        raw = found["raw"]
         unit_text = F.lower(F.regexp_replace(raw, r"[^%a-zA-Z]", ""))
         number = F.regexp_replace(raw, r"[^0-9.+-]", "").try_cast("double")
         unit = (
@@ -32,14 +34,19 @@ def numeric_claims(text: Column | str) -> Column:
             .otherwise("number")
         )
         scale = F.when(unit_text == "%", 100.0).when(unit_text.startswith("bp"), 10_000.0).otherwise(1.0)
-        return F.struct(raw.alias("raw"), (number / scale).alias("value"), unit.alias("unit"))
+        return F.struct(
+            raw.alias("raw"), (number / scale).alias("value"), unit.alias("unit"),
+            found["start"].alias("start"), (found["start"] + F.char_length(raw)).alias("end"),
+        )
 
-    return F.transform(F.regexp_extract_all(col(text), F.lit(NUMERIC_CLAIM), F.lit(0)), parse)
+    raws = F.regexp_extract_all(col(text), F.lit(NUMERIC_CLAIM), F.lit(0))
+    starts = match_starts(F.transform(F.split(col(text), NUMERIC_CLAIM, -1), F.char_length), F.transform(raws, F.char_length))
+    return F.transform(F.arrays_zip(raws, starts).cast("array<struct<raw:string,start:bigint>>"), parse)
 
 
 def extract_numeric_claims(documents: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     return documents.select(key, F.posexplode(numeric_claims(text)).alias("position", "claim")).select(
-        key, "position", "claim.raw", "claim.value", "claim.unit"
+        key, "position", "claim.raw", "claim.value", "claim.unit", "claim.start", "claim.end"
     )
 
 
@@ -140,7 +147,7 @@ def segment_sections(documents: DataFrame, *, key: str = "doc_id", text: str = "
 
 
 def compare_versions(pairs: DataFrame, *, key: str, previous: str, current: str) -> DataFrame:
-    """Changed sections per version pair: line counts added and removed, and the change ratio.
+    """Changed sections per version pair: lines added and removed, their counts, the change ratio and its rank in the pair.
 
     Lines are compared as multisets: both versions are exploded with opposite
     signs and cancelled in one aggregation per (pair, section, line).
@@ -148,29 +155,39 @@ def compare_versions(pairs: DataFrame, *, key: str, previous: str, current: str)
     def lines(text: str, sign: int) -> DataFrame:
         parts = segment_sections(pairs, key=key, text=text)
         return parts.select(
-            key, "section", F.explode(F.split("body", "\r\n|\n|\r")).alias("line"), F.lit(sign).alias("sign")
+            key, "section", F.posexplode(F.split("body", "\r\n|\n|\r")).alias("at", "line"), F.lit(sign).alias("sign")
         )
 
     balanced = (
         lines(previous, -1).unionByName(lines(current, 1)).groupBy(key, "section", "line")
         .agg(
             F.sum(F.when(F.col("sign") > 0, 1).otherwise(0)).alias("now"),
-            F.sum(F.when(F.col("sign") < 0, 1).otherwise(0)).alias("before"),
+            F.sum(F.when(F.col("sign") < 0, 1).otherwise(0)).alias("before"), F.min("at").alias("at"),
         )
         .withColumn("shown", _strip(F.col("line")) != "")
     )
     more, fewer = F.col("now") - F.col("before"), F.col("before") - F.col("now")
     zero = F.lit(0)
+
+    def texts(surplus: Column) -> Column:
+        """The changed lines of a section in order of their first place; one filing's section bounds the list."""
+        copies = F.array_repeat(_strip(F.col("line")), F.greatest(surplus, zero).cast("int"))
+        placed = F.collect_list(F.when(F.col("shown") & (surplus > 0), F.struct("at", "line", copies.alias("copies"))))
+        return F.flatten(F.transform(F.array_sort(placed), lambda x: x["copies"]))
+
     per_section = balanced.groupBy(key, "section").agg(
         F.sum(F.when(F.col("shown"), F.greatest(more, zero)).otherwise(0)).alias("added_lines"),
         F.sum(F.when(F.col("shown"), F.greatest(fewer, zero)).otherwise(0)).alias("removed_lines"),
+        texts(more).alias("added"), texts(fewer).alias("removed"),
         F.sum(F.least("now", "before")).alias("__same"),
         F.sum(F.col("now") + F.col("before")).alias("__all"),
     )
-    return per_section.where("added_lines > 0 or removed_lines > 0").select(
-        key, "section", "added_lines", "removed_lines",
+    changed = per_section.where("added_lines > 0 or removed_lines > 0").select(
+        key, "section", "added_lines", "removed_lines", "added", "removed",
         (F.lit(1.0) - ratio(F.lit(2.0) * F.col("__same"), F.col("__all"))).alias("change_ratio"),
     )
+    order = Window.partitionBy(key).orderBy(F.col("change_ratio").desc(), "section")
+    return changed.withColumn("change_rank", F.row_number().over(order))
 
 
 def evaluate_evidence(df: DataFrame, *, predicted: str, expected: str, claims: str, supported: str) -> DataFrame:

@@ -13,38 +13,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knownby.functions.numeric import clip, dispersed, finite, ratio
-from knownby.operators.scale import (
-    attach, average_rank, exact_quantiles, group_moments, value_positions,
-)
+from knownby.operators.scale import attach, exact_quantiles, group_moments, value_positions
 from knownby.session import materialize
 
 
 def winsorize(df: DataFrame, *, keys: Sequence[str], value: str, lower: float = 0.01,
               upper: float = 0.99, minimum: int = 5, name: str = "winsorized") -> DataFrame:
     """Clip to linear quantiles of the group; thin groups give null, missing stays missing."""
-    return _winsorize(materialize(df), keys, value, lower, upper, minimum, name)
+    return _clipped(df, _bounds(_stored(df, keys, value), keys, lower, upper, minimum), keys, value, name)
 
 
-def _winsorize(df, keys, value, lower, upper, minimum, name) -> DataFrame:
-    """``winsorize`` of a stored input, which is read for counts, quantiles and rows."""
+def _stored(df: DataFrame, keys: Sequence[str], value: str, *more: str) -> DataFrame:
+    """The group and the value alone, written once for the facts that read it several times."""
+    return materialize(df.select(*dict.fromkeys([*keys, *more]), finite(value).alias("__value")))
+
+
+def _bounds(values: DataFrame, keys, lower, upper, minimum) -> DataFrame:
+    """One row per group of at least ``minimum`` values: the bounds to clip to."""
     if not 0.0 <= lower < upper <= 1.0 or minimum < 1:
-        raise ValueError("winsorization bounds or minimum are out of range")
-    bounds = exact_quantiles(df, keys=keys, value=value, quantiles={"__lo": lower, "__hi": upper})
-    counts = df.groupBy(*keys).agg(F.count(finite(value)).alias("__n"))
-    work = attach(df, attach(counts, bounds, keys), keys)
+        raise ValueError("clip between two ordered quantiles of a group of one or more")
+    bounds = exact_quantiles(values, keys=keys, value="__value", quantiles={"__lo": lower, "__hi": upper})
+    counts = values.groupBy(*keys).agg(F.count("__value").alias("__n")).where(F.col("__n") >= minimum)
+    return attach(counts, bounds, keys).drop("__n")
+
+
+def _clipped(df: DataFrame, bounds: DataFrame, keys, value, name) -> DataFrame:
     clipped = clip(finite(value), F.col("__lo"), F.col("__hi"))
-    return work.withColumn(name, F.when(F.col("__n") >= minimum, clipped)).drop("__n", "__lo", "__hi")
+    work = attach(df, bounds.withColumn("__full", F.lit(True)), keys)
+    return work.withColumn(name, F.when(F.col("__full"), clipped)).drop("__full", "__lo", "__hi")
 
 
 def cross_sectional_zscore(df: DataFrame, *, keys: Sequence[str], value: str,
                            groups: str | None = None, ddof: int = 0, minimum: int = 5,
-                           name: str = "zscore") -> DataFrame:
-    """Standardize within a date, or within (date, group) when ``groups`` is given."""
+                           name: str = "zscore", source: DataFrame | None = None) -> DataFrame:
+    """Standardize within a date, or within (date, group) when ``groups`` is given.
+
+    ``source`` holds the same groups and values, if they are at hand more cheaply.
+    """
     if ddof < 0 or minimum <= ddof:
         raise ValueError("minimum must exceed non-negative ddof")
     within = [*keys, groups] if groups else list(keys)
-    stats = group_moments(df, keys=within, value=value, ddof=ddof)
-    score = ratio(finite(value) - F.col("__g_mean"), dispersed(F.col("__g_sd")))
+    stats = group_moments(df if source is None else source, keys=within, value=value, ddof=ddof)
+    score = ratio(finite(value) - F.col("__g_mean"), dispersed(F.col("__g_sd"), "__g_mean"))
     usable = F.col("__g_n") >= minimum
     if groups:
         usable = usable & F.col(groups).isNotNull()
@@ -56,8 +66,15 @@ def cross_sectional_zscore(df: DataFrame, *, keys: Sequence[str], value: str,
 def percentile_rank(df: DataFrame, *, keys: Sequence[str], value: str,
                     name: str = "percentile") -> DataFrame:
     """Average rank over the number of non-missing names."""
-    ranked = average_rank(materialize(df), keys=keys, value=value, rank="__rank", count="__count")
-    return ranked.withColumn(name, ratio("__rank", "__count")).drop("__rank", "__count")
+    ranks = _ranks(_stored(df, keys, value), keys, "__value", name)
+    return attach(df.withColumn("__value", finite(value)), ranks, [*keys, "__value"]).drop("__value")
+
+
+def _ranks(values: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+    """Average rank of each distinct value over the number of values of its group."""
+    return value_positions(values, keys=keys, value=value).select(
+        *keys, F.col("value").alias(value), ratio((F.col("first") + F.col("last")) / F.lit(2.0), "n").alias(name)
+    )
 
 
 def normalize_factor(df: DataFrame, *, keys: Sequence[str], value: str, groups: str | None = None,
@@ -65,17 +82,14 @@ def normalize_factor(df: DataFrame, *, keys: Sequence[str], value: str, groups:
                      minimum: int = 5) -> DataFrame:
     """Adds raw, winsorized, zscore and percentile columns for one factor.
 
-    Each step derives group facts from its input and joins them back; storing
-    the input and the winsorized values keeps those reads from multiplying.
+    Facts of the groups come from stored (group, value) pairs and are joined to the
+    rows, which are never written.
     """
-    base = materialize(df.withColumn("raw", finite(value)))
-    clipped = materialize(
-        _winsorize(base, keys, "raw", lower, upper, minimum, "winsorized")
-    )
-    scored = cross_sectional_zscore(clipped, keys=keys, value="winsorized", groups=groups, ddof=ddof,
-                                    minimum=minimum)
-    ranks = value_positions(clipped, keys=keys, value="winsorized").select(
-        *keys, F.col("value").alias("winsorized"),
-        ratio((F.col("first") + F.col("last")) / F.lit(2.0), "n").alias("percentile"),
-    )
-    return attach(scored, ranks, [*keys, "winsorized"])
+    more = [groups] if groups else []
+    values = _stored(df, keys, value, *more)
+    bounds = materialize(_bounds(values, keys, lower, upper, minimum))
+    clipped = materialize(_clipped(values, bounds, keys, "__value", "winsorized").drop("__value"))
+    rows = _clipped(df.withColumn("raw", finite(value)), bounds, keys, "raw", "winsorized")
+    scored = cross_sectional_zscore(rows, keys=keys, value="winsorized", groups=groups, ddof=ddof,
+                                    minimum=minimum, source=clipped)
+    return attach(scored, _ranks(clipped, keys, "winsorized", "percentile"), [*keys, "winsorized"])
