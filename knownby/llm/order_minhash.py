@@ -14,11 +14,11 @@ M is found by bit-parallel alignment inside the band that the threshold leaves.
 No bucket is expanded into pairs. (1) Texts with the same words are one node.
 (2) In a bucket every node is verified against one leader, the node that shares
 buckets with most others. (3) Components of these links are formed. (4) A pair of
-one bucket that is still apart is verified unless it cannot reach the threshold:
-what each has in common with their leader, and how many of its other shingles occur
-in any other node under that leader, bounds what the two can share, and the shingles
-that each lacks and has beyond the leader tell it exactly. So no link between
-candidates is lost, and drifted copies of copies are ruled out without their texts.
+one bucket that is still apart is verified, once, unless it cannot reach the
+threshold: from what each has in common with their leader, and how many of its other
+shingles occur in any other node under that leader, follows how much the two can
+share. So no link between candidates is lost, and most copies of copies that have
+drifted too far apart are ruled out without being compared.
 
 Rows: texts without words are alike only if equal (null is empty). A row without a
 doc_id is grouped by equal words only and belongs to the class of the smallest id
@@ -236,13 +236,13 @@ def sequences(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, words: DataFrame, shingle: int, least: float, apart: bool = False) -> DataFrame:
-    """a, b, shared (shingles in common), linked; with ``apart`` also the numbered shingles that only a has (rest) and only b (gone)."""
+    """a, b, shared (shingles in common), linked; with ``apart`` also the numbered shingles of a that b lacks."""
     both = (pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a")
             .join(words.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b").select("a", "b", "wa", "wb"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            common, linked, rest, gone = [], [], [], []
+            common, linked, rest = [], [], []
             for wa, wb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = (shingle_hashes(mix(np.frombuffer(w, np.uint32).astype(np.uint64)), np.array([0, len(w) // 4]), shingle)[0] for w in (wa, wb))
                 n, m = len(x), len(y)
@@ -254,10 +254,9 @@ def compared(pairs: DataFrame, words: DataFrame, shingle: int, least: float, apa
                 common.append(together)
                 linked.append(bool(found) and found >= least * (n + m - found))
                 rest.append(alone.view(np.int64) if apart else [])
-                gone.append(other[~np.isin(other, own)].view(np.int64) if apart else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(linked, pa.bool_()), pa.array(rest, pa.list_(pa.int64())), pa.array(gone, pa.list_(pa.int64()))], names=["a", "b", "shared", "linked", "rest", "gone"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(linked, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))], names=["a", "b", "shared", "linked", "rest"])
 
-    return both.mapInArrow(run, "a long, b long, shared long, linked boolean, rest array<long>, gone array<long>")
+    return both.mapInArrow(run, "a long, b long, shared long, linked boolean, rest array<long>")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
@@ -287,21 +286,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     extra = rest.join(common, ["b", "s"]).groupBy("a", "b").agg(F.count("*").alias("extra"))
     reach = first.join(extra, ["a", "b"], "left").select(F.col("a").alias("node"), F.col("b").alias("leader"), (F.col("shared") + F.coalesce("extra", F.lit(0))).alias("most"))
     placed = (led.join(reach, ["node", "leader"], "left").join(parts, "node", "left")
-              .select("key", "node", "leader", "n", F.least("n", F.coalesce("most", "n")).alias("most"), F.coalesce("component", "node").alias("component"), (F.col("node") == F.col("leader")).alias("leads")))
+              .select("key", "node", "n", F.least("n", F.coalesce("most", "n")).alias("most"), F.coalesce("component", "node").alias("component"), (F.col("node") == F.col("leader")).alias("leads")))
     placed = materialize(placed.where("not leads"))
     split = placed.groupBy("key").agg((F.min("component") != F.max("component")).alias("split")).where("split").select("key")
     open_rows = placed.join(split, "key", "left_semi")
-    # M >= least / (1 + least) * (n1 + n2) bounds the partner's length by what a node can share. Of the pairs left, what
-    # they have in common follows exactly from what each has and lacks against their leader.
+    # M >= least / (1 + least) * (n1 + n2) bounds the partner's length by what a node can share. A pair that meets in
+    # several buckets is taken in the first.
     longest = (F.col("most") * ((1 + least) / least) - F.col("n")).alias("longest")
-    able = open_rows.select("key", "node", "leader", "n", "component", longest).where(F.col("longest") >= least * F.col("n"))
-    detail = first.select(F.col("a").alias("node"), F.col("b").alias("leader"), "shared", "rest", "gone")
-    able = materialize(able.join(detail, ["node", "leader"]))
-    x, y = (able.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "component", "longest", "shared", "rest", "gone"))) for side in "xy")
-    both = F.col("y_shared") - F.size("x_gone") + F.size(F.array_intersect("x_gone", "y_gone")) + F.size(F.array_intersect("x_rest", "y_rest"))
-    near = "x_node < y_node and x_component != y_component and y_n <= x_longest and x_n <= y_longest"
-    again = x.join(y, "key").where(near).where(both >= least / (1 + least) * (F.col("x_n") + F.col("y_n")) - 1e-9)
-    again = again.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+    able = open_rows.select("key", "node", "n", "component", longest).where(F.col("longest") >= least * F.col("n"))
+    able = materialize(able.join(content.select(F.col("name").alias("node"), "keys"), "node"))
+    x, y = (able.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "component", "longest", "keys"))) for side in "xy")
+    near = "x_node < y_node and x_component != y_component and y_n <= x_longest and x_n <= y_longest and array_intersect(x_keys, y_keys)[0] = key"
+    again = x.join(y, "key").where(near).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
     second = materialize(compared(again, words, shingle, least).where("linked").select("a", "b"))
     parts = connected_components(links.union(second))
 
