@@ -16,7 +16,7 @@ from knownby.session import checkpoint_dir
 from knownby.catalog.domain_queries import WINDOWS, company_events, week_bars
 from knownby.catalog.source_queries import _request, loaded
 from knownby.sources import bars as bar_sources
-from knownby.sources.appends import FEATURES, PRICE_BARS, VintageTable
+from knownby.sources.appends import FEATURES, PRICE_BARS, VintageTable, read_vintages
 from knownby.streaming import live
 
 
@@ -71,7 +71,7 @@ def _(spark, sf):
     # Several micro-batches; each row comes twice, and old vintages arrive after new ones.
     doubled = rows.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).repartition(12, F.pmod(F.xxhash64("security_id", "available_at", "copy"), F.lit(12))).drop("copy")
     drained(live.ingest_vintages(replay(spark, doubled, root), spec, path=f"{root}/sink", checkpoint=f"{root}/checkpoint"))
-    return spark.read.parquet(f"{root}/sink")
+    return read_vintages(spark, f"{root}/sink")
 
 
 @register("q3_live_screen", oracle(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from knownby.operators.pit import latest_by
@@ -19,6 +19,33 @@ class VintageTable:
     key: tuple[str, ...]
     content: tuple[str, ...]
 
+    @property
+    def clock(self) -> str | None:
+        """The instant of the key that files are laid out by; equal keys lie in one period."""
+        return next((c for c in ("effective_at", "available_at", "as_of") if c in self.key), None)
+
+
+#: Partition column of stored tables: the month of the key's instant.
+PERIOD = "period"
+
+
+def period_of(table: VintageTable) -> Column:
+    return F.date_format(F.col(table.clock), "'m'yyyyMM") if table.clock else F.lit("all")
+
+
+def read_vintages(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table without its layout column."""
+    return spark.read.parquet(path).drop(PERIOD)
+
+
+def touched_periods(existing: DataFrame, incoming: DataFrame, table: VintageTable) -> DataFrame:
+    """Stored rows of the months that the increment touches: a filter on the layout, so other files are not read."""
+    if PERIOD not in existing.columns:
+        return existing
+    months = [row[0] for row in incoming.select(period_of(table)).distinct().collect()]  # at most the months there are
+    wanted = F.col(PERIOD).isin([m for m in months if m is not None])
+    return existing.where(wanted | F.col(PERIOD).isNull() if None in months else wanted).drop(PERIOD)
+
 
 PRICE_BARS = VintageTable(
     "price_bar", ("security_id", "frequency", "source", "effective_at", "available_at"),
@@ -81,18 +108,19 @@ def append_vintages(spark: SparkSession, path: str, incoming: DataFrame, table:
                     partition_by: Sequence[str] = ()) -> int:
     """Append an increment to a Parquet table in one pass; returns the inserted count.
 
-    A conflict fails the write job before its commit, so nothing is stored; a
-    retried increment appends nothing.
+    Files are laid out by the month of the key's instant, and only the months of the
+    increment are read. A conflict fails the write job before its commit, so nothing
+    is stored; a retried increment appends nothing.
     """
     try:
-        existing = spark.read.parquet(path)
+        existing = touched_periods(spark.read.parquet(path), incoming, table)
     except Exception as error:  # the table does not exist yet
         if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
             raise
         existing = spark.createDataFrame([], incoming.schema)
     seen = Observation("append")
     rows = new_vintages(existing, incoming, table).observe(seen, F.count(F.lit(1)).alias("inserted"))
-    rows.write.mode("append").partitionBy(*partition_by).parquet(path)
+    rows.withColumn(PERIOD, period_of(table)).write.mode("append").partitionBy(PERIOD, *partition_by).parquet(path)
     return int(seen.get["inserted"])
 
 

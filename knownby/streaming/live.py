@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from knownby.operators.pit import Instant
 from knownby.operators.screens import Screen, run_screen
 from knownby.plans.daily import last_session, price_features, session_returns
-from knownby.sources.appends import VintageTable, append_vintages
+from knownby.sources.appends import VintageTable, append_vintages, read_vintages
 
 # Analyses invalidated by each kind of event.
 AFFECTED_MODULES = {
@@ -63,7 +63,7 @@ def live_screen(stream: DataFrame, screen: Screen, table: VintageTable, *, featu
     def handle(batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
         append_vintages(spark, features_path, batch, table)
-        result = run_screen(spark.read.parquet(features_path), screen, as_of=as_of, tie_break=tie_break)
+        result = run_screen(read_vintages(spark, features_path), screen, as_of=as_of, tie_break=tie_break)
         result.write.mode("overwrite").parquet(f"{results_path}/batch={number}")
 
     return start(stream, handle, checkpoint=checkpoint)
@@ -86,7 +86,7 @@ def recompute_touched(stream: DataFrame, *, bars_path: str, factors: DataFrame,
         needed = hit.select(F.explode(F.array("security_id", "market_id", "sector_id")).alias("security_id")).where(
             "security_id is not null"
         ).distinct()
-        bars = spark.read.parquet(bars_path).join(needed, "security_id", "left_semi")
+        bars = read_vintages(spark, bars_path).join(needed, "security_id", "left_semi")
         result = last_session(price_features(session_returns(bars), hit))
         result.write.mode("overwrite").parquet(f"{results_path}/batch={number}")
 

@@ -190,3 +190,34 @@ def test_event_routing(spark):
     df = spark.createDataFrame([("e", "fomc"), ("f", "regulatory")], "event_id string, event_type string")
     got = sorted((r["event_id"], r["module"]) for r in live.route_events(df).collect())
     assert got == [("e", "macro_sensitivity"), ("e", "price_anomaly"), ("f", "price_anomaly")]
+
+
+def test_appends_read_only_the_touched_months(spark):
+    path = folder() + "/table"
+    rows = lambda *days: spark.createDataFrame([bar("a", d, 1.0) for d in days], BAR)
+    assert appends.append_vintages(spark, path, rows(2, 3), appends.PRICE_BARS) == 2
+    later = rows(3).withColumn("effective_at", F.col("effective_at") + F.expr("interval 60 days"))
+    assert appends.append_vintages(spark, path, later.unionByName(rows(3)), appends.PRICE_BARS) == 1
+    stored = spark.read.parquet(path)
+    assert stored.select("period").distinct().count() == 2
+    picked = appends.touched_periods(stored, later, appends.PRICE_BARS)
+    assert picked.count() == 1 and "period" not in picked.columns
+    plan = picked._jdf.queryExecution().executedPlan().toString()
+    filters = plan.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+    assert "period" in filters and "PushedFilters" in plan
+
+
+def test_late_vintages_are_stored(spark):
+    root = folder()
+    start = lambda: live.ingest_vintages(spark.readStream.schema(BAR).parquet(f"{root}/in"), appends.PRICE_BARS, path=f"{root}/out", checkpoint=f"{root}/cp").awaitTermination()
+    for day in (10, 20, 2):  # the last is much older than what came before
+        spark.createDataFrame([bar("a", day, float(day))], BAR).write.mode("append").parquet(f"{root}/in")
+        start()
+    assert sorted(r["close"] for r in appends.read_vintages(spark, f"{root}/out").collect()) == [2.0, 10.0, 20.0]
+
+
+def test_status_of_batches_without_rows_in_range(spark):
+    loaded = spark.createDataFrame([], "ingestion_batch_id string, session_date date, provider_identifier string")
+    asked = spark.createDataFrame([("b",)], "ingestion_batch_id string")
+    row = bars.batch_status(loaded, requested=asked).first()
+    assert (row["row_count"], row["missing_symbols"], row["status"]) == (0, 0, "succeeded")
