@@ -164,7 +164,8 @@ def disclosing_pairs(docs: DataFrame, near: DataFrame, support: int = SUPPORT, g
     of_entity = near.groupBy("entity", row.alias("row")).agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     vocabulary = pairs.select("term").distinct()
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), 0))).alias("term"))
-    of_term = words.groupBy("term").agg(F.count("*").alias("n_term")).join(vocabulary, "term", "left_semi")
+    # An inner join, which Spark leaves above the count: below it, it would pass every occurrence of the terms.
+    of_term = words.groupBy("term").agg(F.count("*").alias("n_term")).join(vocabulary, "term")
     total = docs.agg(F.count("*").alias("n"))
     counted = together.join(of_entity, "entity").join(of_term, "term").crossJoin(total)  # one row
     information = F.log(F.col("n") / F.col("n_entity"))

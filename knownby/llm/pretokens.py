@@ -77,11 +77,12 @@ def split(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
 class Cached:
     """Ids of whole arrays of pre-tokens: each distinct one is encoded once per worker.
 
-    ``encode`` maps a list of byte strings to a list of uint32 id arrays. The cache
-    is emptied when it holds ``limit`` entries, so memory is bounded.
+    ``encode`` maps a list of byte strings to a list of uint32 id arrays. A cache that
+    would pass ``limit`` entries keeps those in use, so memory is bounded and frequent
+    pre-tokens stay.
     """
 
-    def __init__(self, encode, limit: int = 800_000):
+    def __init__(self, encode, limit: int = 300_000):
         self.encode, self.limit, self.known = encode, limit, {}
 
     def ids(self, tokens: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -94,8 +95,7 @@ class Cached:
         new = [x for x in distinct if x not in known]
         if new:
             if len(known) + len(new) > self.limit:
-                known.clear()
-                new = distinct
+                known = self.known = {x: known[x] for x in distinct if x in known}
             for x, found in zip(new, self.encode(new)):
                 known[x] = np.asarray(found, dtype=np.uint32).tobytes()
         parts = [known[x] for x in distinct]
