@@ -8,6 +8,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from knownby.functions.checks import insist
 from knownby.functions.numeric import deviation, dispersed, finite, growth, ratio
 from knownby.operators.pit import Instant, instant, require_columns, utc
 from knownby.operators.scale import attach, group_moments
@@ -26,8 +27,7 @@ def estimate_revisions(snapshots: DataFrame, *, as_of: Instant,
                        available: str = "available_at", tie_break: Sequence[str] = ()) -> DataFrame:
     """Now versus n days ago, all lookbacks in one aggregation over the vintages."""
     days = list(dict.fromkeys(int(d) for d in lookback_days))
-    if not days or min(days) < 1:
-        raise ValueError("lookback_days must contain positive integers")
+    insist((bool(days) and min(days) > 0, "name the days to look back, one or more each"))
     require_columns(snapshots, [*keys, value, available])
     cutoff = utc(as_of)
     number, order, at = finite(value), F.struct(available, *tie_break), F.col(available)
@@ -50,8 +50,7 @@ def revision_breadth(snapshots: DataFrame, *, as_of: Instant, lookback_days: int
                      value: str = "estimate", available: str = "available_at",
                      tie_break: Sequence[str] = ()) -> DataFrame:
     """(raises - cuts) / changed over contributors present at both instants."""
-    if lookback_days < 1:
-        raise ValueError("lookback_days must be positive")
+    insist((lookback_days > 0, "a revision looks one day back at least"))
     require_columns(snapshots, [*groups, contributor, value, available])
     cutoff = utc(as_of)
     number, order, at = finite(value), F.struct(available, *tie_break), F.col(available)
@@ -75,8 +74,7 @@ def revision_breadth(snapshots: DataFrame, *, as_of: Instant, lookback_days: int
 
 
 def estimate_dispersion(df: DataFrame, *, keys: Sequence[str], value: str, ddof: int = 1) -> DataFrame:
-    if ddof < 0:
-        raise ValueError("ddof cannot be negative")
+    insist((ddof >= 0, f"no spread has {ddof} degrees of freedom to lose"))
     x = finite(value)
     out = df.groupBy(*keys).agg(
         F.count(x).alias("contributors"), F.avg(x).alias("mean"),

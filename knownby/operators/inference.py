@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from knownby.functions.checks import insist
 from knownby.functions.numeric import deviation, finite, ratio
 from knownby.functions.student_t import t_critical, t_p_value
 from knownby.session import materialize
@@ -28,8 +29,7 @@ WEEKDAYS = "Monday Tuesday Wednesday Thursday Friday Saturday Sunday".split()
 
 
 def descriptive_statistics(df: DataFrame, *, keys: Sequence[str], value: str, ddof: int = 1) -> DataFrame:
-    if ddof < 0:
-        raise ValueError("ddof cannot be negative")
+    insist((ddof >= 0, f"no spread has {ddof} degrees of freedom to lose"))
     x = finite(value)
     base = df.groupBy(*keys).agg(
         F.count(x).alias("observations"),
@@ -53,10 +53,10 @@ def _test_moments(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def _checks(minimum_observations: int, confidence: float) -> None:
-    if minimum_observations < 2:
-        raise ValueError("minimum_observations must be at least two")
-    if not 0.0 < confidence < 1.0:
-        raise ValueError("confidence must lie strictly between zero and one")
+    insist(
+        (minimum_observations > 1, "a standard error takes two observations"),
+        (0.0 < confidence < 1.0, "a confidence is a share between zero and one"),
+    )
 
 
 def _flat() -> Column:
@@ -122,8 +122,7 @@ def mean_test_hac(df: DataFrame, *, keys: Sequence[str], value: str, order: Sequ
     without it the groups are session series.
     """
     _checks(minimum_observations, confidence)
-    if max_lags is not None and max_lags < 0:
-        raise ValueError("max_lags cannot be negative")
+    insist((max_lags is None or max_lags >= 0, "lags are counted back from zero"))
     x = finite(value)
     moments = _test_moments(df, keys, value)
     n = F.col("observations")
@@ -270,8 +269,7 @@ def benjamini_hochberg(df: DataFrame, *, keys: Sequence[str] = (), p_value: str
     Tied p-values share one adjusted value, so the step-up minimum runs over
     distinct values, bucketed by magnitude: a family may be the whole table.
     """
-    if not 0.0 < alpha < 1.0:
-        raise ValueError("alpha must lie strictly between zero and one")
+    insist((0.0 < alpha < 1.0, "a false-discovery level is a share between zero and one"))
     p = finite(p_value)
     checked = df.withColumn(
         "__p",
@@ -292,8 +290,7 @@ def compound_period_returns(df: DataFrame, *, keys: Sequence[str], order: str, v
                             frequency: str = "month", minimum_observations: int = 15,
                             exclude_boundary_periods: bool = True) -> DataFrame:
     """Compounded return per calendar period with enough observations."""
-    if minimum_observations < 1:
-        raise ValueError("minimum_observations must be positive")
+    insist((minimum_observations > 0, "a period without observations has no return"))
     r = finite(value)
     period = F.to_date(F.date_trunc(frequency, F.col(order)))
     grouped = df.groupBy(*keys, period.alias("period")).agg(

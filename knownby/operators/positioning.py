@@ -8,6 +8,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from knownby.functions.checks import insist
 from knownby.functions.numeric import finite, ratio
 from knownby.operators.pit import Instant, instant, utc
 from knownby.operators.scale import attach, exact_quantiles
@@ -98,8 +99,10 @@ def delta_risk_reversal(chain: DataFrame, *, keys: Sequence[str] = ("security_id
                         target_delta: float = 0.25, maximum_distance: float = 0.10,
                         minimum_open_interest: float = 0.0, tie_break: Sequence[str] = ()) -> DataFrame:
     """Implied volatility of the call nearest +delta minus the put nearest -delta."""
-    if not 0.0 < target_delta <= 0.5 or maximum_distance <= 0.0:
-        raise ValueError("target_delta must be in (0, .5] and distance positive")
+    insist(
+        (0.0 < target_delta <= 0.5, "a skew is read at a delta of up to one half"),
+        (maximum_distance > 0.0, "some distance from the delta has to be allowed"),
+    )
     delta, iv = finite("delta"), finite("implied_volatility")
     liquid = (iv > 0) & delta.isNotNull()
     if minimum_open_interest > 0.0:
@@ -132,8 +135,7 @@ def delta_risk_reversal(chain: DataFrame, *, keys: Sequence[str] = ("security_id
 def select_target_expiry(chain: DataFrame, *, keys: Sequence[str] = ("security_id",), as_of: Instant,
                          target_days: int = 30, minimum_days: int = 7) -> DataFrame:
     """Eligible expiry nearest the target maturity; ties go to the earlier one."""
-    if target_days < minimum_days or minimum_days < 0:
-        raise ValueError("target_days must be at least minimum_days, both non-negative")
+    insist((0 <= minimum_days <= target_days, "the wanted maturity lies below the shortest one allowed, or in the past"))
     expiry = F.to_date("expiry")
     days = F.datediff(expiry, F.lit(utc(as_of).date()))
     rank = F.when(days >= minimum_days, F.struct(F.abs(days - target_days).alias("d"), expiry.alias("e")))
@@ -148,8 +150,7 @@ def insider_activity(transactions: DataFrame, *, keys: Sequence[str] = ("securit
                      lookback_days: int = 365, action: str = "transaction_type", value: str = "value",
                      available: str = "available_at") -> DataFrame:
     """Classified open-market buys and sells knowable in the window ending at the cutoff."""
-    if lookback_days < 1:
-        raise ValueError("lookback_days must be positive")
+    insist((lookback_days > 0, "trades are gathered over one day at least"))
     cutoff = utc(as_of)
     window = transactions.where(
         (F.col(available) <= instant(cutoff))

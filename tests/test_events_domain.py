@@ -141,3 +141,9 @@ def test_ownership(spark):
 def test_macro_surprise_scaling(spark):
     out = ts.rolling_standardized_surprise(series(spark, {"x": [0.0, 2.0, 0.0, 2.0, 5.0]}), keys=K, order="session_date", value="x", window=4, minimum=4, ddof=0)
     close_to([r["standardized_surprise"] for r in out.orderBy("session_date").collect()], [None] * 4 + [4.0])
+
+
+def test_an_event_id_counts_once_in_a_series(spark):
+    rows = [("a1", "a", utc(2024, 1, 3, 13), None, None), ("a1", "a", utc(2024, 1, 4, 13), None, None)]
+    with pytest.raises(ValueError, match="one event id twice"):
+        ev.extract_event_windows(returns(spark), spark.createDataFrame(rows, EVENTS), SPEC, keys=K, value="r")
