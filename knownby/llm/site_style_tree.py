@@ -4,10 +4,11 @@ The pages of a host are merged into one tree: a node is a path of element names
 with their classes, and it carries what the host's distinct pages show there. A
 node that looks and reads the same on every page tells nothing, one that differs
 does: the importance of a node is the normalised entropy of its presentations
-(sequences of children) and of its contents over those pages, and that of a branch
-is the larger of its own presentation importance and the mean content importance
-below it. Branches under ``LOW`` on hosts with enough pages are removed from every
-page. Elements that say themselves what they are (navigation, footers, forms,
+(sequences of children) and of its own texts over those pages, and that of a branch
+is the largest importance of any node in it: a branch goes only if all of it is low.
+Branches under ``LOW`` on hosts with enough pages are removed from every page. An
+element above an ``article`` or ``main`` region on any page of the host never goes.
+Elements that say themselves what they are (navigation, footers, forms,
 adverts, comments, ...) go on any host; an ``article`` or ``main`` region, where a
 page has one, is the main text and is never removed as unimportant, since copies
 of one article on a host would make it look like a template.
@@ -91,7 +92,7 @@ def raw_end(name: str) -> re.Pattern:
 
 
 def walk(html: str, pruned: frozenset[int], nodes: dict[int, list] | None = None) -> list[tuple[str, bool]]:
-    """Visible blocks in page order, each with whether it lies in the main region. nodes: gathers what each path shows."""
+    """Visible blocks in page order, each with whether it lies in the main region. nodes: gathers each path's children, own texts, whether some of them is kept, and whether it is a main region."""
     blocks: list[tuple[str, bool]] = []
     pending: list[str] = []
     stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # name, path, removed, main
@@ -101,14 +102,17 @@ def walk(html: str, pruned: frozenset[int], nodes: dict[int, list] | None = None
         text = " ".join("".join(pending).split())
         pending.clear()
         if text:
-            if nodes is not None:
-                nodes.setdefault(stack[-1][1], [[], []])[1].append(text)
             if not stack[-1][2]:
                 blocks.append((text, stack[-1][3]))
 
     def say(text: str) -> None:
         if nodes is not None or not stack[-1][2]:
-            pending.append(unescape(text) if "&" in text else text)
+            text = unescape(text) if "&" in text else text
+            pending.append(text)
+            if nodes is not None and text and not text.isspace():
+                node = nodes.setdefault(stack[-1][1], [[], [], False, False])
+                node[1].append(" ".join(text.split()))
+                node[2] = node[2] or not stack[-1][2]
 
     def close(depth: int) -> None:
         while len(stack) > depth:
@@ -165,12 +169,14 @@ def walk(html: str, pruned: frozenset[int], nodes: dict[int, list] | None = None
         _, parent, removed, inside = stack[-1]
         path = child_id(parent, label)
         if nodes is not None:
-            nodes.setdefault(parent, [[], []])[0].append(label)
+            nodes.setdefault(parent, [[], [], False, False])[0].append(label)
         if name in VOID:
             continue
         gone = removed or noise or (header and not inside) or path in pruned and not inside and not main
         if gone and not removed:
             flush()
+        if nodes is not None and main and not gone:
+            nodes.setdefault(path, [[], [], False, False])[3] = True
         stack.append((name, path, gone, (inside or main) and not gone))
         opened[name] = opened.get(name, 0) + 1
         if name in RAW:
@@ -199,22 +205,27 @@ def digest(parts: Iterable[str]) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def page_nodes(html: str) -> list[tuple[int, int, bool, int, int]]:
-    """Path, parent, has text, presentation and content of each node of one page."""
+def page_nodes(html: str) -> list[tuple[int, int, bool, bool, int, int]]:
+    """Path, parent, has text to keep, is or holds a main region, presentation and content of each node of one page."""
     nodes: dict[int, list] = {}
     parents: dict[int, int] = {}
     walk(html, frozenset(), nodes)
-    for path, (labels, _) in list(nodes.items()):
+    for path, (labels, *_) in list(nodes.items()):
         for label in dict.fromkeys(labels):
             below = child_id(path, label)
             parents[below] = path
-            nodes.setdefault(below, [[], []])
-    return [(path, parents.get(path, 0), bool(texts), digest(labels), digest(texts)) for path, (labels, texts) in nodes.items() if path]
+            nodes.setdefault(below, [[], [], False, False])
+    holds: set[int] = set()
+    for path, (*_, main) in nodes.items():
+        while main and path and path not in holds:
+            holds.add(path)
+            path = parents.get(path, 0)
+    return [(path, parents.get(path, 0), kept, path in holds, digest(labels), digest(texts)) for path, (labels, texts, kept, _) in nodes.items() if path]
 
 
 def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, path, parent, pages, and the entropies of presentations and contents over the host's distinct pages."""
-    schema = "host string, path long, parent long, has_text boolean, style long, content long, page long"
+    """host, path, parent, has_text, holds_main, pages, and the entropies of presentations and contents over the host's distinct pages."""
+    schema = "host string, path long, parent long, has_text boolean, holds_main boolean, style long, content long, page long"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -222,43 +233,43 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
             for address, source in zip(batch.column(0).to_pylist(), text_column(batch, "html").to_pylist()):
                 site, page = host(address), digest([source])
                 rows.extend((site, *node, page) for node in page_nodes(source))
-            columns = zip(*rows) if rows else [[]] * 7
-            types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "path", "parent", "has_text", "style", "content", "page"])
+            columns = zip(*rows) if rows else [[]] * 8
+            types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "path", "parent", "has_text", "holds_main", "style", "content", "page"])
 
     seen = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(run, schema).distinct()
 
     def entropy(kind: str) -> DataFrame:
-        counts = seen.groupBy("host", "path", kind).agg(F.count("*").alias("n"), F.first("parent").alias("parent"), F.max("has_text").alias("has_text"))
+        traits_of = [F.first("parent").alias("parent"), F.max("has_text").alias("has_text"), F.max("holds_main").alias("holds_main")]
+        counts = seen.groupBy("host", "path", kind).agg(F.count("*").alias("n"), *traits_of)
         total = F.sum("n")
         # -sum(n/m log(n/m)) / log(m) = 1 - sum(n log n) / (m log m)
         importance = F.when(total > 1, 1 - F.try_divide(F.sum(F.col("n") * F.log("n")), total * F.log(total))).otherwise(1.0)
-        return counts.groupBy("host", "path").agg(F.first("parent").alias("parent"), F.max("has_text").alias("has_text"), total.alias("pages"), importance.alias(f"{kind}_importance"))
+        return counts.groupBy("host", "path").agg(*traits_of, total.alias("pages"), importance.alias(f"{kind}_importance"))
 
     return entropy("style").join(entropy("content").select("host", "path", "content_importance"), ["host", "path"])
 
 
-def low_branches(tree: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES, deepest: int = 64) -> DataFrame:
-    """host and the array of its low-importance paths.
+def low_branches(tree: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """host and the array of the topmost paths of its low-importance branches with text.
 
-    The content importance of a branch is the page-weighted mean over the nodes with
-    text below it, up to ``deepest`` levels down; it is summed up the tree level by level.
+    The largest importance is carried up the tree by doubling: after k rounds a node
+    knows all nodes less than 2**k levels below it, so a tree of any depth takes the
+    logarithm of its depth in rounds.
     """
-    tree = materialize(tree)
-    text = F.when(F.col("has_text"), F.col("pages"))
-    own = tree.select("host", "path", "parent", F.coalesce(text, F.lit(0)).alias("weight"), F.coalesce(text * F.col("content_importance"), F.lit(0.0)).alias("mass"))
-    edges = tree.select("host", F.col("path").alias("above"), F.col("parent").alias("next"))
-    level, sums = own.withColumnRenamed("parent", "above"), own.drop("parent")
-    for _ in range(deepest):
-        up = level.join(edges, ["host", "above"]).groupBy("host", F.col("above").alias("path"), F.col("next").alias("above")).agg(F.sum("weight").alias("weight"), F.sum("mass").alias("mass"))
-        level = materialize(up)
-        if level.isEmpty():
-            break
-        sums = sums.unionByName(level.drop("above"))
-    content = sums.groupBy("host", "path").agg(F.try_divide(F.sum("mass"), F.sum("weight")).alias("content"))
-    judged = tree.join(content, ["host", "path"])
-    branch = F.greatest("style_importance", F.coalesce("content", F.lit(0.0)))
-    return judged.where((F.col("pages") >= least_pages) & (branch < low)).groupBy("host").agg(F.collect_set("path").alias("pruned"))
+    # Too few pages tell nothing, so such a node and all above it stay.
+    own = F.when(F.col("pages") >= least_pages, F.greatest("style_importance", "content_importance")).otherwise(1.0)
+    state = materialize(tree.select("host", "path", "parent", "holds_main", F.nullif("parent", F.lit(0)).alias("above"), own.alias("importance"), "has_text"))
+    while not (linked := state.where("above is not null")).isEmpty():
+        below = linked.groupBy("host", F.col("above").alias("path")).agg(F.max("importance").alias("_importance"), F.max("has_text").alias("_has_text"))
+        further = state.select("host", F.col("path").alias("above"), F.col("above").alias("_above"))
+        state = materialize(state.join(below, ["host", "path"], "left").join(further, ["host", "above"], "left").select(
+            "host", "path", "parent", "holds_main", F.col("_above").alias("above"), F.greatest("importance", "_importance").alias("importance"),
+            (F.col("has_text") | F.coalesce("_has_text", F.lit(False))).alias("has_text")))
+    judged = state.where((F.col("importance") < low) & ~F.col("holds_main"))
+    # What lies below a removed branch goes with it.
+    top = judged.join(judged.select("host", F.col("path").alias("parent")), ["host", "parent"], "left_anti")
+    return top.where("has_text").groupBy("host").agg(F.collect_set("path").alias("pruned"))
 
 
 def extract_pages(pages: DataFrame, url: str = "url", html: str = "html", low: float = LOW, least_pages: int = LEAST_PAGES) -> DataFrame:

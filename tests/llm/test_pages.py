@@ -53,6 +53,20 @@ def test_copies_of_an_article_are_kept(llm):
     assert {r.text for r in tree.extract_pages(pages).collect()} == {tree.extract(ARTICLE)}
 
 
+def texts(llm, pages):
+    table = llm.createDataFrame([(i, f"http://h.example/{i}", html) for i, html in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in tree.extract_pages(table).orderBy("page_id").collect()]
+
+
+def test_main_text_among_many_constant_branches_stays(llm):
+    same = "".join(f"<div class=c{k}><p>Constant {k}</p></div>" for k in range(12))
+    plain = [f"<html><body><div class=wrap>{same}<div class=text><p>Body {i} <b>bold {i}</b> end</p></div></div></body></html>" for i in range(20)]
+    assert texts(llm, plain) == [f"Body {i} bold {i} end" for i in range(20)]
+    # Copies of one article: nothing around it varies but what is removed anyway.
+    copies = [f"<html><body><div class=wrap>{same}<article><p>The article</p></article></div><footer>{i}</footer></body></html>" for i in range(20)]
+    assert texts(llm, copies) == ["The article"] * 20
+
+
 def test_empty_page_table(llm):
     pages = llm.createDataFrame([], "page_id long, url string, html string")
     assert tree.extract_pages(pages).collect() == []
