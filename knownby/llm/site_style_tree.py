@@ -4,14 +4,14 @@ The pages of a host are merged into one tree: a node is a path of element names
 with their classes, and it carries what the host's distinct pages show there. A
 node that looks and reads the same on every page tells nothing, one that differs
 does: the importance of a node is the normalised entropy of its presentations
-(sequences of children) and of its own texts over those pages, and that of a branch
-is the largest importance of any node in it: a branch goes only if all of it is low.
+(sequences of children) and of its own texts over those pages, where pages that show
+the same main text count once: copies do not look like a template. That of a branch is the largest importance of any node in it: a branch goes only if all of it is low.
 Branches under ``LOW`` on hosts with enough pages are removed from every page. An
 element above an ``article`` or ``main`` region on any page of the host never goes.
 Elements that say themselves what they are (navigation, footers, forms,
-adverts, comments, ...) go on any host; an ``article`` or ``main`` region, where a
-page has one, is the main text and is never removed as unimportant, since copies
-of one article on a host would make it look like a template.
+adverts, comments, ...) go on any host. An ``article`` or ``main`` region, where a
+page has one, holds the main text: low branches below it go, the region itself stays,
+and where nothing would be left of it, it stays whole.
 
 Only aggregated (host, path) rows are shuffled; the few low branches per host come
 back to the pages by a join on the host, which Spark broadcasts when their file is
@@ -172,7 +172,7 @@ def walk(html: str, pruned: frozenset[int], nodes: dict[int, list] | None = None
             nodes.setdefault(parent, [[], [], False, False])[0].append(label)
         if name in VOID:
             continue
-        gone = removed or noise or (header and not inside) or path in pruned and not inside and not main
+        gone = removed or noise or (header and not inside) or path in pruned
         if gone and not removed:
             flush()
         if nodes is not None and main and not gone:
@@ -187,11 +187,19 @@ def walk(html: str, pruned: frozenset[int], nodes: dict[int, list] | None = None
     return blocks
 
 
+def main_text(blocks: list[tuple[str, bool]]) -> list[str]:
+    """Blocks of the main region if the page has one with text, else all."""
+    return [text for text, inside in blocks if inside] or [text for text, _ in blocks]
+
+
 def extract(html: str, pruned: frozenset[int] = frozenset()) -> str:
-    """The main text: blocks of the main region if the page has one with text, else all that remain."""
+    """The main text without the pruned branches; a main region of nothing but such branches stays whole."""
     blocks = walk(html, pruned)
-    main = [text for text, inside in blocks if inside]
-    return "\n\n".join(main or [text for text, _ in blocks])
+    if pruned and not any(inside for _, inside in blocks):
+        whole = walk(html, frozenset())
+        if any(inside for _, inside in whole):
+            blocks = whole
+    return "\n\n".join(main_text(blocks))
 
 
 def host(url: str | None) -> str:
@@ -205,11 +213,11 @@ def digest(parts: Iterable[str]) -> int:
     return int.from_bytes(hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def page_nodes(html: str) -> list[tuple[int, int, bool, bool, int, int]]:
-    """Path, parent, has text to keep, is or holds a main region, presentation and content of each node of one page."""
+def page_nodes(html: str) -> list[tuple[int, int, bool, bool, int, int, int]]:
+    """Path, parent, has text to keep, is or holds a main region, presentation and content of each node of one page, and the page's main text."""
     nodes: dict[int, list] = {}
     parents: dict[int, int] = {}
-    walk(html, frozenset(), nodes)
+    shown = digest(main_text(walk(html, frozenset(), nodes)))
     for path, (labels, *_) in list(nodes.items()):
         for label in dict.fromkeys(labels):
             below = child_id(path, label)
@@ -220,19 +228,19 @@ def page_nodes(html: str) -> list[tuple[int, int, bool, bool, int, int]]:
         while main and path and path not in holds:
             holds.add(path)
             path = parents.get(path, 0)
-    return [(path, parents.get(path, 0), kept, path in holds, digest(labels), digest(texts)) for path, (labels, texts, kept, _) in nodes.items() if path]
+    return [(path, parents.get(path, 0), kept, path in holds, digest(labels), digest(texts), shown) for path, (labels, texts, kept, _) in nodes.items() if path]
 
 
 def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, path, parent, has_text, holds_main, pages, and the entropies of presentations and contents over the host's distinct pages."""
+    """host, path, parent, has_text, holds_main, pages, and the entropies of presentations and contents over the host's distinct main texts."""
     schema = "host string, path long, parent long, has_text boolean, holds_main boolean, style long, content long, page long"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for address, source in zip(batch.column(0).to_pylist(), text_column(batch, "html").to_pylist()):
-                site, page = host(address), digest([source])
-                rows.extend((site, *node, page) for node in page_nodes(source))
+                site = host(address)
+                rows.extend((site, *node) for node in page_nodes(source))
             columns = zip(*rows) if rows else [[]] * 8
             types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "path", "parent", "has_text", "holds_main", "style", "content", "page"])

@@ -67,6 +67,16 @@ def test_main_text_among_many_constant_branches_stays(llm):
     assert texts(llm, copies) == ["The article"] * 20
 
 
+def test_constant_branches_inside_a_main_region_go(llm):
+    pages = [f"<body><article><h1>Head {i}</h1><p>Body {i}</p><div class=licence><p>Text under licence</p></div></article><p>{i}</p></body>" for i in range(20)]
+    assert texts(llm, pages) == [f"Head {i}\n\nBody {i}" for i in range(20)]
+    # One article on many pages that differ around it is one text, and a region is never emptied.
+    copies = [f"<body><div>Read {i} times</div><article><h1>Head</h1><p>Body</p></article></body>" for i in range(20)]
+    assert texts(llm, copies) == ["Head\n\nBody"] * 20
+    bare = [*pages, "<body><article><div class=licence><p>Text under licence</p></div></article><p>x</p></body>"]
+    assert texts(llm, bare)[-1] == "Text under licence"
+
+
 def test_empty_page_table(llm):
     pages = llm.createDataFrame([], "page_id long, url string, html string")
     assert tree.extract_pages(pages).collect() == []
