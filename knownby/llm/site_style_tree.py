@@ -5,9 +5,12 @@ with their classes, and it carries what the host's distinct pages show there. A
 node that looks and reads the same on every page tells nothing, one that differs
 does: the importance of a node is the normalised entropy of its presentations
 (sequences of children) and of its own texts over those pages, where pages that show
-the same main text count once: copies do not look like a template. That of a branch is the largest importance of any node in it: a branch goes only if all of it is low.
-Branches under ``LOW`` on hosts with enough pages are removed from every page. An
-element above an ``article`` or ``main`` region on any page of the host never goes.
+the same main text count once: copies do not look like a template. The importance of
+a branch is the largest of any node in it: a branch goes only if all of it is low.
+Branches under ``LOW`` are removed from every page. The entropy is relative to that of
+as many different pages, so what is asked follows the page count: on up to seven pages
+only what is alike on all is low, on more pages some may differ; one page tells nothing.
+An element above an ``article`` or ``main`` region on any page of the host never goes.
 Elements that say themselves what they are (navigation, footers, forms,
 adverts, comments, ...) go on any host. An ``article`` or ``main`` region, where a
 page has one, holds the main text: low branches below it go, the region itself stays,
@@ -43,7 +46,6 @@ from knownby.llm.tables import table, text_column
 from knownby.session import materialize
 
 LOW = 0.2
-LEAST_PAGES = 10
 
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form
 h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul""".split())
@@ -258,15 +260,14 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return entropy("style").join(entropy("content").select("host", "path", "content_importance"), ["host", "path"])
 
 
-def low_branches(tree: DataFrame, low: float = LOW, least_pages: int = LEAST_PAGES) -> DataFrame:
+def low_branches(tree: DataFrame, low: float = LOW) -> DataFrame:
     """host and the array of the topmost paths of its low-importance branches with text.
 
     The largest importance is carried up the tree by doubling: after k rounds a node
     knows all nodes less than 2**k levels below it, so a tree of any depth takes the
     logarithm of its depth in rounds.
     """
-    # Too few pages tell nothing, so such a node and all above it stay.
-    own = F.when(F.col("pages") >= least_pages, F.greatest("style_importance", "content_importance")).otherwise(1.0)
+    own = F.greatest("style_importance", "content_importance")
     state = materialize(tree.select("host", "path", "parent", "holds_main", F.nullif("parent", F.lit(0)).alias("above"), own.alias("importance"), "has_text"))
     while not (linked := state.where("above is not null")).isEmpty():
         below = linked.groupBy("host", F.col("above").alias("path")).agg(F.max("importance").alias("_importance"), F.max("has_text").alias("_has_text"))
@@ -280,9 +281,9 @@ def low_branches(tree: DataFrame, low: float = LOW, least_pages: int = LEAST_PAG
     return top.where("has_text").groupBy("host").agg(F.collect_set("path").alias("pruned"))
 
 
-def extract_pages(pages: DataFrame, url: str = "url", html: str = "html", low: float = LOW, least_pages: int = LEAST_PAGES) -> DataFrame:
+def extract_pages(pages: DataFrame, url: str = "url", html: str = "html", low: float = LOW) -> DataFrame:
     """Add ``text`` and ``n_chars`` to every page."""
-    branches = materialize(low_branches(style_tree(pages, url, html), low, least_pages)).withColumnRenamed("host", "_host")
+    branches = materialize(low_branches(style_tree(pages, url, html), low)).withColumnRenamed("host", "_host")
     host_of = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     given = pages.drop("text", "n_chars", "pruned")
     joined = given.withColumn("_host", host_of).join(branches, "_host", "left").drop("_host")

@@ -77,6 +77,19 @@ def test_constant_branches_inside_a_main_region_go(llm):
     assert texts(llm, bare)[-1] == "Text under licence"
 
 
+def test_any_depth_and_any_number_of_pages(llm):
+    deep = [f"<body><div class=low>Notice</div>{'<div>' * 150}<p>Body {i}</p>" for i in range(12)]
+    assert texts(llm, deep) == [f"Body {i}" for i in range(12)]
+    assert texts(llm, deep[:2]) == ["Body 0", "Body 1"]
+    assert texts(llm, deep[:1]) == ["Notice\n\nBody 0"]
+    # A branch of few pages of a large host.
+    rare = [f"<body>{'<div class=rare>Rare</div>' if i < 3 else ''}<p>Body {i}</p></body>" for i in range(12)]
+    assert texts(llm, rare) == [f"Body {i}" for i in range(12)]
+    # One of seven pages differs: not alike enough; one of 40 is.
+    few, many = ([f"<body><div class=low>Notice{' today' if i == 3 else ''}</div><p>Body {i}</p></body>" for i in range(n)] for n in (7, 40))
+    assert texts(llm, few)[0] == "Notice\n\nBody 0" and texts(llm, many)[0] == "Body 0"
+
+
 def test_empty_page_table(llm):
     pages = llm.createDataFrame([], "page_id long, url string, html string")
     assert tree.extract_pages(pages).collect() == []
