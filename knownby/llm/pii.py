@@ -1,25 +1,28 @@
 """Personal data and the terms that give it away, in DataFrame functions only.
 
-Base spans are four kinds of identifiers found by patterns. The words that stand
-next to an identifier can reveal it even when it is masked: if a name turns up
-only beside one telephone number, the name tells the number. The strength of that
+Base spans are four kinds of identifiers found by patterns. The words of the texts
+with an identifier can reveal it even when it is masked: if a name turns up only where
+one telephone number does, the name tells the number. The strength of that
 disclosure is measured on the corpus: for an entity e (a distinct identifier) and
 a term t, PMI(e; t) = log(N n(e,t) / (n(e) n(t))) is the information t gives on e,
 and its share of the entity's own information, PMI / log(N / n(e)), is 1 when t
-appears nowhere else. N is the number of documents, n(t) counts all documents with
-the term, n(e) and n(e,t) those with the entity and with both side by side. Terms
-with a share of ``generalise`` or more become a class word, from ``remove`` on they
-go. Pairs count only when seen in ``support`` different contexts, since any word of
-a single text would otherwise reveal whatever that text holds.
-
-Cost: the texts are scanned once for identifiers; only their neighbourhoods (at
-most ``WIDTH`` characters on each side) are paired with entities, so pairs are
-linear in the identifiers found, however many share a document. Term counts are
-reduced per task before they are shuffled and again restricted to candidates.
+appears nowhere else. N is the number of documents; n(t), n(e) and n(e,t) count those
+with the term, with the entity and with both, anywhere in the text. Terms
+with a share of ``generalise`` or more become a class word wherever they stand in a
+document with the entity, from ``remove`` on they go. Pairs count only when seen in
+``support`` documents that show the entity in different contexts (``WIDTH`` characters
+on each side), since any word of a single text, or of copies of it, would otherwise
+reveal whatever that text holds.
+
+Cost: the texts are scanned once for identifiers and once for words. An entity needs
+``support`` documents of its own, and a term in more than n(e)**g N**(1 - g) documents
+(g = ``generalise``) cannot reach the share even if it is in all of the entity's, so
+exactly the pairs below that bound are formed. Term counts are reduced per task before
+they are shuffled.
 
 Rows: a null text is empty and has no spans. Rows are told apart by doc_id and a
 hash of the text; a null doc_id is a value of its own. Repeated rows get repeated
-results; beside an entity they count as one document. Base spans of different kinds may overlap and are
+results; they count as often as they occur, as one piece of evidence. Base spans of different kinds may overlap and are
 all reported; a term inside a base span is not; ``sanitise`` replaces overlapping spans once, from the first start to
 the last end, by the kind that starts first (then in the order below). An empty
 table gives no rows. Only the two named columns are read; ``sanitise`` keeps the
@@ -104,85 +107,120 @@ def positions(lengths: Column, sizes: Column) -> Column:
     return F.when(F.size(sizes) > 0, F.flatten(inner)).otherwise(F.array().cast("array<bigint>"))
 
 
-SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string,before:string,after:string>>"
+SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>"
 
 
-PARTS = "array<struct<v:string,s:bigint,b:string,a:string>>"
+PARTS = "array<struct<v:string,s:bigint>>"
 
 
 def matches(text: Column, kind: str) -> Column:
-    """Valid spans of one kind with the text around each, as an array."""
+    """Valid spans of one kind as an array."""
     pattern = PATTERNS[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
     gaps = F.split(text, pattern, -1)
     starts = positions(F.transform(gaps, F.char_length), F.transform(found, F.char_length))
     rank = KINDS.index(kind)
-    parts = F.arrays_zip(found, starts, F.slice(gaps, 1, F.size(found)), F.slice(gaps, 2, F.greatest(F.size(found), F.lit(1)))).cast(PARTS)
+    parts = F.arrays_zip(found, starts).cast(PARTS)
     spans = F.transform(parts, lambda x: F.struct(
-        x["s"].alias("start"), F.lit(rank).alias("rank"), (x["s"] + F.char_length(x["v"])).alias("end"), F.lit(kind).alias("kind"), x["v"].alias("value"),
-        F.right(x["b"], F.lit(WIDTH)).alias("before"), F.left(x["a"], F.lit(WIDTH)).alias("after")))
+        x["s"].alias("start"), F.lit(rank).alias("rank"), (x["s"] + F.char_length(x["v"])).alias("end"), F.lit(kind).alias("kind"), x["v"].alias("value")))
     kept = F.filter(spans, lambda x: valid(kind, x["value"]))
     return F.when(text.rlike(GATES[kind]), kept).otherwise(F.array()).cast(SPAN)
 
 
+def with_contexts(text: Column, spans: Column) -> Column:
+    """The spans with a hash of the text around each. The text is cut into pieces once, so that a context is not sought from its start."""
+    def add(pieces: Column, x: Column) -> Column:
+        first = F.greatest(x["start"] - WIDTH, F.lit(0))
+        skipped = F.floor(first / F.lit(WIDTH))
+        count = F.floor((x["end"] + WIDTH) / F.lit(WIDTH)) - skipped + 1
+        around = F.array_join(F.slice(pieces, (skipped + 1).cast("int"), count.cast("int")), "")
+        at = skipped * WIDTH
+        before = F.substring(around, (first - at + 1).cast("int"), (x["start"] - first).cast("int"))
+        return x.withField("context", F.xxhash64(before, F.substring(around, (x["end"] - at + 1).cast("int"), F.lit(WIDTH))))
+
+    # Both arrays are bound to a variable first: an expression in the body of a lambda is computed for every element.
+    found = lambda v: F.transform(F.array(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{WIDTH}}}"), 0)), lambda c: F.transform(v, lambda x: add(c, x)))[0]
+    return F.transform(F.array(spans), lambda v: F.when(F.size(v) > 0, found(v)).otherwise(F.array()))[0]
+
+
 def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, text_hash and the base spans of each row, by start and kind."""
     source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     spans = F.array_sort(F.concat(*(matches(F.col("text"), kind) for kind in PATTERNS)))
-    return source.select("doc_id", text_hash("text").alias("text_hash"), spans.alias("spans"))
+    return source.select("doc_id", text_hash("text").alias("text_hash"), with_contexts(F.col("text"), spans).alias("spans"))
 
 
-def words_with_starts(context: Column) -> Column:
-    """Words of a short context with their starts in it."""
-    found = F.regexp_extract_all(context, F.lit(WORD), 0)
-    starts = positions(F.transform(F.split(context, WORD, -1), F.char_length), F.transform(found, F.char_length))
+def words_with_starts(text: Column) -> Column:
+    """Words of a text with their starts in it."""
+    found = F.regexp_extract_all(text, F.lit(WORD), 0)
+    starts = positions(F.transform(F.split(text, WORD, -1), F.char_length), F.transform(found, F.char_length))
     return F.arrays_zip(found, starts).cast("array<struct<word:string,at:bigint>>")
 
 
-def contexts(base: DataFrame) -> DataFrame:
-    """One row per entity occurrence and neighbouring word: doc_id, text_hash, entity, context, term, start, end."""
+def same_row(a: DataFrame, b: DataFrame) -> Column:
+    return a["doc_id"].eqNullSafe(b["_id"]) & (a["text_hash"] == b["_hash"])
+
+
+def as_key(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+
+
+def entities(base: DataFrame, n: int, support: int, generalise: float) -> DataFrame:
+    """doc_id, text_hash, entity, context, times, n_entity, bound: the entities of each row that enough documents show.
+
+    ``context`` stands for all contexts of the entity in the row, ``times`` for the
+    repeats of the row, ``bound`` for the documents that a disclosing term can be in.
+    """
     seen = base.select("doc_id", "text_hash", F.explode("spans").alias("s")).select(
-        "doc_id", "text_hash", F.xxhash64("s.kind", F.lower("s.value")).alias("entity"), F.xxhash64("s.before", "s.after").alias("context"), "s.start", "s.end",
-        F.col("s.before").alias("before"), F.col("s.after").alias("after"))
-    # A word cut by the edge of the context does not count.
-    left = F.filter(words_with_starts(F.col("before")), lambda w: (w["at"] > 0) | (F.char_length("before") < WIDTH))
-    left = F.transform(left, lambda w: F.struct(w["word"].alias("word"), (F.col("start") - F.char_length("before") + w["at"]).alias("at")))
-    right = F.filter(words_with_starts(F.col("after")), lambda w: (w["at"] + F.char_length(w["word"]) < F.char_length("after")) | (F.char_length("after") < WIDTH))
-    right = F.transform(right, lambda w: F.struct(w["word"].alias("word"), (F.col("end") + w["at"]).alias("at")))
-    near = seen.select("doc_id", "text_hash", "entity", "context", F.explode(F.concat(left, right)).alias("w"))
-    return near.select("doc_id", "text_hash", "entity", "context", F.lower("w.word").alias("term"), F.col("w.at").alias("start"), (F.col("w.at") + F.char_length("w.word")).alias("end"))
-
-
-def disclosing_pairs(docs: DataFrame, near: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, text: str = "text") -> DataFrame:
-    """entity, term, share: terms next to an entity that reveal at least ``generalise`` of its information."""
-    row = F.struct("doc_id", "text_hash")
-    # Identical contexts (copies of one text) are one piece of evidence.
-    evidence = near.groupBy("entity", "term", "context").agg(F.lit(1).alias("one")).groupBy("entity", "term").agg(F.count("*").alias("contexts"))
-    pairs = materialize(evidence.where(F.col("contexts") >= support).select("entity", "term"))
-    per_row = near.groupBy("entity", "term", row.alias("row")).agg(F.lit(1).alias("one"))
-    together = per_row.join(pairs, ["entity", "term"], "left_semi").groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    of_entity = near.groupBy("entity", row.alias("row")).agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    vocabulary = pairs.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(WORD), 0))).alias("term"))
-    # An inner join, which Spark leaves above the count: below it, it would pass every occurrence of the terms.
-    of_term = words.groupBy("term").agg(F.count("*").alias("n_term")).join(vocabulary, "term")
-    total = docs.agg(F.count("*").alias("n"))
-    counted = together.join(of_entity, "entity").join(of_term, "term").crossJoin(total)  # one row
-    information = F.log(F.col("n") / F.col("n_entity"))
-    shared = F.log(F.col("n").cast("double") * F.col("n_both") / (F.col("n_entity").cast("double") * F.col("n_term")))
+        "doc_id", "text_hash", F.xxhash64("s.kind", F.lower("s.value")).alias("entity"), "s.context", F.struct("s.rank", "s.start").alias("place"))
+    held = materialize(seen.groupBy("doc_id", "text_hash", "entity").agg(
+        F.xxhash64(F.array_sort(F.collect_set("context"))).alias("context"), (F.count("*") / F.size(F.collect_set("place"))).cast("long").alias("times")))
+    evidence = held.groupBy("entity", "context").agg(F.sum("times").alias("times")).groupBy("entity").agg(F.count("*").alias("contexts"), F.sum("times").alias("n_entity"))
+    # A little above, for the rounding of powers and logarithms.
+    bound = F.pow("n_entity", F.lit(generalise)) * F.pow(F.lit(float(n)), F.lit(1 - generalise)) * (1 + 1e-9)
+    return held.join(evidence.where(F.col("contexts") >= support).select("entity", "n_entity", bound.alias("bound")), "entity")
+
+
+def candidates(docs: DataFrame, held: DataFrame, doc_id: str, text: str, support: int) -> DataFrame:
+    """doc_id, text_hash, term, start, end, n_term: words of rows with entities, without those beyond every bound."""
+    source = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    lowered = F.transform(F.regexp_extract_all("text", F.lit(WORD), 0), F.lower)
+    counts = source.select(F.explode(F.array_distinct(lowered)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    most = held.agg(F.max("bound").alias("most"))
+    rare = counts.where(F.col("n_term") >= support).join(most, F.col("n_term") <= F.col("most")).drop("most")  # one row
+    rows = as_key(held.select("doc_id", "text_hash").distinct())
+    keyed = source.withColumn("text_hash", text_hash("text"))
+    near = keyed.join(rows, same_row(keyed, rows), "left_semi")
+    words = near.select("doc_id", "text_hash", F.explode(words_with_starts(F.col("text"))).alias("w")).select(
+        "doc_id", "text_hash", F.lower("w.word").alias("term"), F.col("w.at").alias("start"), (F.col("w.at") + F.char_length("w.word")).alias("end"))
+    return words.join(rare, "term")
+
+
+def disclosing_terms(words: DataFrame, held: DataFrame, n: int, support: int, generalise: float) -> DataFrame:
+    """_id, _hash, term, share: terms of each row that reveal at least ``generalise`` of the information of an entity in it."""
+    once = as_key(words.groupBy("doc_id", "text_hash", "term").agg(F.first("n_term").alias("n_term")))
+    linked = materialize(once.join(held, same_row(held, once) & (F.col("n_term") <= F.col("bound"))).select("_id", "_hash", "entity", "term", "context", "times", "n_entity", "n_term"))
+    # Copies of one context are one piece of evidence.
+    pairs = linked.groupBy("entity", "term", "context").agg(F.sum("times").alias("times"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("times").alias("n_both"), F.first("n_entity").alias("n_entity"), F.first("n_term").alias("n_term"))
+    information = F.log(F.lit(float(n)) / F.col("n_entity"))
+    shared = F.log(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity").cast("double") * F.col("n_term")))
     share = F.when(information > 0, F.least(shared / information, F.lit(1.0))).otherwise(0.0)
-    return counted.select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
+    told = pairs.where(F.col("contexts") >= support).select("entity", "term", share.alias("share")).where(F.col("share") >= generalise)
+    return linked.join(told, ["entity", "term"]).groupBy("_id", "_hash", "term").agg(F.max("share").alias("share"))
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
     """doc_id, text_hash, spans (base) and terms (start, end, share, term) of each row; repeated rows once each."""
     base = materialize(detect(docs, doc_id, text))
-    near = materialize(contexts(base))
-    pairs = disclosing_pairs(docs, near, support, generalise, text)
-    terms = (near.join(pairs, ["entity", "term"]).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("share").alias("share"), F.first("term").alias("term"))
+    n = base.count()
+    held = materialize(entities(base, n, support, generalise))
+    words = materialize(candidates(docs, held, doc_id, text, support))
+    shares = disclosing_terms(words, held, n, support, generalise).withColumnRenamed("term", "_term")
+    terms = (words.join(shares, same_row(words, shares) & (F.col("term") == F.col("_term"))).groupBy("doc_id", "text_hash", "start", "end").agg(F.max("share").alias("share"), F.first("term").alias("term"))
              .groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share", "term"))).alias("terms")))
-    named = terms.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
-    joined = base.join(named, base["doc_id"].eqNullSafe(named["_id"]) & (base["text_hash"] == named["_hash"]), "left").drop("_id", "_hash")
+    named = as_key(terms)
+    joined = base.join(named, same_row(base, named), "left").drop("_id", "_hash")
     given = F.coalesce("terms", F.array().cast("array<struct<start:bigint,end:bigint,share:double,term:string>>"))
     free = F.filter(given, lambda t: ~F.exists("spans", lambda x: (x["start"] < t["end"]) & (x["end"] > t["start"])))
     return joined.withColumn("terms", free)

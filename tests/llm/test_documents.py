@@ -140,6 +140,20 @@ def test_terms_that_reveal_an_identifier_are_found_and_masked(llm):
     assert pii.find(docs.limit(0)).count() == 0 and pii.sanitise(docs.limit(0)).count() == 0
 
 
+def test_terms_far_from_an_identifier_are_found_and_masked(llm):
+    far = "the house of the end " * 10
+    rows = [(i, f"Zebulon {far}{prose(i, 8)} flat 5, call +1 (386) 555-3733 {prose(i + 70, 8)} {far} zebulon") for i in range(4)]
+    rows += [(50 + i, f"{prose(i + 500, 10)} the house of {prose(i + 900, 6)} the end flat call") for i in range(40)]
+    docs = docs_of(llm, rows)
+    found = {r.doc_id: r for r in pii.find(docs).collect()}
+    for i in range(4):
+        assert [t.start for t in found[i].terms if t.term == "zebulon"] == [0, len(rows[i][1]) - 7]
+        assert not {"the", "house", "end"} & {t.term for t in found[i].terms}
+    assert not any("zebulon" in r.text.lower() for r in pii.sanitise(docs).collect())
+    # Copies of one text are one piece of evidence.
+    assert not any(r.terms for r in pii.find(docs_of(llm, [(i, rows[0][1]) for i in range(9)] + rows[4:])).collect())
+
+
 def test_shares_follow_the_definition(llm):
     rows = [(i, f"Quixo x@y.zz w{i}a") for i in range(4)] + [(10 + i, f"Quixo alone v{i}b") for i in range(4)] + [(20 + i, f"nothing u{i}c") for i in range(12)]
     terms = {t.term: t.share for r in pii.find(docs_of(llm, rows), generalise=0.0).collect() for t in r.terms}
