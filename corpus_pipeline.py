@@ -4,8 +4,8 @@ Each stage takes the documents that its predecessor kept and returns them with t
 same columns; the last returns pieces of sequences. Every stage is written to the
 shared folder and read again, so a lost executor costs one stage at most.
 
-1. language: documents whose language the tagger cannot tell go; a missing ``lang``
-   is filled in.
+1. language: documents without a letter, whose language nothing can tell, go; those
+   of several languages or of few words stay. A missing ``lang`` is filled in.
 2. near_duplicates: the document with the smallest id of each group stays.
 3. repeats: passages of 50 words that a document with a smaller id has too are cut.
 4. personal_data: identifiers, and terms that give them away, are masked.
@@ -24,8 +24,6 @@ from knownby.llm import language_crf, order_minhash, packing, pii, substring_ded
 from knownby.llm.tables import prepare, table
 from knownby.session import materialize
 
-LEAST_SCORE = 0.4
-
 #: Learned models, hashing and tokenizers are beyond SQL; tests/llm compares the stages with brute force.
 ORACLE_SQL = None
 
@@ -38,7 +36,7 @@ def measured(docs: DataFrame, columns: list[str]) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     prepare(spark)
     model = language_crf.fit(docs.select("doc_id", "text", "lang"))
-    told = language_crf.predict(docs, model, prefix="_").where((F.col("_lang_pred") != language_crf.UNDETERMINED) & (F.col("_score") >= LEAST_SCORE))
+    told = language_crf.predict(docs, model, prefix="_").where(F.col("_lang_pred") != language_crf.UNDETERMINED)
     return told.withColumn("lang", F.coalesce("lang", "_lang_pred")).select(*docs.columns)
 
 

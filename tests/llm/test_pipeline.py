@@ -52,6 +52,14 @@ def test_each_stage_takes_effect(llm):
         assert p.length & p.length - 1 == 0 and len(np.frombuffer(p.ids, "<u4")) == p.length
 
 
+def test_mixed_and_very_short_documents_stay(llm):
+    more = [(300 + i, " ".join(sentence(lang, 20, f"{i}{lang}") for lang in ("aa", "bb", "cc")), None, "s", 1) for i in range(5)]
+    more += [(310, "Xq", None, "s", 1), (311, "7 8", None, "s", 1)]
+    docs = table_of(llm).select("doc_id", "text", "lang", "source", "n_chars").unionByName(llm.createDataFrame(more, SCHEMA))
+    kept = {r.doc_id for r in corpus_pipeline.language(llm, docs, "").collect()}
+    assert {300, 301, 302, 303, 304, 310} <= kept and 311 not in kept
+
+
 def test_empty_documents(llm):
     docs = table_of(llm).limit(0)
     for _, stage in corpus_pipeline.STAGES[:-1]:
