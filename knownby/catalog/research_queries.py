@@ -401,11 +401,12 @@ def _(spark, sf):
     f"SELECT security_id, {', '.join(_SEVEN.split())} FROM day_last", "day_last", _SEVEN))
 def _(spark, sf):
     lists = table(spark, sf, "region").select(F.lit("all").alias("coverage_list_id"), F.lit("1995-01-01 00:00:00").cast("timestamp").alias("created_at"))
-    bars = instruments(spark, sf).where("effective_at <= timestamp '2001-06-30'")
+    # All bars, later ones too: the request's own instants choose. The newest of all would be beyond the cutoff, so as_of is given.
+    bars = instruments(spark, sf)
     positions = holdings(spark, sf).withColumn("snapshot_id", F.lit("p1"))
     snapshots = table(spark, sf, "region").agg(F.count(F.lit(1)).alias("n")).select(F.lit("p1").alias("snapshot_id"), F.lit("book").alias("portfolio_name"), F.lit("2000-01-01 00:00:00").cast("timestamp").alias("as_of"))
     out = workflows.close_workflow(coverage_lists=lists, members=coverage(spark, sf), mappings=market_mappings(spark, sf), bars=bars, snapshots=snapshots,
-                                   positions=positions, source="fixture", data_cutoff_at="2001-07-01T00:00:00+00:00", lookback_days=5000)
+                                   positions=positions, source="fixture", data_cutoff_at="2001-07-01T00:00:00+00:00", as_of=REQUEST.as_of, lookback_days=5000)
     return out.snapshots.select("security_id", *_SEVEN.split())
 
 

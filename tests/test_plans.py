@@ -64,3 +64,22 @@ def test_screen_limit_is_pruned_in_each_task(spark, stored):
     screen = screens.Screen("s", (screens.Criterion("f", "greater_than", 0.0),), rank=("f", "descending"), limit=5000)
     text = plan(screens.screen_matches(screens.screen_history(stored, screen, cutoffs=CUTS), screen))
     assert "WindowGroupLimit" in text
+
+
+def test_the_close_workflow_query_leaves_the_cutoff_to_the_operator(spark, monkeypatch):
+    from knownby.catalog import QUERIES
+    from knownby.plans import workflows
+
+    given = {}
+
+    class Seen(Exception):
+        pass
+
+    def seen(**arguments):
+        given.update(arguments)
+        raise Seen
+
+    monkeypatch.setattr(workflows, "close_workflow", seen)
+    with pytest.raises(Seen):
+        QUERIES["o7_close_workflow"](spark, "/root/testdata/sf0.001")
+    assert not given["bars"].where("effective_at > timestamp '2001-07-01'").isEmpty()
