@@ -19,6 +19,8 @@ payload, which Spark splits; ids are reduced before they are shuffled.
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -136,12 +138,19 @@ def inflated(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
 
 
 def entry(run: str, headers: dict[str, str], block: bytes, offset: int, size: int) -> tuple:
-    http = block[:block.index(b"\r\n\r\n")].decode()
+    """Index row of a record. A stored payload must be what its headers say; revisits have only the headers."""
+    stop = block.index(b"\r\n\r\n")
+    http = block[:stop].decode()
     length = next(int(line[16:]) for line in http.split(EOL) if line.startswith("Content-Length: "))
+    digest = headers["WARC-Payload-Digest"][5:]
+    if headers["WARC-Type"] == "response":
+        payload = block[stop + 4:]
+        if len(payload) != length or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+            raise ValueError(f"{run}: the payload at {offset} differs from its headers")
     ident = headers["WARC-Record-ID"][len("<urn:capture:"):-1]
     refers = headers.get("WARC-Refers-To")
     return (run, url_key(headers.get("WARC-Target-URI")), headers.get("WARC-Date"), None if ident == "none" else int(ident), headers["WARC-Type"],
-            int(refers[len("<urn:capture:"):-1]) if refers else None, length, headers["WARC-Payload-Digest"][5:], offset, size)
+            int(refers[len("<urn:capture:"):-1]) if refers else None, length, digest, offset, size)
 
 
 def order(row: tuple) -> tuple:

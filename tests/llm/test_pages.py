@@ -4,6 +4,8 @@ import base64
 import hashlib
 import random
 
+import pytest
+
 from knownby.llm import site_style_tree as tree
 from knownby.llm import warc
 
@@ -134,3 +136,13 @@ def test_small_payloads_can_be_left_out_of_revisits(llm):
     pages = llm.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     found = {r.page_id: r.record_type for r in warc.archive(warc.dated(pages), minimum=3).collect()}
     assert found == {1: "response", 2: "response", 3: "revisit", 4: "response"}
+
+
+def test_an_altered_payload_is_noticed():
+    digest = base64.b32encode(hashlib.sha1(b"abc").digest()).decode()
+    headers = {"WARC-Record-ID": "<urn:capture:1>", "WARC-Type": "response", "WARC-Payload-Digest": f"sha1:{digest}"}
+    http = b"HTTP/1.1 200 OK\r\nContent-Length: 3\r\n\r\n"
+    assert warc.entry("run", headers, http + b"abc", 0, 9)[6:8] == (3, digest)
+    for altered in (b"abd", b"abcd"):
+        with pytest.raises(ValueError):
+            warc.entry("run", headers, http + altered, 0, 9)
