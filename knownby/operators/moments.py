@@ -24,10 +24,11 @@ def trailing_moments(df: DataFrame, *, keys: Sequence[str], order: str, groups:
     of its columns i <= j; means and covariances are null where no row counts.
     """
     series = Window.partitionBy(*keys).orderBy(order)
-    work = df.withColumn("__at", F.row_number().over(series) - 1)
-    work = work.withColumn("__block", F.floor(F.col("__at") / F.lit(window)))
+    at = F.row_number().over(series) - 1
+    work = df.withColumns({"__at": at, "__block": F.floor(at / F.lit(window))})
     blocks = Window.partitionBy(*keys, "__block")
     running = {"__head": blocks.orderBy(order), "__tail": blocks.orderBy(F.col(order).desc())}
+    sums: dict[str, Column] = {}
     for name, frame in running.items():
         over = frame.rowsBetween(Window.unboundedPreceding, 0)
         parts = []
@@ -36,11 +37,11 @@ def trailing_moments(df: DataFrame, *, keys: Sequence[str], order: str, groups:
             for i, c in enumerate(columns):
                 parts.append(F.avg(c).over(over).alias(f"m{g}_{i}"))
                 parts += [F.covar_pop(c, columns[j]).over(over).alias(f"c{g}_{i}_{j}") for j in range(i, len(columns))]
-        work = work.withColumn(name, F.struct(*parts))
+        sums[name] = F.struct(*parts)
+    work = work.withColumns(sums)
     # Where the window ends with a block, it is that block.
     split = F.pmod(F.col("__at") - lag, F.lit(window)) != window - 1
-    work = work.withColumns({"__head": F.lag("__head", lag).over(series), "__tail": F.lag("__tail", lag + window - 1).over(series)})
-    work = work.withColumn("__tail", F.when(split, F.col("__tail")))
+    work = work.withColumns({"__head": F.lag("__head", lag).over(series), "__tail": F.when(split, F.lag("__tail", lag + window - 1).over(series))})
     added: dict[str, Column] = {}
     for g, columns in enumerate(groups):
         def side(part: str, field: str) -> Column:
