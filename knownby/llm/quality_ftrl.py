@@ -182,7 +182,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int, label: str) -
 
     shard = F.pmod("key", F.lit(SHARDS)).cast("int").alias("shard")
     rows = texts.select(shard, "key", F.col("doc_id").cast("string").alias("doc_id"), "label", "text").mapInArrow(run, schema)
-    return materialize(rows.repartition(SHARDS, "shard").sortWithinPartitions("shard", "key", "doc_id"))
+    return materialize(materialize(rows).repartitionByRange(SHARDS, "shard").sortWithinPartitions("shard", "key", "doc_id"))
 
 
 def one_round(rows: DataFrame, state: State, settings: Settings) -> State:
