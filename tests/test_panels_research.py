@@ -204,3 +204,33 @@ def test_look_ahead_in_another_feature_is_refused(spark):
     late = panel.limit(1).withColumns({"feature_name": F.lit("other"), "available_at": F.col("decision_at") + F.expr("interval 1 second")})
     with pytest.raises(ValueError, match="unavailable at decision time"):
         portfolio.evaluate_portfolio(panel.unionByName(late), returns, spec)
+
+
+def test_positions_in_long_texts_take_time_in_proportion(spark):
+    import time
+
+    from knownby.operators.filings import numeric_claims
+
+    def seconds(n):
+        text = " ".join(f"é {i % 997}.5%" for i in range(n))
+        df = spark.createDataFrame([(text,)], "text string")
+        began = time.perf_counter()
+        claims = df.select(numeric_claims("text").alias("c")).first()["c"]
+        took = time.perf_counter() - began
+        assert [text[c.start:c.end] for c in claims[::501]] == [c.raw for c in claims[::501]] and len(claims) == n
+        return took
+
+    seconds(100)
+    short, long = seconds(10_000), seconds(40_000)
+    assert long < 8 * short + 1  # sixteen times, if every match walked the others
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 700])
+def test_running_merges_before_each_element(spark, n):
+    from knownby.functions.text import running
+
+    values = [(i * 37) % 101 for i in range(n)]
+    df = spark.createDataFrame([(values,)], "v array<bigint>")
+    got = df.select(running(F.col("v"), lambda a, x: a + x).alias("s"), running(F.col("v"), lambda a, x: F.greatest(a, x)).alias("m")).first()
+    assert got["s"] == [sum(values[:i]) for i in range(n)]
+    assert got["m"] == [max([0, *values[:i]]) for i in range(n)]
