@@ -34,6 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from knownby.functions.text import bound, match_starts, part, pieces, running
 from knownby.llm.catalog import query
 from knownby.llm.substring_dedup import text_hash, with_changes
 from knownby.llm.tables import table
@@ -88,25 +89,6 @@ def valid(kind: str, c: Column) -> Column:
 
 GATES = {"email": r"@[A-Za-z0-9-]++\.", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]"}
 PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE}
-BLOCK = 64
-
-
-def positions(lengths: Column, sizes: Column) -> Column:
-    """Start of each match, from the lengths of the gaps before the matches and of the matches.
-
-    Sums run over blocks of a fixed size first, so the work stays near linear however many matches one text has.
-    """
-    steps = F.zip_with(F.slice(lengths, 1, F.size(sizes)), sizes, lambda g, m: F.struct(g.cast("long").alias("g"), m.cast("long").alias("m")))
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / F.lit(BLOCK)).cast("int")), lambda b: F.slice(steps, b * BLOCK + 1, BLOCK))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
-    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda a, s: a + s["g"] + s["m"])
-    bases = F.aggregate(blocks, zero, lambda a, part: F.struct((a["at"] + total(part)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
-    inner = F.zip_with(blocks, bases, lambda part, base: F.aggregate(
-        part, F.struct(base.alias("at"), F.array().cast("array<bigint>").alias("out")),
-        lambda a, s: F.struct((a["at"] + s["g"] + s["m"]).alias("at"), F.concat(a["out"], F.array(a["at"] + s["g"])).alias("out")))["out"])
-    return F.when(F.size(sizes) > 0, F.flatten(inner)).otherwise(F.array().cast("array<bigint>"))
-
-
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>"
 
 
@@ -118,7 +100,7 @@ def matches(text: Column, kind: str) -> Column:
     pattern = PATTERNS[kind]
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
     gaps = F.split(text, pattern, -1)
-    starts = positions(F.transform(gaps, F.char_length), F.transform(found, F.char_length))
+    starts = match_starts(F.transform(gaps, F.char_length), F.transform(found, F.char_length))
     rank = KINDS.index(kind)
     parts = F.arrays_zip(found, starts).cast(PARTS)
     spans = F.transform(parts, lambda x: F.struct(
@@ -128,19 +110,13 @@ def matches(text: Column, kind: str) -> Column:
 
 
 def with_contexts(text: Column, spans: Column) -> Column:
-    """The spans with a hash of the text around each. The text is cut into pieces once, so that a context is not sought from its start."""
-    def add(pieces: Column, x: Column) -> Column:
+    """The spans with a hash of the text around each."""
+    def add(cut: Column, x: Column) -> Column:
         first = F.greatest(x["start"] - WIDTH, F.lit(0))
-        skipped = F.floor(first / F.lit(WIDTH))
-        count = F.floor((x["end"] + WIDTH) / F.lit(WIDTH)) - skipped + 1
-        around = F.array_join(F.slice(pieces, (skipped + 1).cast("int"), count.cast("int")), "")
-        at = skipped * WIDTH
-        before = F.substring(around, (first - at + 1).cast("int"), (x["start"] - first).cast("int"))
-        return x.withField("context", F.xxhash64(before, F.substring(around, (x["end"] - at + 1).cast("int"), F.lit(WIDTH))))
+        return x.withField("context", F.xxhash64(part(cut, first, x["start"]), part(cut, x["end"], x["end"] + WIDTH)))
 
-    # Both arrays are bound to a variable first: an expression in the body of a lambda is computed for every element.
-    found = lambda v: F.transform(F.array(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{WIDTH}}}"), 0)), lambda c: F.transform(v, lambda x: add(c, x)))[0]
-    return F.transform(F.array(spans), lambda v: F.when(F.size(v) > 0, found(v)).otherwise(F.array()))[0]
+    found = lambda v: bound(pieces(text), lambda cut: F.transform(v, lambda x: add(cut, x)))
+    return bound(spans, lambda v: F.when(F.size(v) > 0, found(v)).otherwise(F.array()))
 
 
 def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,7 +129,7 @@ def detect(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 def words_with_starts(text: Column) -> Column:
     """Words of a text with their starts in it."""
     found = F.regexp_extract_all(text, F.lit(WORD), 0)
-    starts = positions(F.transform(F.split(text, WORD, -1), F.char_length), F.transform(found, F.char_length))
+    starts = match_starts(F.transform(F.split(text, WORD, -1), F.char_length), F.transform(found, F.char_length))
     return F.arrays_zip(found, starts).cast("array<struct<word:string,at:bigint>>")
 
 
@@ -240,12 +216,16 @@ def masked(text: Column, spans: Column, terms: Column, remove: float) -> Column:
     base = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), mask[s["kind"]].alias("by")))
     more = F.transform(terms, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["share"] >= remove, "").otherwise(general_form(t["term"])).alias("by")))
     ordered = F.array_sort(F.concat(base, more), lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1)).otherwise(F.when(a["end"] > b["end"], -1).otherwise(1)))
-    # Only the starts of pieces are kept: text from the last end to this start, then the mask.
-    zero = F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<string>").alias("out"))
-    walk = F.aggregate(ordered, zero, lambda a, s: F.when(s["start"] < a["end"], F.struct(F.greatest(a["end"], s["end"]).alias("end"), a["out"].alias("out"))).otherwise(
-        F.struct(s["end"].alias("end"), F.concat(a["out"], F.array(F.substring(text, (a["end"] + 1).cast("int"), (s["start"] - a["end"]).cast("int")), s["by"])).alias("out"))))
-    whole = F.concat(F.array_join(walk["out"], ""), F.substring(text, (walk["end"] + 1).cast("int"), F.char_length(text)))
-    return F.when(F.size(ordered) > 0, whole).otherwise(text)
+
+    def replaced(v: Column, cut: Column) -> Column:
+        ends = F.transform(v, lambda s: s["end"].cast("long"))
+        # Where the text after all earlier spans begins: a span that starts before is part of what was replaced there.
+        before = running(ends, lambda a, x: F.greatest(a, x))
+        kept = F.zip_with(v, before, lambda s, at: F.when(s["start"] >= at, F.concat(part(cut, at, s["start"]), s["by"])).otherwise(""))
+        return F.concat(F.array_join(kept, ""), part(cut, F.array_max(ends), F.char_length(text).cast("long")))
+
+    whole = bound(ordered, lambda v: bound(pieces(text), lambda cut: replaced(v, cut)))
+    return F.when(F.size(spans) + F.size(terms) > 0, whole).otherwise(text)
 
 
 def sanitise(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:

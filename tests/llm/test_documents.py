@@ -312,3 +312,23 @@ def test_components(llm):
     linked = {x for e in edges if e[0] != e[1] for x in e}
     assert got == {x: find(x) for x in linked}
     assert connected_components(llm.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_masks_and_words_of_long_texts_with_overlaps(llm):
+    pieces = [f"Nám {i} a{i}@b.example, +1 555 010 {i % 900 + 100:04d}; 10.0.0.{i % 256}\n" for i in range(1500)]
+    text = "".join(pieces) + "é" * 300
+    df = llm.createDataFrame([(1, text), (2, ""), (3, "x" * 80), (4, "a@b.example " + "y " * 40)], "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.detect(df).collect()}
+    assert all(text[s.start:s.end] == s.value for s in spans[1])
+    terms = F.array().cast("array<struct<start:bigint,end:bigint,share:double,term:string>>")
+    joined = df.join(pii.detect(df).select("doc_id", "spans"), "doc_id")
+    masked = {r.doc_id: r.m for r in joined.select("doc_id", pii.masked(F.col("text"), F.col("spans"), terms, 0.9).alias("m")).collect()}
+    out, at = [], 0
+    for s in spans[1]:  # one pass in Python
+        if s.start >= at:
+            out += [text[at:s.start], pii.MASKS[s.kind]]
+        at = max(at, s.end)
+    assert masked[1] == "".join(out) + text[at:]
+    assert masked[2] == "" and masked[3] == "x" * 80 and masked[4] == "<EMAIL> " + "y " * 40
+    words = {r.doc_id: r.w for r in df.select("doc_id", pii.words_with_starts(F.col("text")).alias("w")).collect()}
+    assert all(text[w.at:w.at + len(w.word)] == w.word for w in words[1]) and words[2] == []
