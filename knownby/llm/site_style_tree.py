@@ -11,8 +11,9 @@ Branches under ``LOW`` are removed from every page. The entropy is relative to t
 as many different pages, so what is asked follows the page count: on up to seven pages
 only what is alike on all is low, on more pages some may differ; one page tells nothing.
 An element above an ``article`` or ``main`` region on any page of the host never goes.
-Elements that say themselves what they are (navigation, footers, forms,
-adverts, comments, ...) go on any host. An ``article`` or ``main`` region, where a
+Elements that say themselves what they are (navigation, footers, forms, hidden parts) go on any host.
+Class names and ids are a prior only: a name made of noise words alone (adverts, comments, sharing, ...) takes an element away, but never one
+that is or holds a main region. An ``article`` or ``main`` region, where a
 page has one, holds the main text: low branches below it go, the region itself stays,
 and where nothing would be left of it, it stays whole.
 
@@ -29,15 +30,15 @@ the input are kept; ``text``, ``n_chars`` and ``pruned`` replace columns so name
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import re
 from collections.abc import Callable, Iterable, Iterator
 from html import unescape
-from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -57,6 +58,11 @@ NOISE_WORDS = frozenset("""ad ads advert adverts advertisement advertising alert
 cookie cookies consent disqus footer form header login masthead menu menus meta modal nav navbar navigation newsletter notice notices notification
 pager pagination popup promo promotion related replies reply respond search share sharing sidebar sidebars signup social sponsor sponsored
 sponsors subscribe subscription tagcloud toolbar widget widgets""".split())
+#: Words that say where or what part something is: a class name of noise words and these is noise, one with any other word ("share-price") is not.
+PLAIN_WORDS = frozenset("""area bar block bottom box button buttons center col column container content group global holder icon icons inner item items js left
+link links list lower main module outer page panel primary region right row secondary section site slot sub top unit upper wrap wrapper""".split())
+#: The only words that tell a reader's contribution from the main text of an article element.
+READER_WORDS = frozenset("comment comments disqus related replies reply respond".split())
 NOISE_ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: Starting one of these ends an open element of the named kinds, up to the nearest container.
 ENDS = {"li": (frozenset(["li"]), frozenset(["ul", "ol", "menu", "dir"])), "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])), "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
@@ -67,25 +73,47 @@ TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 
 
+#: Longer labels and attributes are not kept in caches, which are then bounded in bytes.
+CACHED = 160
+
+
 @functools.lru_cache(maxsize=100_000)
+def _child_id(parent: int, label: str) -> int:
+    return int.from_bytes(hashlib.blake2b(f"{parent}/{label}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
 def child_id(parent: int, label: str) -> int:
     """A stable 64-bit name of the node ``label`` under a node of the style tree."""
-    return int.from_bytes(hashlib.blake2b(f"{parent}/{label}".encode(), digest_size=8).digest(), "little", signed=True)
+    return _child_id(parent, label) if len(label) <= CACHED else _child_id.__wrapped__(parent, label)
 
 
-@functools.lru_cache(maxsize=50_000)
-def traits(name: str, raw: str) -> tuple[str, bool, bool, bool]:
-    """Label in the style tree; is it noise, noise outside of the main region only, a main region."""
+def says(names: str, words: frozenset[str]) -> bool:
+    """Is one of the names made of these words, with plain words and numbers beside them at most?"""
+    for name in names.split():
+        parts = [p for p in re.split(r"[^a-z0-9]+", name) if p and not p.isdigit()]
+        if any(p in words for p in parts) and all(p in words or p in NOISE_WORDS or p in PLAIN_WORDS for p in parts):
+            return True
+    return False
+
+
+def _traits(name: str, raw: str) -> tuple[str, bool, bool, bool, bool]:
     found = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(raw)} if raw.strip(" /\n\t\r") else {}
     names = f"{found.get('class', '')} {found.get('id', '')}".lower()
     role = found.get("role", "").lower()
     noise = (name in NOISE or role in NOISE_ROLES or "hidden" in found or found.get("aria-hidden") == "true"
              or "display:none" in found.get("style", "").replace(" ", "").lower())
-    main = name in ("article", "main") or role in ("main", "article")
-    if name not in ("html", "body") and not NOISE_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", names)):
-        noise = True
+    main = (name in ("article", "main") or role in ("main", "article")) and not noise
+    named = name not in ("html", "body") and says(names, READER_WORDS if main else NOISE_WORDS)
     classes = " ".join(sorted(found.get("class", "").split()))
-    return (f"{name}.{classes}" if classes else name), noise, name == "header", main and not noise
+    return (f"{name}.{classes}" if classes else name), noise, named, name == "header", main and not named
+
+
+_cached_traits = functools.lru_cache(maxsize=50_000)(_traits)
+
+
+def traits(name: str, raw: str) -> tuple[str, bool, bool, bool, bool]:
+    """Label in the style tree; is it noise by what it is, by its class or id, noise outside of the main region only, a main region."""
+    return _cached_traits(name, raw) if len(raw) <= CACHED else _traits(name, raw)
 
 
 @functools.cache
@@ -95,10 +123,26 @@ def raw_end(name: str) -> re.Pattern:
 
 def walk(html: str, pruned: frozenset[int], nodes: dict[int, list] | None = None) -> list[tuple[str, bool]]:
     """Visible blocks in page order, each with whether it lies in the main region. nodes: gathers each path's children, own texts, whether some of them is kept, and whether it is a main region."""
+    spared: set[int] = set()
+    blocks = _walk(html, pruned, nodes, spared)
+    if spared:  # class names took away what holds a main region: not those
+        if nodes is not None:
+            nodes.clear()
+        blocks = _walk(html, pruned, nodes, spared)
+    return blocks
+
+
+def _walk(html: str, pruned: frozenset[int], nodes: dict[int, list] | None, spared: set[int]) -> list[tuple[str, bool]]:
+    """One pass. spared: the places of elements that class names do not remove; places found to hold a main region are added."""
     blocks: list[tuple[str, bool]] = []
     pending: list[str] = []
     stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # name, path, removed, main
-    opened: dict[str, int] = {}
+    depths: dict[str, list[int]] = {}  # of the open elements of each name
+    taken: list[tuple[int, int]] = []  # depth and place of open elements removed for their class names
+
+    def last(names: Iterable[str]) -> int:
+        """Depth of the innermost open element of these names, 0 for none."""
+        return max((depths[n][-1] for n in names if depths.get(n)), default=0)
 
     def flush() -> None:
         text = " ".join("".join(pending).split())
@@ -121,8 +165,10 @@ def walk(html: str, pruned: frozenset[int], nodes: dict[int, list] | None = None
             name = stack[-1][0]
             if name in BLOCKS or stack[-1][2] != stack[-2][2]:
                 flush()
-            opened[name] -= 1
+            depths[name].pop()
             stack.pop()
+        while taken and taken[-1][0] >= depth:
+            taken.pop()
 
     at, search = 0, TOKEN.search
     while True:
@@ -130,19 +176,17 @@ def walk(html: str, pruned: frozenset[int], nodes: dict[int, list] | None = None
         if found is None:
             say(html[at:])
             break
-        if found.start() > at:
-            say(html[at:found.start()])
+        place = found.start()
+        if place > at:
+            say(html[at:place])
         at = found.end()
         slash, name, raw = found.groups()
         if name is None:
             continue
         name = name.lower()
         if slash:
-            if opened.get(name):
-                depth = len(stack) - 1
-                while stack[depth][0] != name:
-                    depth -= 1
-                close(depth)
+            if depths.get(name):
+                close(depths[name][-1])
             elif name in BLOCKS:
                 flush()
             continue
@@ -150,37 +194,33 @@ def walk(html: str, pruned: frozenset[int], nodes: dict[int, list] | None = None
             flush()
             if name in ENDS:
                 own, limits = ENDS[name]
-                depth, lowest = len(stack) - 1, 0
-                while depth > 0 and stack[depth][0] not in limits:
-                    if stack[depth][0] in own:
-                        lowest = depth
-                    depth -= 1
-                if lowest:
-                    close(lowest)
-            elif opened.get("p"):
-                depth = len(stack) - 1
-                while stack[depth][0] not in ("p", "td", "th", "button"):
-                    depth -= 1
-                    if depth == 0:
-                        break
-                if stack[depth][0] == "p":
-                    close(depth)
+                limit = last(limits)
+                above = [d[bisect.bisect_right(d, limit)] for n in own if (d := depths.get(n)) and d[-1] > limit]
+                if above:
+                    close(min(above))
+            elif depths.get("p") and depths["p"][-1] > last(("td", "th", "button")):
+                close(depths["p"][-1])
         elif name == "br":
             say(" ")
-        label, noise, header, main = traits(name, raw)
+        label, noise, named, header, main = traits(name, raw)
         _, parent, removed, inside = stack[-1]
         path = child_id(parent, label)
         if nodes is not None:
             nodes.setdefault(parent, [[], [], False, False])[0].append(label)
         if name in VOID:
             continue
-        gone = removed or noise or (header and not inside) or path in pruned
+        named = named and place not in spared
+        if named:
+            taken.append((len(stack), place))
+        elif main and not noise and taken:
+            spared.update(where for _, where in taken)
+        gone = removed or noise or named or (header and not inside) or path in pruned
         if gone and not removed:
             flush()
         if nodes is not None and main and not gone:
             nodes.setdefault(path, [[], [], False, False])[3] = True
+        depths.setdefault(name, []).append(len(stack))
         stack.append((name, path, gone, (inside or main) and not gone))
-        opened[name] = opened.get(name, 0) + 1
         if name in RAW:
             end = raw_end(name).search(html, at)
             at = end.start() if end else len(html)
@@ -204,11 +244,10 @@ def extract(html: str, pruned: frozenset[int] = frozenset()) -> str:
     return "\n\n".join(main_text(blocks))
 
 
-def host(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""
+def host_of(url: str | Column) -> Column:
+    """The host of a URL, the only reading of it here: lower-cased, "" where there is none."""
+    address = F.col(url) if isinstance(url, str) else url
+    return F.coalesce(F.lower(F.regexp_extract(address, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
 def digest(parts: Iterable[str]) -> int:
@@ -240,14 +279,13 @@ def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for address, source in zip(batch.column(0).to_pylist(), text_column(batch, "html").to_pylist()):
-                site = host(address)
+            for site, source in zip(batch.column(0).to_pylist(), text_column(batch, "html").to_pylist()):
                 rows.extend((site, *node) for node in page_nodes(source))
             columns = zip(*rows) if rows else [[]] * 8
             types = [pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["host", "path", "parent", "has_text", "holds_main", "style", "content", "page"])
 
-    seen = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInArrow(run, schema).distinct()
+    seen = pages.select(host_of(url).alias("host"), F.col(html).alias("html")).mapInArrow(run, schema).distinct()
 
     def entropy(kind: str) -> DataFrame:
         traits_of = [F.first("parent").alias("parent"), F.max("has_text").alias("has_text"), F.max("holds_main").alias("holds_main")]
@@ -284,9 +322,8 @@ def low_branches(tree: DataFrame, low: float = LOW) -> DataFrame:
 def extract_pages(pages: DataFrame, url: str = "url", html: str = "html", low: float = LOW) -> DataFrame:
     """Add ``text`` and ``n_chars`` to every page."""
     branches = materialize(low_branches(style_tree(pages, url, html), low)).withColumnRenamed("host", "_host")
-    host_of = F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     given = pages.drop("text", "n_chars", "pruned")
-    joined = given.withColumn("_host", host_of).join(branches, "_host", "left").drop("_host")
+    joined = given.withColumn("_host", host_of(url)).join(branches, "_host", "left").drop("_host")
     schema = T.StructType([f for f in joined.schema.fields if f.name != "pruned"] + [T.StructField("text", T.StringType())])
     keep = schema.names[:-1]
 

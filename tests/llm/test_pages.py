@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 
 import pytest
@@ -92,6 +93,84 @@ def test_any_depth_and_any_number_of_pages(llm):
     assert texts(llm, few)[0] == "Notice\n\nBody 0" and texts(llm, many)[0] == "Body 0"
 
 
+def test_class_names_never_take_a_main_region():
+    for page in ('<div class="site has-sidebar"><article>A b</article></div>', '<article class="post comments-open">A b</article>', '<main class="content no-banner">A b</main>',
+                 '<div class=sidebar><p>x</p><div><article>A b</article></div></div><div class="sidebar-left">no</div>', '<div id=widget-1><div class="promo box"><main>A b</main></div></div>'):
+        assert tree.extract(page) == "A b"
+    assert tree.extract('<article>A b<div class="share-price">9</div><div class="share-buttons">tell</div></article>') == "A b\n\n9"
+    assert tree.extract('<article>A<section class=comments><article class="comment">me</article></section></article>') == "A"
+    assert tree.extract("<nav><article>in a menu</article></nav><p>b") == "b"
+
+
+def test_lists_and_long_attributes_are_linear():
+    import time
+
+    began = time.perf_counter()
+    assert tree.extract("<ul>" + "<li><b>x" * 40_000).count("x") == 40_000
+    assert time.perf_counter() - began < 10
+    before = tree._cached_traits.cache_info().currsize, tree._child_id.cache_info().currsize
+    tree.extract("".join(f"<p class='{'k' * 5000}{i}' data-x='{i}'>y" for i in range(50)))
+    after = tree._cached_traits.cache_info().currsize, tree._child_id.cache_info().currsize
+    assert after[0] <= before[0] + 1 and after[1] <= before[1] + 60
+
+
+def plain_pruned(pages, low):
+    """Topmost low branches of one host's pages, straight from the definition."""
+    seen = {node for html in pages for node in tree.page_nodes(html)}
+    paths, own, kept, holds, parent = {}, {}, {}, {}, {}
+    for path, above, has_text, held, style, content, shown in seen:
+        paths.setdefault(path, set()).add((above, has_text, held, style, content, shown))
+        parent[path] = above
+        kept[path] = kept.get(path, False) or has_text
+        holds[path] = holds.get(path, False) or held
+    for path, rows in paths.items():
+        def importance(kind):
+            counts = {}
+            for row in rows:
+                counts[row[kind]] = counts.get(row[kind], 0) + 1
+            m = len(rows)
+            return 1.0 if m < 2 else -sum(n / m * math.log(n / m) for n in counts.values()) / math.log(m)
+        own[path] = max(importance(3), importance(4))
+    below = {}
+    for path in parent:
+        at, walked = path, []
+        while at:
+            walked.append(at)
+            at = parent.get(at, 0)
+        for a in walked:
+            below.setdefault(a, []).append(path)
+    judged = {p for p in parent if not holds[p] and max(own[x] for x in below[p]) < low - 1e-12}
+    return frozenset(p for p in judged if parent[p] not in judged and any(kept[x] for x in below[p]))
+
+
+def test_the_tree_decides_pages_without_a_main_region(llm):
+    pick = random.Random(11)
+    rows, by_host = [], {}
+    for i in range(300):
+        h, k = i % 10, i // 10
+        parts = [f"<div class=top{h}>Welcome to {h}</div>", f"<ul class=links>{''.join(f'<li><a>{x}</a>' for x in range(h + 1))}</ul>"]
+        parts += [f"<div class=lead><p>{' '.join(str(pick.random()) for _ in range(6))}</p></div>"]
+        parts += [f"<section class=s{x}><p>Part {x} <i>of {k if x % 2 else 'all'}</i></p></section>" for x in range(pick.randrange(4))]
+        parts += [f"<div class=end><p>Rights{' reserved' if k % 9 else ''}</p></div>"]
+        html = f"<html><body><div class=wrap{h % 3}>{''.join(parts)}</div></body></html>"
+        rows.append((i, f"http://host{h}.example:80/{k}", html))
+        by_host.setdefault(h, []).append(html)
+    pages = llm.createDataFrame(rows, "page_id long, url string, html string")
+    want = {h: plain_pruned(p, tree.LOW) for h, p in by_host.items()}
+    got = {r.page_id: r.text for r in tree.extract_pages(pages).collect()}
+    changed = 0
+    for i, _, html in rows:
+        assert got[i] == tree.extract(html, want[i % 10])
+        changed += got[i] != tree.extract(html)
+    assert changed > 250
+
+
+def test_one_reading_of_hosts(llm):
+    urls = ["//a.com/x", " http://a.com/x", "http://[::1]:80/x", "http://u:p@a@b.com/", None, "HTTP://A.Com:8080/x"]
+    pages = llm.createDataFrame([(i, u, f"<body><div class=top>Same</div><p>Body {i % 7}</p></body>") for u in urls for i in range(7)], "page_id long, url string, html string")
+    assert {r.text for r in tree.extract_pages(pages).collect()} == {f"Body {i}" for i in range(7)}
+
+
 def test_empty_page_table(llm):
     pages = llm.createDataFrame([], "page_id long, url string, html string")
     assert tree.extract_pages(pages).collect() == []
