@@ -122,22 +122,24 @@ def asset_returns(spark, sf):
 
 
 _BOUNDS = "BETWEEN TIMESTAMP '1996-01-01' AND TIMESTAMP '2001-06-30'"
-cte("signal", f"""SELECT CAST(session_date AS TIMESTAMP) AS decision_at, security_id, residual_return_zscore_1d AS value FROM weekly_signals
-WHERE residual_return_zscore_1d IS NOT NULL AND CAST(session_date AS TIMESTAMP) {_BOUNDS}""", ["weekly_signals"])
-cte("signal_monthly", """SELECT * FROM signal WHERE decision_at IN (SELECT max(decision_at) FROM signal GROUP BY date_trunc('month', decision_at))""", ["signal"])
-cte("legs", """SELECT *, CASE WHEN percentile > 1.0 - 1.0 / 5 THEN 1 WHEN percentile <= 1.0 / 5 THEN -1 ELSE 0 END AS side FROM
+#: The same tables within the bounds of SPEC, and (``_all``) over everything there is.
+for _x, _and in (("", _BOUNDS), ("_all", "IS NOT NULL")):
+    cte(f"signal{_x}", f"""SELECT CAST(session_date AS TIMESTAMP) AS decision_at, security_id, residual_return_zscore_1d AS value FROM weekly_signals
+WHERE residual_return_zscore_1d IS NOT NULL AND CAST(session_date AS TIMESTAMP) {_and}""", ["weekly_signals"])
+    cte(f"signal_monthly{_x}", f"""SELECT * FROM signal{_x} WHERE decision_at IN (SELECT max(decision_at) FROM signal{_x} GROUP BY date_trunc('month', decision_at))""", [f"signal{_x}"])
+    cte(f"legs{_x}", f"""SELECT *, CASE WHEN percentile > 1.0 - 1.0 / 5 THEN 1 WHEN percentile <= 1.0 / 5 THEN -1 ELSE 0 END AS side FROM
 (SELECT decision_at, security_id, value, count(*) OVER (PARTITION BY decision_at) AS names,
  (rank() OVER (PARTITION BY decision_at ORDER BY value) + (count(*) OVER (PARTITION BY decision_at, value) - 1) / 2.0) / count(*) OVER (PARTITION BY decision_at) AS percentile
- FROM signal_monthly)""", ["signal_monthly"])
-cte("legs_flagged", """SELECT *, names < 20 OR long_names = 0 OR short_names = 0 AS skipped FROM
-(SELECT *, count(*) FILTER (WHERE side = 1) OVER (PARTITION BY decision_at) AS long_names, count(*) FILTER (WHERE side = -1) OVER (PARTITION BY decision_at) AS short_names FROM legs)""", ["legs"])
-cte("weights", "SELECT decision_at, security_id, CAST(side AS DOUBLE) / CASE WHEN side = 1 THEN long_names ELSE short_names END AS weight FROM legs_flagged WHERE NOT skipped AND side <> 0", ["legs_flagged"])
-cte("asset_returns", f"SELECT CAST(session_date AS TIMESTAMP) AS session, security_id, ret / 1000 AS ret FROM weekly_panel WHERE CAST(session_date AS TIMESTAMP) {_BOUNDS}", ["weekly_panel"])
-cte("calendar", """SELECT *, lag(active) OVER (ORDER BY session) AS previous_active FROM
+ FROM signal_monthly{_x})""", [f"signal_monthly{_x}"])
+    cte(f"legs_flagged{_x}", f"""SELECT *, names < 20 OR long_names = 0 OR short_names = 0 AS skipped FROM
+(SELECT *, count(*) FILTER (WHERE side = 1) OVER (PARTITION BY decision_at) AS long_names, count(*) FILTER (WHERE side = -1) OVER (PARTITION BY decision_at) AS short_names FROM legs{_x})""", [f"legs{_x}"])
+    cte(f"weights{_x}", f"SELECT decision_at, security_id, CAST(side AS DOUBLE) / CASE WHEN side = 1 THEN long_names ELSE short_names END AS weight FROM legs_flagged{_x} WHERE NOT skipped AND side <> 0", [f"legs_flagged{_x}"])
+    cte(f"asset_returns{_x}", f"SELECT CAST(session_date AS TIMESTAMP) AS session, security_id, ret / 1000 AS ret FROM weekly_panel WHERE CAST(session_date AS TIMESTAMP) {_and}", ["weekly_panel"])
+    cte(f"calendar{_x}", f"""SELECT *, lag(active) OVER (ORDER BY session) AS previous_active FROM
 (SELECT session, lag(f) OVER (ORDER BY session) AS active FROM
  (SELECT session, last_value(d IGNORE NULLS) OVER (ORDER BY session ROWS UNBOUNDED PRECEDING) AS f FROM
-  (SELECT s.session, w.decision_at AS d FROM (SELECT DISTINCT session FROM asset_returns) s LEFT JOIN (SELECT DISTINCT decision_at FROM weights) w ON w.decision_at = s.session)))""",
-    ["asset_returns", "weights"])
+  (SELECT s.session, w.decision_at AS d FROM (SELECT DISTINCT session FROM asset_returns{_x}) s LEFT JOIN (SELECT DISTINCT decision_at FROM weights{_x}) w ON w.decision_at = s.session)))""",
+        [f"asset_returns{_x}", f"weights{_x}"])
 cte("portfolio", """SELECT c.session, coalesce(g.gross, 0) AS gross_return, coalesce(t.turnover, 0) AS turnover, coalesce(t.turnover, 0) * 20.0 / 10000 AS transaction_cost,
  coalesce(g.gross, 0) - coalesce(t.turnover, 0) * 20.0 / 10000 AS net_return
 FROM calendar c LEFT JOIN (SELECT r.session, sum(w.weight * coalesce(r.ret, 0)) AS gross FROM asset_returns r JOIN calendar k USING (session)
@@ -149,36 +151,33 @@ LEFT JOIN (SELECT session, 0.5 * sum(abs(dw)) AS turnover FROM (SELECT session,
 
 
 @register("l1_rebalance_decisions", oracle(
-    """SELECT decision_at, count(*) AS names FROM signal WHERE decision_at IN (SELECT max(decision_at) FROM signal GROUP BY extract(isoyear FROM decision_at), extract(week FROM decision_at)) GROUP BY 1""",
-    "signal", stamps="decision_at"))
+    """SELECT decision_at, count(*) AS names FROM signal_all WHERE decision_at IN (SELECT max(decision_at) FROM signal_all GROUP BY extract(isoyear FROM decision_at), extract(week FROM decision_at)) GROUP BY 1""",
+    "signal_all", stamps="decision_at"))
 def _(spark, sf):
-    rows = decision_panel(spark, sf).where("feature_name = 'residual_return_zscore_1d' and value is not null").where(
-        "decision_at between timestamp '1996-01-01' and timestamp '2001-06-30'")
+    rows = decision_panel(spark, sf).where("feature_name = 'residual_return_zscore_1d' and value is not null")
     return portfolio.rebalance_decisions(rows, "weekly").groupBy("decision_at").agg(F.count(F.lit(1)).alias("names"))
 
 
 def _legs(spark, sf):
-    rows = decision_panel(spark, sf).where("feature_name = 'residual_return_zscore_1d' and value is not null").where(
-        "decision_at between timestamp '1996-01-01' and timestamp '2001-06-30'")
+    rows = decision_panel(spark, sf).where("feature_name = 'residual_return_zscore_1d' and value is not null")
     decisions = materialize(rows.select("decision_at", "security_id", "value"))
     return materialize(portfolio.quantile_legs(portfolio.rebalance_decisions(decisions, "monthly"), quantiles=5))
 
 
 @register("l2_quantile_legs", oracle(
-    "SELECT decision_at, security_id, value, percentile, side, names, long_names, short_names, skipped FROM legs_flagged", "legs_flagged", "value percentile", stamps="decision_at"))
+    "SELECT decision_at, security_id, value, percentile, side, names, long_names, short_names, skipped FROM legs_flagged_all", "legs_flagged_all", "value percentile", stamps="decision_at"))
 def _(spark, sf):
     return _legs(spark, sf).select("decision_at", "security_id", "value", "percentile", "side", "names", "long_names", "short_names", "skipped")
 
 
-@register("l3_target_weights", oracle("SELECT * FROM weights", "weights", "weight", stamps="decision_at"))
+@register("l3_target_weights", oracle("SELECT * FROM weights_all", "weights_all", "weight", stamps="decision_at"))
 def _(spark, sf):
     return portfolio.target_weights(_legs(spark, sf))
 
 
-@register("l4_executable_calendar", oracle("SELECT session, active, previous_active FROM calendar", "calendar", stamps="session active previous_active"))
+@register("l4_executable_calendar", oracle("SELECT session, active, previous_active FROM calendar_all", "calendar_all", stamps="session active previous_active"))
 def _(spark, sf):
-    inside = asset_returns(spark, sf).where("session between timestamp '1996-01-01' and timestamp '2001-06-30'")
-    out = portfolio.executable_calendar(inside, portfolio.target_weights(_legs(spark, sf)))
+    out = portfolio.executable_calendar(asset_returns(spark, sf), portfolio.target_weights(_legs(spark, sf)))
     return out.select("session", "active", "previous_active")
 
 

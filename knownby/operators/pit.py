@@ -8,13 +8,14 @@ than any other.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date, datetime, timedelta, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from knownby.operators.scale import attach
+from knownby.session import materialize
 
 Instant = datetime | str
 
@@ -311,11 +312,27 @@ def refuse(violations: DataFrame, message: str) -> None:
         raise ValueError(f"{message}: {first[0].asDict()}")
 
 
+def stored_once(df: DataFrame, *, violates: Column, shown: Sequence[str], message: str,
+                then: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """Store ``then`` of the rows and raise if any row violates, in one evaluation of them.
+
+    Violations are counted by an observation below ``then``: neither its filters nor the columns it leaves out keep a
+    row from being looked at. The rows come back from the stored file.
+    """
+    seen = Observation()
+    example = F.max(F.when(violates, F.to_json(F.struct(*shown))))
+    watched = df.observe(seen, F.count_if(F.coalesce(violates, F.lit(True))).alias("violations"), example.alias("example"))
+    rows = materialize(then(watched))
+    found = seen.get
+    if found["violations"]:
+        raise ValueError(f"{message}: {found['example']} ({found['violations']} rows)")
+    return rows
+
+
 def require_unambiguous(panel: DataFrame) -> DataFrame:
-    """The panel, once no cell of it has several winning snapshots."""
-    shared = panel.where(F.coalesce(F.col("candidates"), F.lit(0)) != 1)
-    refuse(shared.select("security_id", "feature_name", "candidates"), "ambiguous feature snapshots")
-    return panel
+    """The panel, stored once, if no cell of it has several winning snapshots."""
+    shared = F.coalesce(F.col("candidates"), F.lit(0)) != 1
+    return stored_once(panel, violates=shared, shown=["security_id", "feature_name", "candidates"], message="ambiguous feature snapshots")
 
 
 def cards_as_of(
@@ -334,9 +351,11 @@ def availability_violations(
 ) -> DataFrame:
     """Rows that were not knowable when the decision was taken (or lack an instant)."""
     require_columns(df, [decision, available])
-    return df.where(
-        F.col(decision).isNull() | F.col(available).isNull() | (F.col(available) > F.col(decision))
-    )
+    return df.where(unavailable(decision, available))
+
+
+def unavailable(decision: str = "decision_at", available: str = "available_at") -> Column:
+    return F.col(decision).isNull() | F.col(available).isNull() | (F.col(available) > F.col(decision))
 
 
 def assert_available_by_decision(

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from knownby.functions.numeric import dispersed, finite, ratio
-from knownby.operators.pit import Instant, assert_available_by_decision, instant, require_columns, utc
+from knownby.operators.pit import Instant, instant, require_columns, stored_once, unavailable, utc
 from knownby.operators.scale import attach, average_rank
 from knownby.operators.series import drawdown_path
 from knownby.session import materialize
@@ -152,13 +152,15 @@ def evaluate_portfolio(panel: DataFrame, returns: DataFrame, spec: PortfolioSpec
     """Per-session gross, turnover, cost and net returns, plus the legs with skip flags."""
     require_columns(panel, ["decision_at", "available_at", "security_id", "feature_name", "value"])
     start, end = instant(spec.start), instant(spec.end)
-    checked = assert_available_by_decision(panel)
-    rows = checked.where(
+    chosen = (
         (F.col("feature_name") == spec.feature_name) & (F.col("decision_at") >= start)
         & (F.col("decision_at") <= end) & F.col("available_at").isNotNull() & finite("value").isNotNull()
     )
-    # One feature's decisions, then the legs: each is read several times below.
-    decisions = materialize(rows.select("decision_at", "security_id", "value"))
+    # One pass over the panel: every row is checked, and one feature's decisions are stored, which are read several times below.
+    decisions = stored_once(
+        panel, violates=unavailable(), shown=["decision_at", "available_at"], message="rows unavailable at decision time",
+        then=lambda rows: rows.where(chosen).select("decision_at", "security_id", "value"),
+    )
     legs = materialize(
         quantile_legs(
             rebalance_decisions(decisions, spec.rebalance), quantiles=spec.quantiles,

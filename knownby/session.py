@@ -47,11 +47,13 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder the cluster names; a new local one only where unset."""
+    """The shared checkpoint folder the cluster names; a new local one only where unset on a single machine."""
     configured = spark.sparkContext.getCheckpointDir() or spark.conf.get(
         "spark.checkpoint.dir", None
     )
     if configured is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)

@@ -140,6 +140,24 @@ def test_guards_hold_when_other_columns_are_read(spark):
         pit.require_unambiguous(pit.panel_as_of(tied, pins=pins, as_of=CUT, config_version="c")).select("value").collect()
 
 
+def test_rows_are_checked_and_stored_in_one_evaluation(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(50).mapInArrow(count, "id long")
+    late = lambda n: pit.stored_once(df, violates=F.col("id") >= n, shown=["id"], message="too late", then=lambda rows: rows.where("id < 5").select((F.col("id") * 2).alias("twice")))
+    kept = late(50)
+    assert sorted(r.twice for r in kept.collect()) == [0, 2, 4, 6, 8] and kept.count() == 5
+    assert reads.value == 50
+    with pytest.raises(ValueError, match="too late: .*49.*1 rows"):  # the row that ``then`` drops
+        late(49)
+    assert pit.stored_once(df.limit(0), violates=F.lit(True), shown=["id"], message="never").count() == 0
+
+
 def test_same_interval_with_another_payload_overlaps(spark):
     from knownby.operators import intervals as iv
 
