@@ -61,26 +61,28 @@ def run(spark, sf):
 
 _TR = "OVER (PARTITION BY security_id ORDER BY session_date ROWS BETWEEN @ PRECEDING AND CURRENT ROW)"
 _F = frame(126, 1)
-cte("day_base", f"""SELECT w.*, s.s_acctbal, s.s_acctbal < 0 AS single, CASE WHEN s.s_acctbal < 0 THEN w.sec_ret ELSE w.mkt_ret END AS f1,
- ln(1 + close * volume) AS lv, (1 + ret) / nullif(1 + sec_ret, 0) - 1 AS rel FROM weekly_panel w JOIN supplier s ON s.s_suppkey = w.security_id WHERE session_date <= {_END}""", ["weekly_panel"])
-cte("day_two", two_factor_sql("day_base"), ["day_base"])
-cte("day_one", f"""SELECT security_id, session_date, CASE WHEN ok THEN my + cxy / vx * (sec_ret - mx) END AS expected,
+#: Up to the daily run's own instant, and (``_all``) over all bars.
+for _x, _and in (("", f"WHERE session_date <= {_END}"), ("_all", "")):
+    cte(f"day_base{_x}", f"""SELECT w.*, s.s_acctbal, s.s_acctbal < 0 AS single, CASE WHEN s.s_acctbal < 0 THEN w.sec_ret ELSE w.mkt_ret END AS f1,
+ ln(1 + close * volume) AS lv, (1 + ret) / nullif(1 + sec_ret, 0) - 1 AS rel FROM weekly_panel w JOIN supplier s ON s.s_suppkey = w.security_id {_and}""", ["weekly_panel"])
+    cte(f"day_two{_x}", two_factor_sql(f"day_base{_x}"), [f"day_base{_x}"])
+    cte(f"day_one{_x}", f"""SELECT security_id, session_date, CASE WHEN ok THEN my + cxy / vx * (sec_ret - mx) END AS expected,
  CASE WHEN ok THEN sqrt(greatest((n - 1) * (vy - cxy / vx * cxy) / (n - 2), 0)) END AS sigma1 FROM
  (SELECT *, n >= 63 AND vx > 0 AND sec_ret IS NOT NULL AS ok FROM
  (SELECT security_id, session_date, sec_ret, count(y) {_F} AS n, avg(y) {_F} AS my, avg(x) {_F} AS mx, var_samp(y) {_F} AS vy, var_samp(x) {_F} AS vx, covar_samp(y, x) {_F} AS cxy
-  FROM (SELECT *, CASE WHEN ret IS NOT NULL AND sec_ret IS NOT NULL THEN ret END AS y, CASE WHEN ret IS NOT NULL AND sec_ret IS NOT NULL THEN sec_ret END AS x FROM day_base)))""", ["day_base"])
-cte("day_rest", f"""SELECT security_id, session_date, s_acctbal, single, ret, f1, sec_ret, {zscore_sql('lv', 20, 20)} AS volume_zscore,
+  FROM (SELECT *, CASE WHEN ret IS NOT NULL AND sec_ret IS NOT NULL THEN ret END AS y, CASE WHEN ret IS NOT NULL AND sec_ret IS NOT NULL THEN sec_ret END AS x FROM day_base{_x})))""", [f"day_base{_x}"])
+    cte(f"day_rest{_x}", f"""SELECT security_id, session_date, s_acctbal, single, ret, f1, sec_ret, {zscore_sql('lv', 20, 20)} AS volume_zscore,
  CASE WHEN count(ret) {_TR.replace('@', '19')} >= 20 THEN stddev_samp(ret) {_TR.replace('@', '19')} * sqrt(252) END AS realized_volatility_20d,
  CASE WHEN count(y) {_F} >= 63 AND count(f1) {_F} >= 63 AND var_samp(f1) {_F} > 0 THEN covar_samp(y, x) {_F} / var_samp(f1) {_F} END AS beta_126d,
  CASE WHEN count(rel) {_TR.replace('@', '62')} >= 63 THEN product(1 + rel) {_TR.replace('@', '62')} - 1 END AS relative_return_sector_63d,
  count(ret) OVER (PARTITION BY security_id ORDER BY session_date ROWS UNBOUNDED PRECEDING) AS observations
- FROM (SELECT *, CASE WHEN ret IS NOT NULL AND f1 IS NOT NULL THEN ret END AS y, CASE WHEN ret IS NOT NULL AND f1 IS NOT NULL THEN f1 END AS x FROM day_base)""", ["day_base"])
-cte("day_features", """SELECT 'S' || CAST(r.security_id AS VARCHAR) AS security_id, r.session_date, r.s_acctbal, r.ret AS daily_return, r.f1 AS benchmark_return, r.sec_ret AS sector_return, r.observations,
+ FROM (SELECT *, CASE WHEN ret IS NOT NULL AND f1 IS NOT NULL THEN ret END AS y, CASE WHEN ret IS NOT NULL AND f1 IS NOT NULL THEN f1 END AS x FROM day_base{_x})""", [f"day_base{_x}"])
+    cte(f"day_features{_x}", f"""SELECT 'S' || CAST(r.security_id AS VARCHAR) AS security_id, r.session_date, r.s_acctbal, r.ret AS daily_return, r.f1 AS benchmark_return, r.sec_ret AS sector_return, r.observations,
  CASE WHEN r.observations >= 63 THEN r.ret - CASE WHEN r.single THEN o.expected ELSE t.b0 + t.b1 * t.mkt_ret + t.b2 * t.sec_ret END END AS residual_return,
  CASE WHEN r.observations >= 63 THEN (r.ret - CASE WHEN r.single THEN o.expected ELSE t.b0 + t.b1 * t.mkt_ret + t.b2 * t.sec_ret END) / nullif(CASE WHEN r.single THEN o.sigma1 ELSE t.sigma END, 0) END AS residual_zscore,
  r.volume_zscore, r.realized_volatility_20d, CASE WHEN r.observations >= 63 THEN r.beta_126d END AS beta_126d, r.relative_return_sector_63d
-FROM day_rest r JOIN day_one o USING (security_id, session_date) JOIN day_two t USING (security_id, session_date)""", ["day_rest", "day_one", "day_two"])
-cte("day_last", "SELECT * FROM day_features QUALIFY row_number() OVER (PARTITION BY security_id ORDER BY session_date DESC) = 1", ["day_features"])
+FROM day_rest{_x} r JOIN day_one{_x} o USING (security_id, session_date) JOIN day_two{_x} t USING (security_id, session_date)""", [f"day_rest{_x}", f"day_one{_x}", f"day_two{_x}"])
+    cte(f"day_last{_x}", f"SELECT * FROM day_features{_x} QUALIFY row_number() OVER (PARTITION BY security_id ORDER BY session_date DESC) = 1", [f"day_features{_x}"])
 _SEVEN = "daily_return residual_return residual_zscore volume_zscore realized_volatility_20d beta_126d relative_return_sector_63d"
 
 

@@ -79,18 +79,15 @@ def _(spark, sf):
 def _(spark, sf):
     root = scratch(spark)
     stream = replay(spark, weekly_features(spark, sf), root)
-    drained(live.live_screen(stream, screens.RELATIVE_STRENGTH_BREAKOUT, FEATURES, features_path=f"{root}/features", results_path=f"{root}/results",
-                             checkpoint=f"{root}/checkpoint", as_of=WEEK_AS_OF))
-    results = spark.read.parquet(f"{root}/results")
-    last = results.agg(F.max("batch").alias("batch"))
-    return results.join(last, "batch", "left_semi").drop("batch", "as_of")
+    drained(live.live_screen(stream, screens.RELATIVE_STRENGTH_BREAKOUT, results_path=f"{root}/results", checkpoint=f"{root}/checkpoint", as_of=WEEK_AS_OF))
+    return live.current_screen(spark, f"{root}/results").drop("as_of")
 
 
 @register("q4_recompute_touched", oracle(
-    f"SELECT security_id, {', '.join(_SEVEN.split())} FROM day_last", "day_last", _SEVEN))
+    f"SELECT security_id, {', '.join(_SEVEN.split())} FROM day_last_all", "day_last_all", _SEVEN))
 def _(spark, sf):
     root = scratch(spark)
-    bars = instruments(spark, sf).where("effective_at <= timestamp '2001-06-30'").withColumns({c: F.col("close") for c in ("open", "high", "low")})
+    bars = instruments(spark, sf).withColumns({c: F.col("close") for c in ("open", "high", "low")})
     benchmarks = daily.member_benchmarks(coverage(spark, sf), market_mappings(spark, sf), as_of=REQUEST.as_of)
     factors = benchmarks.select("security_id", "market_id", "sector_id")
     drained(live.recompute_touched(replay(spark, bars, root), bars_path=f"{root}/bars", factors=factors, results_path=f"{root}/results",

@@ -188,7 +188,7 @@ def validated_pins(screen: Screen) -> dict[str, str]:
     return dict(screen.feature_versions)
 
 
-def _require_enabled(screen: Screen) -> None:
+def require_enabled(screen: Screen) -> None:
     if not screen.enabled:
         raise ValueError(f"screen {screen.screen_id!r} is disabled")
 
@@ -217,18 +217,30 @@ def run_screen(features: DataFrame, screen: Screen, *, as_of: Instant,
     The newest vintage of every feature is picked and pivoted in one aggregation
     per security.
     """
-    _require_enabled(screen)
+    require_enabled(screen)
     require_columns(features, ["security_id", "feature_name", "value", "available_at", *tie_break])
     known = features.where(
         F.col("feature_name").isin(*screen.features) & (F.col("available_at") <= instant(as_of))
     )
-    order = F.struct("available_at", *tie_break)
-    wide = known.groupBy("security_id").agg(
+    return _judge(newest_values(known, screen, tie_break).withColumn("as_of", instant(as_of)), screen)
+
+
+def newest_values(known: DataFrame, screen: Screen, tie_break: Sequence[str] = ()) -> DataFrame:
+    """The newest value of every feature of the screen, one row per security; an aggregation, over a table or a stream.
+
+    The value breaks the last tie, so the order in which rows arrive never shows.
+    """
+    order = F.struct("available_at", *tie_break, finite("value"))
+    return known.groupBy("security_id").agg(
         *[
             F.max_by(finite("value"), F.when(F.col("feature_name") == name, order)).alias(name)
             for name in screen.features
         ]
     )
+
+
+def judged(wide: DataFrame, screen: Screen, *, as_of: Instant) -> DataFrame:
+    """Rows of ``newest_values`` with missing and match flags at the cutoff."""
     return _judge(wide.withColumn("as_of", instant(as_of)), screen)
 
 
@@ -252,7 +264,7 @@ def screen_matches(evaluated: DataFrame, screen: Screen) -> DataFrame:
 
 def evaluate_pinned(features: DataFrame, screen: Screen, universe: DataFrame, *, as_of: Instant) -> DataFrame:
     """Version-pinned screen over a requested universe; absent securities appear as missing."""
-    _require_enabled(screen)
+    require_enabled(screen)
     pins = validated_pins(screen)
     spark = features.sparkSession
     pin_table = spark.createDataFrame(list(pins.items()), "feature_name string, feature_version string")
@@ -274,7 +286,7 @@ def screen_history(features: DataFrame, screen: Screen, *, cutoffs: Sequence[Ins
     Vintages are reduced to the newest per (security, first cutoff knowing it,
     feature); values then carry forward over the cutoffs of each security.
     """
-    _require_enabled(screen)
+    require_enabled(screen)
     total = len(ordered_cutoffs(cutoffs))
     picked = features.where(F.col("feature_name").isin(*screen.features))
     indexed = with_first_cutoff(picked, cutoffs, available="available_at")

@@ -36,6 +36,8 @@ FEATURES = (
 )
 FEATURE_VERSION = "price-mvp-v0"
 MINIMUM_BARS, MINIMUM_RETURNS = 21, 63
+#: Sessions that the features of one session look at: the longest window, 126, and the session itself.
+SESSIONS = 127
 
 
 @dataclass(frozen=True)
@@ -107,16 +109,17 @@ def session_returns(bars: DataFrame) -> DataFrame:
     return simple_returns(priced, keys=["security_id"], order="session_date", value="adjusted_close", name="ret")
 
 
-def price_features(series: DataFrame, factors: DataFrame) -> DataFrame:
+def price_features(series: DataFrame, factors: DataFrame, *, benchmarks: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
     """The seven price features of every member at every session.
 
     ``factors`` has (security_id, market_id, sector_id) after ``usable_factors``.
-    Benchmark returns come from the benchmark's own sessions.
+    Benchmark returns come from the benchmark's own sessions, in ``benchmarks`` where that is not the series itself.
+    ``totals`` (security_id, bars, observations) are the counts of a member whose earlier sessions are left out of the series.
     """
     used = factors.select(F.explode(F.array("market_id", "sector_id")).alias("security_id")).where(
         "security_id is not null"
     ).distinct()
-    bench = series.join(used, "security_id", "left_semi").select("security_id", "session_date", "ret")
+    bench = (series if benchmarks is None else benchmarks).join(used, "security_id", "left_semi").select("security_id", "session_date", "ret")
     as_side = lambda n: bench.select(
         F.col("security_id").alias(f"{n}_id"), "session_date", F.col("ret").alias(f"{n}_ret")
     )
@@ -140,10 +143,11 @@ def price_features(series: DataFrame, factors: DataFrame) -> DataFrame:
     work = rolling_beta(work, keys=keys, order=t, asset="ret", benchmark="factor_1", name="beta_126d")
     work = relative_return(work, asset="ret", benchmark="sector_ret", name="__rel")
     work = rolling_total_return(work, keys=keys, order=t, value="__rel", window=63, name="relative_return_sector_63d")
-    path = Window.partitionBy(*keys).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
-    work = work.withColumn("observations", F.count(finite("ret")).over(path)).withColumn(
-        "bars", F.count(F.lit(1)).over(path)
-    )
+    if totals is None:
+        path = Window.partitionBy(*keys).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
+        work = work.withColumns({"observations": F.count(finite("ret")).over(path), "bars": F.count(F.lit(1)).over(path)})
+    else:
+        work = work.join(totals, "security_id")
     deep = F.col("observations") >= MINIMUM_RETURNS
     return work.select(
         "security_id", "session_date", "effective_at", "bars", "observations", "market_id", "sector_id",
@@ -157,6 +161,17 @@ def price_features(series: DataFrame, factors: DataFrame) -> DataFrame:
     )
 
 
+def latest_features(series: DataFrame, factors: DataFrame) -> DataFrame:
+    """The last row of ``price_features`` for each member, from the sessions that row looks at.
+
+    The windows run over ``SESSIONS`` rows a member however long the history is; its length is counted by an aggregation.
+    """
+    totals = series.groupBy("security_id").agg(F.count(F.lit(1)).alias("bars"), F.count(finite("ret")).alias("observations"))
+    newest_first = Window.partitionBy("security_id").orderBy(F.col("session_date").desc())
+    recent = series.withColumn("__back", F.row_number().over(newest_first)).where(F.col("__back") <= SESSIONS).drop("__back")
+    return last_session(price_features(recent, factors, benchmarks=series, totals=totals))
+
+
 def last_session(features: DataFrame) -> DataFrame:
     """The last row of each security, whatever is missing on it."""
     return latest_by(features, keys=["security_id"], order=["session_date"])
@@ -231,7 +246,7 @@ def daily_research(request: DailyRequest, *, members: DataFrame, mappings: DataF
     factors = materialize(
         usable_factors(benchmarks, history).select("security_id", "market_id", "sector_id")
     )
-    latest = last_session(price_features(series, factors))
+    latest = latest_features(series, factors)
     judged = attach(covered.select("security_id"), latest, ["security_id"])
     too_short = F.coalesce("bars", F.lit(0)) < MINIMUM_BARS
     failures = judged.where(too_short).select(

@@ -221,3 +221,93 @@ def test_status_of_batches_without_rows_in_range(spark):
     asked = spark.createDataFrame([("b",)], "ingestion_batch_id string")
     row = bars.batch_status(loaded, requested=asked).first()
     assert (row["row_count"], row["missing_symbols"], row["status"]) == (0, 0, "succeeded")
+
+
+def test_live_screen_keeps_state_and_reads_no_table(spark, tmp_path):
+    from knownby.operators import screens
+    from knownby.streaming import live
+
+    screen = screens.RELATIVE_STRENGTH_BREAKOUT
+    schema = "security_id string, feature_name string, available_at timestamp, value double"
+    batches = [
+        [("a", "relative_return_sector_63d", utc(2024, 1, 3), 0.10), ("a", "realized_volatility_20d", utc(2024, 1, 3), 0.2), ("b", "relative_return_sector_63d", utc(2024, 1, 3), 0.01)],
+        [("a", "relative_return_sector_63d", utc(2024, 1, 2), 0.01), ("b", "realized_volatility_20d", utc(2024, 1, 4), 0.3)],  # late: older than what is known
+        [("a", "relative_return_sector_63d", utc(2024, 1, 9), 0.0), ("a", "other", utc(2024, 1, 4), 9.0)],  # after the cutoff, and no feature of the screen
+        [("b", "relative_return_sector_63d", utc(2024, 1, 5), 0.20), ("a", "realized_volatility_20d", utc(2024, 1, 3), 0.2)],
+    ]
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = []
+    for k, batch in enumerate(batches):
+        rows += batch
+        spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        query = live.live_screen(stream, screen, results_path=str(tmp_path / "out"), checkpoint=str(tmp_path / "check"), as_of="2024-01-08T00:00:00+00:00")
+        query.awaitTermination()
+        assert query.lastProgress["numInputRows"] == len(batch)
+        got = {r.security_id: r for r in live.current_screen(spark, str(tmp_path / "out")).collect()}
+        want = {r.security_id: r for r in screens.run_screen(spark.createDataFrame(rows, schema), screen, as_of="2024-01-08T00:00:00+00:00").collect()}
+        assert {s: (r.matches, r.excluded_for_missing_data, r.relative_return_sector_63d) for s, r in got.items()} == {
+            s: (r.matches, r.excluded_for_missing_data, r.relative_return_sector_63d) for s, r in want.items()}
+    assert got["a"].matches and got["b"].matches
+    changed = [{r.security_id for r in spark.read.parquet(str(tmp_path / f"out/batch={k}")).collect()} for k in (0, 2)]
+    assert changed == [{"a", "b"}, set()]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == shuffles
+
+
+def test_recompute_reads_the_last_months_only(spark, tmp_path):
+    from datetime import date, datetime, timedelta, timezone
+
+    from knownby.sources.appends import PRICE_BARS, append_vintages
+    from knownby.streaming import live
+
+    rows = []
+    for name, first in (("a", date(2015, 1, 1)), ("b", date(2020, 6, 1))):
+        day = first
+        while day < date(2021, 1, 1):
+            at = datetime(day.year, day.month, day.day, tzinfo=timezone.utc)
+            rows.append((name, "1d", "s", at, at, day, 1.0 + day.toordinal() % 7))
+            day += timedelta(days=1)
+    bars = spark.createDataFrame(rows, "security_id string, frequency string, source string, effective_at timestamp, available_at timestamp, session_date date, close double")
+    for c in ("open", "high", "low", "adjusted_close", "volume"):
+        bars = bars.withColumn(c, F.col("close"))
+    path = str(tmp_path / "bars")
+    append_vintages(spark, path, bars, PRICE_BARS)
+    only_a = spark.createDataFrame([("a",)], "security_id string")
+    recent = live.trailing_bars(spark, path, only_a, 128)
+    plan = recent._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [period" in plan or "period" in plan.split("PartitionFilters")[1][:40]
+    own = recent.where("security_id = 'a'")
+    newest = own.orderBy(F.col("session_date").desc()).limit(128).agg(F.min("session_date")).first()[0]
+    assert own.count() >= 128 and newest == date(2021, 1, 1) - timedelta(days=128)
+    assert own.agg(F.min("session_date")).first()[0] > date(2019, 6, 1)
+    # One whose history is shorter is read whole, and with it everything else there is.
+    both = live.trailing_bars(spark, path, spark.createDataFrame([("a",), ("b",)], "security_id string"), 400)
+    assert both.where("security_id = 'b'").count() == sum(r[0] == "b" for r in rows)
+
+
+def test_latest_features_equal_the_last_row_of_all(spark):
+    import random
+    from datetime import date, timedelta
+
+    from knownby.plans import daily
+
+    pick, rows = random.Random(3), []
+    for name, n in (("m", 300), ("s", 300), ("x", 300), ("y", 150), ("z", 40)):
+        price = 100.0
+        for i in range(n):
+            if name == "x" and i % 11 == 0:
+                continue
+            price *= 1 + pick.gauss(0, 0.02)
+            rows.append((name, date(2020, 1, 1) + timedelta(days=300 - n + i), price, 1000.0 + pick.random()))
+    df = spark.createDataFrame(rows, "security_id string, session_date date, close double, volume double")
+    df = df.withColumns({"adjusted_close": F.col("close"), "effective_at": F.col("session_date").cast("timestamp"), "available_at": F.col("session_date").cast("timestamp"), "source_record_id": F.lit("r")})
+    returns = daily.session_returns(df)
+    factors = spark.createDataFrame([("x", "m", "s"), ("y", "m", None), ("z", "m", "s")], "security_id string, market_id string, sector_id string")
+    names = ["security_id", "session_date", "bars", "observations", "daily_return", "residual_return", "residual_zscore", "volume_zscore", "realized_volatility_20d", "beta_126d", "relative_return_sector_63d"]
+    whole = {r.security_id: r for r in daily.last_session(daily.price_features(returns, factors)).select(*names).collect()}
+    recent = {r.security_id: r for r in daily.latest_features(returns, factors).select(*names).collect()}
+    assert set(whole) == set(recent) == {"x", "y", "z"}
+    for name, row in whole.items():
+        for column, value in row.asDict().items():
+            got = recent[name][column]
+            assert got == value if not isinstance(value, float) else got == pytest.approx(value, rel=1e-9)
