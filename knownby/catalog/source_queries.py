@@ -306,11 +306,11 @@ def _(spark, sf):
 @register("a21_request_fingerprints", oracle(
     """SELECT provider, sha256(body) AS request_fingerprint, provider || ':daily:' || substr(sha256(body), 1, 24) AS batch_key FROM
        (SELECT provider, '{"end_date":"2024-01-31","frequency":"1d","items":[' || string_agg(item, ',' ORDER BY item) || '],"start_date":"2024-01-01"}' AS body
-        FROM (SELECT 'p' || CAST(c_custkey // 50 AS VARCHAR) AS provider, '["' || CAST(c_custkey AS VARCHAR) || '","' || c_name || '"]' AS item FROM customer) GROUP BY 1)"""))
+        FROM (SELECT unnest(['all', 'p' || CAST(c_nationkey AS VARCHAR)]) AS provider, '["' || CAST(c_custkey AS VARCHAR) || '","' || c_name || '"]' AS item FROM customer) GROUP BY 1)"""))
 def _(spark, sf):
     requests = table(spark, sf, "customer").select(
-        # A vendor request lists at most fifty symbols; requests grow with the table, their text does not.
-        F.concat(F.lit("p"), F.floor(F.col("c_custkey") / 50).cast("string")).alias("provider"), F.col("c_custkey").alias("security_id"), F.col("c_name").alias("provider_identifier"),
+        # One request of everybody, and one of each nation.
+        F.explode(F.array(F.lit("all"), F.concat(F.lit("p"), F.col("c_nationkey").cast("string")))).alias("provider"), F.col("c_custkey").alias("security_id"), F.col("c_name").alias("provider_identifier"),
         F.lit("2024-01-01").cast("date").alias("start_date"), F.lit("2024-01-31").cast("date").alias("end_date"), F.lit("1d").alias("frequency"))
     return ids.request_fingerprints(requests).select("provider", "request_fingerprint", "batch_key")
 

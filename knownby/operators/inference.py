@@ -18,7 +18,7 @@ from knownby.functions.numeric import deviation, finite, ratio
 from knownby.functions.student_t import t_critical, t_p_value
 from knownby.session import materialize
 from knownby.operators.scale import (
-    attach, exact_quantiles, magnitude_bucket, running_fold, running_position, value_positions,
+    attach, exact_quantiles, running_fold, running_position, value_positions,
 )
 
 EPSILON = 2.220446049250313e-16  # spacing of doubles at one
@@ -262,12 +262,17 @@ def block_bootstrap_mean(df: DataFrame, *, keys: Sequence[str], value: str, orde
     )
 
 
+#: Places of one family that meet in one task.
+BUCKET_ROWS = 1 << 16
+
+
 def benjamini_hochberg(df: DataFrame, *, keys: Sequence[str] = (), p_value: str = "p_value",
                        alpha: float = 0.05) -> DataFrame:
     """Adjusted p-values and rejections per family; missing p-values stay missing.
 
     Tied p-values share one adjusted value, so the step-up minimum runs over
-    distinct values, bucketed by magnitude: a family may be the whole table.
+    distinct values, in buckets of ``BUCKET_ROWS`` places of the family's own order: a family may be the whole
+    table, and however its values crowd, a bucket holds no more of them.
     """
     insist((0.0 < alpha < 1.0, "a false-discovery level is a share between zero and one"))
     p = finite(p_value)
@@ -279,7 +284,7 @@ def benjamini_hochberg(df: DataFrame, *, keys: Sequence[str] = (), p_value: str
     )
     places = materialize(value_positions(checked, keys=keys, value="__p"))
     stepped = running_fold(
-        places, keys=keys, order=[F.col("value").desc()], bucket=-magnitude_bucket(F.col("value")),
+        places, keys=keys, order=[F.col("value").desc()], bucket=-F.floor(F.col("last") / F.lit(BUCKET_ROWS)),
         value=F.col("value") * F.col("n") / F.col("last"), kind="min", name="__adjusted",
     ).select(*keys, F.col("value").alias("__p"), F.least(F.col("__adjusted"), F.lit(1.0)).alias("q_value"))
     joined = attach(checked, stepped, [*keys, "__p"]).drop("__p")

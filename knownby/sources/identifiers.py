@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from knownby.functions.ids import iso_instant, uuid5
 from knownby.functions.numeric import col
@@ -33,21 +38,24 @@ def canonical_scheme(value: Column | str) -> Column:
 def request_fingerprints(requests: DataFrame, *, by: str = "provider") -> DataFrame:
     """Fingerprint, batch id and batch key of each provider's request.
 
-    The text is canonical JSON (sorted keys, no blanks, sorted items). Items of
-    one request are listed in it, as the identity demands.
+    The fingerprint is the SHA-256 of canonical JSON (sorted keys, no blanks, sorted items). A digest takes its
+    text in order, so one task reads one request, but as a sorted stream: items pass through the digest
+    batch by batch and are never gathered, however many a request has. Items with a null part are left
+    out; a request without a date or a frequency has no fingerprint.
     """
     item = F.concat(
         F.lit('["'), F.col("security_id").cast("string"), F.lit('","'), F.col("provider_identifier"), F.lit('"]')
     )
-    grouped = requests.groupBy(by, "start_date", "end_date", "frequency").agg(
-        F.array_join(F.array_sort(F.collect_list(item)), ",").alias("__items")
-    )
-    body = F.concat(
-        F.lit('{"end_date":"'), F.date_format("end_date", "yyyy-MM-dd"), F.lit('","frequency":"'),
-        F.col("frequency"), F.lit('","items":['), F.col("__items"), F.lit('],"start_date":"'),
-        F.date_format("start_date", "yyyy-MM-dd"), F.lit('"}'),
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    keys = [by, "start_date", "end_date", "frequency"]
+    rows = requests.select(
+        *keys, item.alias("__item"),
+        F.concat(F.lit('{"end_date":"'), day("end_date"), F.lit('","frequency":"'), F.col("frequency"), F.lit('","items":[')).alias("__head"),
+        F.concat(F.lit('],"start_date":"'), day("start_date"), F.lit('"}')).alias("__foot"),
     )
-    hashed = grouped.withColumn("request_fingerprint", F.sha2(body, 256)).drop("__items")
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "__item")
+    schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField("request_fingerprint", T.StringType())])
+    hashed = ordered.mapInArrow(_digests(len(keys), schema.names), schema)
     return hashed.withColumn(
         "batch_id", uuid5(BATCH_NAMESPACE, F.concat_ws(":", F.col(by), F.col("request_fingerprint")))
     ).withColumn(
@@ -55,6 +63,33 @@ def request_fingerprints(requests: DataFrame, *, by: str = "provider") -> DataFr
     )
 
 
+def _digests(width: int, names: list[str]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows sorted by request and item to one row for each request: its keys and the digest of head, items and foot."""
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        request, keys, digest, foot, first = None, None, None, None, True
+
+        def result() -> Iterator[pa.RecordBatch]:
+            if keys is not None:
+                if digest is not None:
+                    digest.update(foot.encode())
+                text = pa.array([None if digest is None else digest.hexdigest()], pa.string())
+                yield pa.RecordBatch.from_arrays([*keys, text], names=names)
+
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
+            for row, (*own, item, head, tail) in enumerate(zip(*columns)):
+                if keys is None or own != request:
+                    yield from result()
+                    request, keys, foot, first = own, [batch.column(i).slice(row, 1) for i in range(width)], tail, True
+                    digest = hashlib.sha256(head.encode()) if head is not None and tail is not None else None
+                if item is not None and digest is not None:
+                    digest.update(("" if first else ",").encode() + item.encode())
+                    first = False
+        yield from result()
+
+    return run
+
+
 def batch_content_hash(bars: DataFrame, *, batch: str = "ingestion_batch_id") -> DataFrame:
     """Order-independent content hash per batch without gathering the batch.
 

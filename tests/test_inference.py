@@ -63,6 +63,28 @@ def test_benjamini_hochberg(spark):
         inf.benjamini_hochberg(series(spark, {"p_value": [1.5]}), keys=K).collect()
 
 
+def test_step_up_buckets_are_bounded_however_values_crowd(spark, monkeypatch):
+    from knownby.operators import scale
+
+    monkeypatch.setattr(inf, "BUCKET_ROWS", 50)
+    fold, sizes = scale.running_fold, []
+
+    def watched(df, *, keys, bucket, **rest):
+        sizes.extend(r["n"] for r in df.groupBy(*keys, bucket.alias("b")).agg(F.count("*").alias("n")).collect())
+        return fold(df, keys=keys, bucket=bucket, **rest)
+
+    monkeypatch.setattr(inf, "running_fold", watched)
+    for n in (200, 1600):  # all within a hair of one
+        p = [1 - 1e-9 * i for i in range(n)]
+        out = inf.benjamini_hochberg(series(spark, {"p_value": p}), keys=K)
+        order = np.argsort(p)
+        want = np.empty(n)
+        want[order] = np.minimum(np.minimum.accumulate((np.array(p)[order] * n / np.arange(1, n + 1))[::-1])[::-1], 1.0)
+        close_to(column(out, "q_value"), want.tolist())
+        assert max(sizes) <= 50 and len(sizes) >= n / 50
+        sizes.clear()
+
+
 def test_bootstrap_is_reproducible_and_centred(spark):
     x = list(np.random.default_rng(4).normal(0.5, 1.0, 64))
     df = series(spark, {"v": x})

@@ -51,6 +51,25 @@ def test_request_fingerprint_equals_json_hash(spark):
     assert got["batch_id"] == str(uuid.uuid5(uuid.UUID(identifiers.BATCH_NAMESPACE), f"p:{want}"))
 
 
+def test_requests_of_any_size_pass_through_the_digest(spark):
+    import hashlib
+
+    rows = [("big", f"{i:05d}", f"N{i}") for i in range(25_000)] + [(f"p{i % 40}", f"{i}", "X") for i in range(400)]
+    rows += [("void", None, "X"), ("void", None, None), (None, "1", "Y"), ("big", "00007", "N7")]
+    df = spark.createDataFrame(rows, "provider string, security_id string, provider_identifier string").withColumns(
+        {"start_date": F.lit("2024-01-01").cast("date"), "end_date": F.lit("2024-01-31").cast("date"), "frequency": F.lit("1d")})
+    undated = df.where("provider = 'p1'").withColumns({"provider": F.lit("undated"), "start_date": F.lit(None).cast("date")})
+    found = identifiers.request_fingerprints(df.unionByName(undated).repartition(7)).collect()
+    got = {r["provider"]: r["request_fingerprint"] for r in found}
+    assert len(found) == len(got) == 44
+    for provider in ("big", "p3", "void", None):
+        items = sorted(f'["{i}","{n}"]' for p, i, n in rows if p == provider and i is not None and n is not None)
+        body = f'{{"end_date":"2024-01-31","frequency":"1d","items":[{",".join(items)}],"start_date":"2024-01-01"}}'
+        assert got[provider] == hashlib.sha256(body.encode()).hexdigest()
+    assert got["undated"] is None
+    assert identifiers.request_fingerprints(df.limit(0)).count() == 0
+
+
 def test_content_hash_sees_any_change_and_no_order(spark):
     rows = [("b", f"r{i}", utc(2024, 1, 2), 1.0, 2.0, 0.5, float(i), None, 3.0) for i in range(20)]
     schema = "ingestion_batch_id string, source_record_id string, available_at timestamp, open double, high double, low double, close double, adjusted_close double, volume double"
