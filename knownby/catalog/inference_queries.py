@@ -41,7 +41,18 @@ def _(spark, sf):
     return out.drop("method", "confidence_lower", "confidence_upper")
 
 
-@register("j2_confidence_intervals", None)
+#: The critical value of each number of degrees of freedom, by halving an interval on the tail probability above.
+_HALVED = f"""WITH RECURSIVE halved AS (
+  SELECT DISTINCT n - 1.0 AS df, CAST(0 AS DOUBLE) AS lo, CAST(64 AS DOUBLE) AS hi, 0 AS step FROM iid WHERE n >= 20
+  UNION ALL SELECT df, CASE WHEN p > 0.05 THEN mid ELSE lo END, CASE WHEN p > 0.05 THEN hi ELSE mid END, step + 1
+  FROM (SELECT *, (lo + hi) / 2 AS mid, {p_sql('((lo + hi) / 2)', 'df')} AS p FROM halved WHERE step < 50))
+  SELECT df, (lo + hi) / 2 AS t FROM halved WHERE step = 50"""
+
+
+@register("j2_confidence_intervals", oracle(
+    f"""SELECT i.security_id, i.m AS estimate, CASE WHEN i.n >= 20 THEN i.m - c.t * i.se END AS confidence_lower, CASE WHEN i.n >= 20 THEN i.m + c.t * i.se END AS confidence_upper
+        FROM iid i LEFT JOIN ({_HALVED}) c ON c.df = i.n - 1.0""",
+    "iid", "estimate confidence_lower confidence_upper"))
 def _(spark, sf):
     out = inference.mean_test_iid(daily_returns(spark, sf), keys=K, value="ret")
     return out.select("security_id", "estimate", "confidence_lower", "confidence_upper")
