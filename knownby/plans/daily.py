@@ -16,7 +16,9 @@ from knownby.functions.ids import iso_instant, research_id
 from knownby.functions.numeric import finite
 from knownby.operators.intervals import active_coverage_members, benchmark_as_of
 from knownby.operators.pit import Instant, instant, latest_by, utc
-from knownby.operators.research import Materiality, build_cards, build_price_findings, price_bar_evidence
+from knownby.operators.research import (
+    PRICE_COMPONENTS, Materiality, build_cards, build_price_findings, price_bar_evidence, price_components, score_materiality,
+)
 from knownby.operators.scale import attach
 from knownby.session import materialize
 from knownby.operators.series import (
@@ -191,6 +193,22 @@ def long_features(snapshots: DataFrame) -> DataFrame:
     ).where("value is not null")
 
 
+def with_refusals(snapshots: DataFrame, materiality: Materiality) -> DataFrame:
+    """Add ``refusal``, why a step after the features cannot take a snapshot; null for those that all can.
+
+    Clocks first, those of the member's bars and of its benchmarks': a snapshot is not available before it is effective
+    nor calculated before it is available. Then the score, whose components must lie in the range that its configuration allows.
+    """
+    scored = score_materiality(price_components(snapshots), materiality, PRICE_COMPONENTS)
+    instants = F.concat(F.date_format("available_at", "yyyy-MM-dd HH:mm:ss"), F.lit(" against "), F.date_format("effective_at", "yyyy-MM-dd HH:mm:ss"))
+    reason = (
+        F.when(F.col("available_at") < F.col("effective_at"), F.concat(F.lit("available before it is effective: "), instants))
+        .when(F.col("calculated_at") < F.col("available_at"), F.lit("calculated before it is available"))
+        .when(F.col("score_violation").isNotNull(), F.concat(F.lit("materiality input out of range: "), F.col("score_violation")))
+    )
+    return scored.withColumn("refusal", reason).select(*snapshots.columns, "refusal")
+
+
 def run_status(members: DataFrame, failures: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """failed when nothing succeeded, partial when something failed, else succeeded."""
     counts = members.agg(F.count(F.lit(1)).alias("members")).join(
@@ -249,13 +267,13 @@ def daily_research(request: DailyRequest, *, members: DataFrame, mappings: DataF
     latest = latest_features(series, factors)
     judged = attach(covered.select("security_id"), latest, ["security_id"])
     too_short = F.coalesce("bars", F.lit(0)) < MINIMUM_BARS
-    failures = judged.where(too_short).select(
+    short = judged.where(too_short).select(
         "security_id",
         F.concat(
             F.lit("insufficient price history: "), F.coalesce("bars", F.lit(0)).cast("string"),
             F.lit(f" bars; need at least {MINIMUM_BARS}"),
         ).alias("message"),
-    ).join(run_ids.select("research_run_id"), F.lit(True), "inner")
+    )
 
     newest = history.groupBy("security_id").agg(
         F.max("available_at").alias("__available"),
@@ -295,8 +313,12 @@ def daily_research(request: DailyRequest, *, members: DataFrame, mappings: DataF
         held = weights.select("security_id", F.col("weight").cast("double").alias("position_weight"))
         snapshots = attach(snapshots, held, ["security_id"])
 
-    # One row per member feeds features, findings and cards.
-    snapshots = materialize(snapshots)
+    # One row per member feeds features, findings and cards. A member that a step refuses leaves with the reason of the
+    # first one that does; the others go on.
+    judged_rows = materialize(with_refusals(snapshots, materiality or Materiality()))
+    failures = short.unionByName(judged_rows.where("refusal is not null").select("security_id", F.col("refusal").alias("message")))
+    failures = failures.join(run_ids.select("research_run_id"), F.lit(True), "inner")
+    snapshots = judged_rows.where("refusal is null").drop("refusal")
     features = long_features(snapshots).withColumn(
         "feature_snapshot_id",
         research_id("feature", F.concat_ws(":", "research_run_id", F.col("security_id").cast("string"), "feature_name")),
@@ -310,7 +332,7 @@ def daily_research(request: DailyRequest, *, members: DataFrame, mappings: DataF
     cards = build_cards(findings, context).withColumn(
         "data_cutoff_at", instant(request.data_cutoff_at)
     ).withColumn("created_at", instant(request.clock))
-    used = enough.select(F.explode(F.array("security_id", "market_id", "sector_id")).alias("security_id")).where(
+    used = snapshots.select(F.explode(F.array("security_id", "market_id", "sector_id")).alias("security_id")).where(
         "security_id is not null"
     ).distinct()
     evidence = price_bar_evidence(history.join(used, "security_id", "left_semi"))

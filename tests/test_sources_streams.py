@@ -169,6 +169,35 @@ def test_daily_run_is_isolated_repeatable_and_idempotent(spark):
     assert spark.read.parquet(f"{root}/cards").count() == 1 and spark.read.parquet(f"{root}/evidence").count() == run.evidence.count()
 
 
+def test_members_that_a_step_refuses_leave_with_their_reasons(spark):
+    from knownby.operators.research import Materiality
+
+    request = daily.DailyRequest("list", "2024-01-30T00:00:00+00:00", "2024-01-31T00:00:00+00:00", "fixture")
+    inputs = daily_inputs(spark)
+    bars, members = inputs["bars"], inputs["members"]
+    calm = bars.where("security_id = 'spy'").withColumns({"security_id": F.lit("calm"), "source_record_id": F.concat(F.lit("calm"), "source_record_id")})
+    # Its last session jumps in volume, so a component passes the range asked for below.
+    loud = calm.withColumns({"security_id": F.lit("loud"), "source_record_id": F.concat(F.lit("loud"), "source_record_id"),
+                             "volume": F.when(F.col("session_date") == "2024-01-30", 1e6).otherwise(F.col("volume"))})
+    early = bars.where("security_id = 'acme'").withColumns({"security_id": F.lit("early"), "source_record_id": F.concat(F.lit("early"), "source_record_id")})
+    # Its own bars, and those of its benchmark, are dated as known a day before their sessions.
+    shift = lambda df: df.withColumn("available_at", F.col("available_at") - F.expr("interval 1 day"))
+    odd = shift(early).unionByName(shift(calm.withColumns({"security_id": F.lit("odd"), "source_record_id": F.concat(F.lit("odd"), "source_record_id")})))
+    more = [("list", n, b, utc(2023, 1, 1), None) for n, b in (("calm", "spy"), ("loud", "spy"), ("early", "odd"))]
+    inputs["members"] = members.unionByName(spark.createDataFrame(more, members.schema))
+    inputs["bars"] = bars.unionByName(calm).unionByName(loud).unionByName(odd)
+    run = daily.daily_research(request, **inputs, materiality=Materiality(input_max=0.9))
+    reasons = {r["security_id"]: r["message"] for r in run.failures.collect()}
+    assert set(reasons) == {"tiny", "loud", "early"}
+    assert reasons["loud"] == "materiality input out of range: abnormal_volume"
+    assert reasons["early"] == "available before it is effective: 2024-01-29 00:00:00 against 2024-01-30 00:00:00"
+    head = run.run.collect()[0]
+    assert (head["status"], head["members"], head["failures"]) == ("partial", 5, 3)
+    for table in (run.cards, run.findings, run.features, run.snapshots):
+        assert {r["security_id"] for r in table.select("security_id").distinct().collect()} == {"acme", "calm"}
+    assert {r["source_record_id"].rstrip("0123456789:") for r in run.evidence.select("source_record_id").collect()} == {"acme", "calmspy", "spy"}
+
+
 def test_daily_run_ignores_later_vintages(spark):
     request = daily.DailyRequest("list", "2024-01-30T00:00:00+00:00", "2024-01-31T00:00:00+00:00", "fixture")
     inputs = daily_inputs(spark)
