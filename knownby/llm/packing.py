@@ -6,6 +6,8 @@ Each piece is a sequence of its own at a power of two, so training draws batches
 from buckets of equal length. Ids of sequences are dense ranges by bucket and
 partition: equal lengths have neighbouring ids, without a sort or a shuffle.
 
+Ids are those of the library's own call: a string in the text that the vocabulary has as an added token is its one id.
+
 Rows: a null or empty text is the end id alone, one piece of length 1; a null
 doc_id stays null; repeated rows are packed once each. Only ``doc_id`` and the
 text are read, so other columns cannot clash. An empty table gives no pieces.
@@ -44,7 +46,7 @@ def encoder(path: str) -> Cached:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    tokenizer.encode_special_tokens = True  # pieces hold no whole special string (``special``)
     batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
 
     def encode(pieces: list[bytes]) -> Iterator[list[int]]:
@@ -55,6 +57,15 @@ def encoder(path: str) -> Cached:
     return Cached(encode)
 
 
+@functools.cache
+def special(path: str) -> tuple[object, tuple[str, ...]]:
+    """The library's tokenizer as it stands, and the strings that it takes for one id each wherever they stand."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return tokenizer, tuple(t.content for t in tokenizer.get_added_tokens_decoder().values())
+
+
 def cut(n: int, longest: int) -> list[int]:
     """Lengths of the pieces of ``n`` ids: full ones, then the binary digits of the rest."""
     rest = n % longest
@@ -63,8 +74,8 @@ def cut(n: int, longest: int) -> list[int]:
 
 def pack(df: DataFrame, path: str, longest: int = LENGTH, end: int = END, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece with its ids (little-endian unsigned 32-bit) and its place in its sequence."""
-    if longest < 1 or longest & longest - 1:
-        raise ValueError("the longest piece must be a power of two")
+    if not 1 <= longest <= 1 << 15 or longest & longest - 1:
+        raise ValueError("the longest piece must be a power of two up to 32768")
     source = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     tail = np.array([end], dtype="<u4").tobytes()
 
@@ -73,19 +84,24 @@ def pack(df: DataFrame, path: str, longest: int = LENGTH, end: int = END, doc_id
         used = [0] * longest.bit_length()
         for whole in batches:
             for batch in slices(whole, "text", WIDE_BYTES):
-                tokens, first = split(text_column(batch, "text").to_pylist())
+                texts = text_column(batch, "text").to_pylist()
+                tokenizer, strings = special(path)
+                # A text with a string that has an id of its own goes to the library as a whole.
+                whole_ids = {i: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4") for i, t in enumerate(texts) if any(s in t for s in strings)}
+                tokens, first = split(["" if i in whole_ids else t for i, t in enumerate(texts)] if whole_ids else texts)
                 ids, per = encoder(path).ids(tokens)
                 at = np.concatenate([[0], np.cumsum(per)])[first].tolist()
                 rows, start, length, piece, total, bucket, sequence = [], [], [], [], [], [], []
                 for row, (a, b) in enumerate(zip(at[:-1], at[1:])):
-                    own, place = ids[a:b].tobytes() + tail, 0
-                    for size in cut(b - a + 1, longest):
+                    given = whole_ids.get(row, ids[a:b])
+                    own, place, count = given.tobytes() + tail, 0, len(given) + 1
+                    for size in cut(count, longest):
                         k = size.bit_length() - 1
                         rows.append(row)
                         start.append(place)
                         length.append(size)
                         piece.append(own[4 * place:4 * (place + size)])
-                        total.append(b - a + 1)
+                        total.append(count)
                         bucket.append(k)
                         sequence.append(k << BUCKET_BITS | partition << PARTITION_BITS | used[k])
                         used[k] += 1

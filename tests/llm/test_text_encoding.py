@@ -82,8 +82,7 @@ def test_encode_then_decode_is_exact(llm, encoding):
 
 def test_pieces_are_binary_and_hold_every_id_once(llm, tmp_path):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    tokenizer.encode_special_tokens = True
-    texts = {1: None, 2: "", 3: "word " * 1500, 4: "l'été it's\n\n 12" * 40, 5: "a"}
+    texts = {1: None, 2: "", 3: "word " * 1500, 4: "l'été it's\n\n 12" * 40, 5: "a", 6: "a <|endoftext|> b<|endoftext|>" + " word" * 3000, 7: "<|endoftext|>", 8: "<|endoftext >"}
     df = llm.createDataFrame([*texts.items(), (1, None)], "doc_id long, text string").withColumnRenamed("text", "Text")
     pieces = packing.pack(df, public_tokenizers.path(packing.VOCABULARY), text="Text")
     got = pieces.collect()
