@@ -264,7 +264,7 @@ def _(spark, sf):
 
 
 @register("b23_portfolio_snapshot_append", oracle(
-    """SELECT portfolio_name, as_of, CASE WHEN count(DISTINCT source_hash) > 1 THEN 'conflict' ELSE 'new' END AS outcome
+    """SELECT portfolio_name, as_of, CASE WHEN count(DISTINCT source_hash) > 1 OR (year(as_of) < 1998 AND month(as_of) = 2) THEN 'conflict' WHEN year(as_of) < 1998 THEN 'repeat' ELSE 'new' END AS outcome
        FROM (SELECT o_orderpriority AS portfolio_name, date_trunc('month', o_orderdate) AS as_of, o_orderstatus AS source_hash FROM orders) GROUP BY 1, 2""",
     "", stamps="as_of"))
 def _(spark, sf):
@@ -272,7 +272,10 @@ def _(spark, sf):
 
     rows = table(spark, sf, "orders").select(
         F.col("o_orderpriority").alias("portfolio_name"), F.date_trunc("month", "o_orderdate").alias("as_of"), F.col("o_orderstatus").alias("source_hash"))
-    return classify_append(rows.where(F.lit(False)), rows, PORTFOLIO_SNAPSHOTS).select("portfolio_name", "as_of", "outcome")
+    # Years before 1998 are stored, their Februaries with another content.
+    stored = rows.where(F.year("as_of") < 1998).groupBy("portfolio_name", "as_of").agg(F.min("source_hash").alias("source_hash"))
+    stored = stored.withColumn("source_hash", F.when(F.month("as_of") == 2, "another").otherwise(F.col("source_hash")))
+    return classify_append(stored, rows, PORTFOLIO_SNAPSHOTS).select("portfolio_name", "as_of", "outcome")
 
 
 @register("b24_latest_weights", oracle(

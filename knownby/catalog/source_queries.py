@@ -255,10 +255,10 @@ def _records(spark, sf):
 
 
 @register("a16_append_events", oracle(
-    "SELECT source, source_record_id, available_at, CASE WHEN lo <> hi THEN 'conflict' ELSE 'new' END AS outcome FROM record_groups", "record_groups", stamps="available_at"))
+    "SELECT source, source_record_id, available_at, CASE WHEN lo <> hi THEN 'conflict' WHEN day(available_at) <= 15 THEN 'repeat' ELSE 'new' END AS outcome FROM record_groups", "record_groups", stamps="available_at"))
 def _(spark, sf):
     rows = _records(spark, sf).drop("ratio", "cash_amount")
-    return appends.classify_append(rows.where(F.lit(False)), rows, appends.COMPANY_EVENTS).select("source", "source_record_id", "available_at", "outcome")
+    return appends.classify_append(rows.where(F.dayofmonth("available_at") <= 15), rows, appends.COMPANY_EVENTS).select("source", "source_record_id", "available_at", "outcome")
 
 
 @register("a17_append_actions", oracle(

@@ -140,18 +140,22 @@ def insert_intervals(
     existing: DataFrame, incoming: DataFrame, *, keys: Sequence[str], tie_break: Sequence[str],
     payload: Sequence[str] = (),
 ) -> tuple[DataFrame, DataFrame]:
-    """Split an interval import into rows to append and rejected overlaps.
+    """Split an interval import into rows to append and rejected overlaps, with all columns of the import.
 
-    Re-importing an identical row is a retry and appends nothing.
+    Re-importing an identical row is a retry and appends nothing. Of rows that differ in
+    nothing but columns that say nothing on the interval, the one with the smallest of those is taken.
     """
+    identity = list(dict.fromkeys([*keys, "valid_from", "valid_to", *payload, *tie_break]))
+    rest = [c for c in incoming.columns if c not in identity]
+    once = incoming.groupBy(*identity).agg((F.min(F.struct(*rest)) if rest else F.lit(None)).alias("__rest"))
     identity = [*keys, "valid_from", "valid_to", *payload]
     on = F.lit(True)
     for c in identity:
         on = on & F.col(f"n.{c}").eqNullSafe(F.col(f"e.{c}"))
-    fresh = incoming.dropDuplicates(identity).alias("n").join(existing.alias("e"), on, "left_anti")
+    fresh = once.dropDuplicates(identity).alias("n").join(existing.alias("e"), on, "left_anti")
     columns = [*identity, *[c for c in tie_break if c not in identity]]
-    marked = existing.select(*columns, F.lit(0).alias("__new")).unionByName(
-        fresh.select(*columns, F.lit(1).alias("__new"))
+    marked = existing.select(*columns, F.lit(None).cast(once.schema["__rest"].dataType).alias("__rest"), F.lit(0).alias("__new")).unionByName(
+        fresh.select(*columns, "__rest", F.lit(1).alias("__new"))
     )
     far = F.lit("9999-01-01").cast("timestamp")
     hour = _hour(F.col("valid_from"))
@@ -173,8 +177,8 @@ def insert_intervals(
     clash = (F.coalesce(F.col("__before") > F.col("valid_from"), F.lit(False))) | F.coalesce(
         F.col("__after") < F.coalesce("valid_to", far), F.lit(False)
     )
-    judged = swept.where("__new = 1").withColumn("overlaps", clash).drop("__new", "__before", "__after")
-    return judged.where(~F.col("overlaps")).drop("overlaps"), judged.where("overlaps").drop("overlaps")
+    judged = swept.where("__new = 1").select(clash.alias("__clash"), *[F.col(f"__rest.{c}").alias(c) if c in rest else F.col(c) for c in incoming.columns])
+    return judged.where(~F.col("__clash")).drop("__clash"), judged.where("__clash").drop("__clash")
 
 
 def active_thesis_version(versions: DataFrame, *, as_of: Instant) -> DataFrame:

@@ -101,6 +101,11 @@ def test_interval_overlap_rules(spark):
     clash = spark.createDataFrame([("a", utc(2023, 12, 1), utc(2024, 1, 2), "w")], schema)
     kept, bad = intervals.insert_intervals(stored, clash, keys=["security_id"], tie_break=["tag"], payload=["tag"])
     assert kept.count() == 0 and [r["tag"] for r in bad.collect()] == ["w"]
+    # Columns that say nothing on the interval come through, on both sides and in their order.
+    wide = spark.createDataFrame(rows, schema).unionByName(clash).withColumns({"note": F.concat(F.lit("n"), "tag"), "weight": F.lit(0.5)}).select("note", "security_id", "valid_from", "valid_to", "tag", "weight")
+    kept, bad = intervals.insert_intervals(stored, wide, keys=["security_id"], tie_break=["tag"], payload=["tag"])
+    assert kept.columns == bad.columns == wide.columns
+    assert {(r["tag"], r["note"], r["weight"]) for r in kept.collect()} == {("y", "ny", 0.5), ("z", "nz", 0.5)} and [r["note"] for r in bad.collect()] == ["nw"]
 
 
 # Every cutoff operator, as (vintage rows, cutoff) -> rows.
