@@ -34,6 +34,7 @@ def measured(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a letter; a missing language is filled in. Null texts and texts without a letter go; repeated rows each stay or go alike."""
     prepare(spark)
     model = language_crf.fit(docs.select("doc_id", "text", "lang"))
     told = language_crf.predict(docs, model, prefix="_").where(F.col("_lang_pred") != language_crf.UNDETERMINED)
@@ -41,20 +42,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates; null and empty texts are near to nothing and stay."""
     prepare(spark)
     return order_minhash.deduplicate(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that one with a smaller id has too; null texts stay null, repeated rows get repeated results."""
     prepare(spark)
     return measured(substring_dedup.remove_repeats(docs), docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, identifiers and terms that give them away masked in the whole text; null texts stay null."""
     return measured(pii.sanitise(docs), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences: every id of every document once, and its end id; a null or empty text is the end id alone."""
     prepare(spark)
     return packing.pack(docs, public_tokenizers.path(packing.VOCABULARY)).withColumn("ids_crc32", F.crc32("ids"))
 
