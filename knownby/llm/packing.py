@@ -86,8 +86,9 @@ def pack(df: DataFrame, path: str, longest: int = LENGTH, end: int = END, doc_id
             for batch in slices(whole, "text", WIDE_BYTES):
                 texts = text_column(batch, "text").to_pylist()
                 tokenizer, strings = special(path)
+                prefix = os.path.commonprefix(strings)  # sought first, in one pass over each text
                 # A text with a string that has an id of its own goes to the library as a whole.
-                whole_ids = {i: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4") for i, t in enumerate(texts) if any(s in t for s in strings)}
+                whole_ids = {i: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4") for i, t in enumerate(texts) if prefix in t and any(s in t for s in strings)}
                 tokens, first = split(["" if i in whole_ids else t for i, t in enumerate(texts)] if whole_ids else texts)
                 ids, per = encoder(path).ids(tokens)
                 at = np.concatenate([[0], np.cumsum(per)])[first].tolist()
