@@ -113,7 +113,7 @@ def cutoff_calendar(spark: SparkSession, cutoffs: Sequence[Instant]) -> DataFram
 
     The table has (last day - first day + 1) rows, so the lookup of the first
     cutoff at or after an instant is an equi-join on the day for any number of
-    cutoffs, with no range join.
+    cutoffs, with no range join. It goes to every task: rows that share a day never meet.
     """
     values = ordered_cutoffs(cutoffs)
     naive = [v.replace(tzinfo=None) for v in values]
@@ -130,10 +130,10 @@ def cutoff_calendar(spark: SparkSession, cutoffs: Sequence[Instant]) -> DataFram
         if inside:
             following = inside[0][0]
         day -= timedelta(days=1)
-    return spark.createDataFrame(
+    return F.broadcast(spark.createDataFrame(
         rows,
         "cutoff_day date, inside_index array<int>, inside_at array<timestamp_ntz>, next_index int",
-    )
+    ))
 
 
 def with_first_cutoff(
@@ -159,9 +159,9 @@ def with_first_cutoff(
 
 def cutoff_table(spark: SparkSession, cutoffs: Sequence[Instant]) -> DataFrame:
     rows = [(i, v.replace(tzinfo=None)) for i, v in enumerate(ordered_cutoffs(cutoffs))]
-    return spark.createDataFrame(rows, "cutoff_index int, __at timestamp_ntz").select(
+    return F.broadcast(spark.createDataFrame(rows, "cutoff_index int, __at timestamp_ntz").select(
         "cutoff_index", F.col("__at").cast("timestamp").alias("as_of")
-    )
+    ))
 
 
 def latest_vintage_history(
@@ -269,7 +269,8 @@ def panel_as_of(
 
     ``pins`` has (feature_name, feature_version). ``candidates`` counts the rows
     sharing the winning (effective, available, calculated) tuple; more than one
-    means the panel is ambiguous (see ``require_unambiguous``).
+    means the panel is ambiguous (see ``require_unambiguous``). Pins go to every
+    task (one row per pinned feature), and snapshots are never grouped by feature.
     """
     cutoff = instant(as_of)
     picked = features.where(
@@ -279,7 +280,9 @@ def panel_as_of(
     )
     if config_version is not None:
         picked = picked.where(F.col("config_version") == config_version)
-    picked = picked.join(pins, ["feature_name", "feature_version"], "left_semi")
+    # Spark does not know how small a table made of Python rows is; without the hint it would shuffle all snapshots by feature
+    # and version, of which there are few: a task would sort every row of a feature.
+    picked = picked.join(F.broadcast(pins), ["feature_name", "feature_version"], "left_semi")
     if securities is not None:
         picked = picked.join(securities.select("security_id").distinct(), "security_id", "left_semi")
     keys = ["security_id", "feature_name"]

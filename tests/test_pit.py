@@ -171,3 +171,35 @@ def test_same_interval_with_another_payload_overlaps(spark):
     found = lambda rows: iv.overlapping_intervals(spark.createDataFrame(rows, schema), keys=["security_id"], tie_break=["benchmark_security_id"]).count()
     assert found([one, one]) == 0
     assert found([one, (1, 9, *one[2:])]) == 1
+
+
+def test_pins_and_cutoffs_never_group_snapshots_by_feature_or_day(spark):
+    """Few features or days would be few tasks, each with a whole feature or day."""
+    at = utc(2024, 1, 2)
+    rows = [(f"s{i}", "f", "v1", float(i), at, at, at, "c", "x") for i in range(50)]
+    schema = ("security_id string, feature_name string, feature_version string, value double, effective_at timestamp, "
+              "available_at timestamp, calculated_at timestamp, config_version string, code_version string")
+    features = spark.createDataFrame(rows, schema)
+    pins = spark.createDataFrame([("f", "v1")], "feature_name string, feature_version string")
+    panel = pit.panel_as_of(features, pins=pins, as_of=CUT)
+    history = pit.latest_vintage_history(features, cutoffs=[CUT], keys=["security_id", "feature_name"])
+    for df in (panel, history):
+        assert df.count() == 50
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_queries_cut_shuffles_finely_unless_the_cluster_says_otherwise(spark):
+    from knownby.session import FINE, prepare
+
+    kept = {key: spark.conf.get(key, None) for key in FINE}
+    try:
+        for key in FINE:
+            spark.conf.unset(key)
+        prepare(spark)
+        assert {key: spark.conf.get(key) for key in FINE} == FINE
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "8m")
+        assert prepare(spark).conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "8m"
+    finally:
+        for key, value in kept.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
