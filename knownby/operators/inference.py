@@ -174,6 +174,61 @@ def mean_test_hac(df: DataFrame, *, keys: Sequence[str], value: str, order: Sequ
                    with_inference=with_inference)
 
 
+#: Values of a series that one row may hold: 512 kB of prefix sums, 250 years of sessions.
+_SERIES = 65_536
+
+
+def _draws(usable: DataFrame, keys: Sequence[str], resamples: int, seed: int) -> DataFrame:
+    """The start of each block of each resample."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys], F.col("__rep").cast("string"), F.col("__blk").cast("string")))
+    return (
+        usable.withColumn("__rep", F.explode(F.sequence(F.lit(1), F.lit(resamples))))
+        .withColumn("__blk", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__blocks"))))
+        .withColumn("__start", F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") % F.col("observations"))
+    )
+
+
+def _resampled(amounts: DataFrame, keys: Sequence[str], amount: Column) -> DataFrame:
+    sums = amounts.groupBy(*keys, "__rep", "observations").agg(F.sum(amount).alias("__s"))
+    return sums.withColumn("__m", ratio("__s", "observations"))
+
+
+def _means_within(placed: DataFrame, usable: DataFrame, keys: Sequence[str], resamples: int, seed: int, longest: int) -> DataFrame:
+    """Means of the resamples of series of at most ``longest`` values: each draw reads its sums from its own row, so that
+    draws are never shuffled; only their means are."""
+    n = F.col("observations")
+    short = attach(placed, usable.where(n <= longest).select(*keys), keys, "inner")
+    sums = short.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__p"))), lambda s: s["__p"]).alias("__sums"))
+    rows = attach(usable, sums, keys, "inner")
+    length = F.when(F.col("__blk") == F.col("__blocks"), F.col("__short")).otherwise(F.col("__b"))
+    end = F.col("__start") + length
+    around = F.when(end >= n, F.col("__total")).otherwise(F.lit(0.0))
+    amount = F.get("__sums", (end % n).cast("int")) + around - F.get("__sums", F.col("__start").cast("int"))
+    return _resampled(_draws(rows, keys, resamples, seed), keys, amount)
+
+
+def _means_by_lookup(placed: DataFrame, usable: DataFrame, keys: Sequence[str], resamples: int, seed: int) -> DataFrame:
+    """Means of the resamples of series of any length: draws are joined to the block sums of their starts."""
+    n = F.col("observations")
+    series = attach(placed, usable, keys, "inner")
+
+    def stop_sum(length: str, name: str, frame: DataFrame) -> DataFrame:
+        """Circular sum of ``length`` terms from each start, by one positional lookup."""
+        target = frame.withColumn("__t", (F.col("__i") + F.col(length)) % n)
+        ends = placed.select(*keys, F.col("__i").alias("__t"), F.col("__p").alias("__end"))
+        wraps = F.when(F.col("__i") + F.col(length) >= n, F.col("__total")).otherwise(F.lit(0.0))
+        return attach(target, ends, [*keys, "__t"]).withColumn(
+            name, F.col("__end") + wraps - F.col("__p")
+        ).drop("__t", "__end")
+
+    starts = stop_sum("__short", "__last", stop_sum("__b", "__full", series)).select(
+        *keys, F.col("__i").alias("__start"), "__full", "__last"
+    )
+    draws = _draws(usable.select(*keys, "observations", "__blocks"), keys, resamples, seed)
+    amount = F.when(F.col("__blk") == F.col("__blocks"), F.col("__last")).otherwise(F.col("__full"))
+    return _resampled(attach(draws, starts, [*keys, "__start"]), keys, amount)
+
+
 def block_bootstrap_mean(df: DataFrame, *, keys: Sequence[str], value: str, order: Sequence[str],
                          block_size: int | None = None, resamples: int = 2000,
                          minimum_observations: int = 20, confidence: float = 0.95,
@@ -181,8 +236,9 @@ def block_bootstrap_mean(df: DataFrame, *, keys: Sequence[str], value: str, orde
     """Circular moving-block bootstrap of the mean, one row per series.
 
     Block starts come from a hash of (seed, key, resample, block), so the draw is
-    reproducible on any partitioning. Block sums are looked up from prefix sums;
-    a resample adds about n / block rows, never n.
+    reproducible on any partitioning. Block sums come from prefix sums; a resample
+    adds about n / block of them, never n. A series of up to ``_SERIES`` values keeps
+    its prefix sums in one row, longer ones are joined by position.
     """
     _checks(minimum_observations, confidence)
     if resamples < 100 or (block_size is not None and block_size < 1):
@@ -202,52 +258,16 @@ def block_bootstrap_mean(df: DataFrame, *, keys: Sequence[str], value: str, orde
     size = F.greatest(
         F.lit(1), F.round(F.pow(n.cast("double"), F.lit(1.0 / 3.0))).cast("bigint")
     ) if block_size is None else F.lit(block_size).cast("bigint")
-    totals = totals.withColumn("block_size", size)
+    totals = materialize(totals.withColumn("block_size", size))
     used = F.least(F.col("block_size"), n)
     blocks = F.ceil(n / used)
     usable = totals.where(n >= minimum_observations).withColumn("__b", used).withColumn(
         "__blocks", blocks
     ).withColumn("__short", n - (F.col("__blocks") - 1) * F.col("__b"))
-    placed, usable = materialize(placed), materialize(usable)
-    series = attach(placed, usable, keys, "inner")
-
-    def stop_sum(length: str, name: str, frame: DataFrame) -> DataFrame:
-        """Circular sum of ``length`` terms from each start, by one positional lookup."""
-        target = frame.withColumn("__t", (F.col("__i") + F.col(length)) % n)
-        ends = placed.select(*keys, F.col("__i").alias("__t"), F.col("__p").alias("__end"))
-        wraps = F.when(F.col("__i") + F.col(length) >= n, F.col("__total")).otherwise(F.lit(0.0))
-        return attach(target, ends, [*keys, "__t"]).withColumn(
-            name, F.col("__end") + wraps - F.col("__p")
-        ).drop("__t", "__end")
-
-    starts = stop_sum("__short", "__last", stop_sum("__b", "__full", series)).select(
-        *keys, F.col("__i").alias("__start"), "__full", "__last"
-    )
-    draws = (
-        usable.select(*keys, "observations", "__blocks", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("__rep"))
-        .withColumn("__blk", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__blocks"))))
-        .withColumn(
-            "__start",
-            F.conv(
-                F.substring(
-                    F.md5(
-                        F.concat_ws(
-                            ":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys],
-                            F.col("__rep").cast("string"), F.col("__blk").cast("string"),
-                        )
-                    ),
-                    1, 12,
-                ),
-                16, 10,
-            ).cast("bigint") % n,
-        )
-    )
-    amount = F.when(F.col("__blk") == F.col("__blocks"), F.col("__last")).otherwise(F.col("__full"))
-    means = (
-        attach(draws, starts, [*keys, "__start"])
-        .groupBy(*keys, "__rep", "observations").agg(F.sum(amount).alias("__s"))
-        .withColumn("__m", ratio("__s", n))
-    )
+    placed = materialize(placed)
+    means = _means_within(placed, usable, keys, resamples, seed, _SERIES)
+    if not usable.where(n > _SERIES).isEmpty():
+        means = means.unionByName(_means_by_lookup(placed, usable.where(n > _SERIES), keys, resamples, seed))
     tail = (1.0 - confidence) / 2.0
     spread = means.groupBy(*keys).agg(
         F.stddev_samp("__m").alias("standard_error"),

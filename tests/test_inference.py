@@ -117,3 +117,23 @@ def test_weekdays_do_not_count_missing_returns(spark):
     rows = {r["label"]: r for r in table.collect()}
     assert rows["Monday"]["observations"] == 1 and not rows["Monday"]["test_valid"]
     assert sum(r["observations"] for r in rows.values()) == 9
+
+
+def test_bootstrap_draws_stay_in_their_rows_and_long_series_agree(spark, monkeypatch):
+    rows = [(f"s{k}", i, float((i * 37 + k) % 11)) for k in range(3) for i in range(40 + k)]
+    df = spark.createDataFrame(rows, "security_id string, at int, x double")
+    run = lambda: inf.block_bootstrap_mean(df, keys=["security_id"], value="x", order=["at"], resamples=100, seed=3)
+    one = run()
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    # Draws are generated above all joins on series: no join looks up a draw's start.
+    assert "__k___start" not in plan
+    inside = sorted(one.collect())
+    monkeypatch.setattr(inf, "_SERIES", 41)  # one series is longer
+    mixed = sorted(run().collect())
+    monkeypatch.setattr(inf, "_SERIES", 0)
+    looked_up = sorted(run().collect())
+    for other in (mixed, looked_up):
+        assert [r["security_id"] for r in inside] == [r["security_id"] for r in other]
+        for a, b in zip(inside, other):
+            for c in ("estimate", "standard_error", "confidence_lower", "confidence_upper"):
+                assert a[c] == pytest.approx(b[c], abs=1e-12)
