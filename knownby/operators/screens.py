@@ -14,6 +14,7 @@ from knownby.operators.pit import (
     Instant, cutoff_table, instant, ordered_cutoffs, panel_as_of, require_columns,
     refuse, require_unambiguous, with_first_cutoff,
 )
+from knownby.session import materialize
 
 PANEL_COLUMNS = (
     "decision_at", "security_id", "feature_name", "feature_version", "value", "effective_at",
@@ -194,8 +195,12 @@ def require_enabled(screen: Screen) -> None:
 
 
 def snapshots_to_panel(snapshots: DataFrame, *, decision_at: Instant) -> DataFrame:
-    panel = snapshots.withColumn("decision_at", instant(decision_at)).select(*PANEL_COLUMNS)
-    return panel.orderBy("security_id", "feature_name")
+    """Rows in the columns of a panel, ordered by security and feature.
+
+    A sort looks at its rows twice, for the bounds of its ranges and to deal them out, so they are stored first.
+    """
+    panel = snapshots.select(*[c for c in PANEL_COLUMNS if c != "decision_at"])
+    return materialize(panel).withColumn("decision_at", instant(decision_at)).select(*PANEL_COLUMNS).orderBy("security_id", "feature_name")
 
 
 def _judge(wide: DataFrame, screen: Screen) -> DataFrame:

@@ -234,3 +234,15 @@ def test_running_merges_before_each_element(spark, n):
     got = df.select(running(F.col("v"), lambda a, x: a + x).alias("s"), running(F.col("v"), lambda a, x: F.greatest(a, x)).alias("m")).first()
     assert got["s"] == [sum(values[:i]) for i in range(n)]
     assert got["m"] == [max([0, *values[:i]]) for i in range(n)]
+
+
+def test_a_sorted_panel_reads_stored_rows(spark):
+    """Sorting looks at its rows twice; their windows must not be computed twice."""
+    from knownby.operators import screens
+
+    rows = spark.range(20).selectExpr(
+        "id AS security_id", "'f' AS feature_name", "'v' AS feature_version", "sum(id) OVER (ORDER BY id) * 1.0D AS value", "timestamp'2024-01-01' AS effective_at",
+        "timestamp'2024-01-01' AS available_at", "timestamp'2024-01-01' AS calculated_at", "'c' AS config_version", "'x' AS code_version")
+    panel = screens.snapshots_to_panel(rows, decision_at="2024-02-01T00:00:00+00:00")
+    assert panel.inputFiles() and "Window" not in panel._jdf.queryExecution().optimizedPlan().toString()
+    assert [r["security_id"] for r in panel.collect()] == list(range(20))
