@@ -154,14 +154,17 @@ LEFT JOIN (SELECT session, 0.5 * sum(abs(dw)) AS turnover FROM (SELECT session,
     """SELECT decision_at, count(*) AS names FROM signal_all WHERE decision_at IN (SELECT max(decision_at) FROM signal_all GROUP BY extract(isoyear FROM decision_at), extract(week FROM decision_at)) GROUP BY 1""",
     "signal_all", stamps="decision_at"))
 def _(spark, sf):
+    return portfolio.rebalance_decisions(_signal(spark, sf), "weekly").groupBy("decision_at").agg(F.count(F.lit(1)).alias("names"))
+
+
+def _signal(spark, sf):
+    """The signal's known values, written once for the steps that read them several times."""
     rows = decision_panel(spark, sf).where("feature_name = 'residual_return_zscore_1d' and value is not null")
-    return portfolio.rebalance_decisions(rows, "weekly").groupBy("decision_at").agg(F.count(F.lit(1)).alias("names"))
+    return materialize(rows.select("decision_at", "security_id", "value"))
 
 
 def _legs(spark, sf):
-    rows = decision_panel(spark, sf).where("feature_name = 'residual_return_zscore_1d' and value is not null")
-    decisions = materialize(rows.select("decision_at", "security_id", "value"))
-    return materialize(portfolio.quantile_legs(portfolio.rebalance_decisions(decisions, "monthly"), quantiles=5))
+    return materialize(portfolio.quantile_legs(portfolio.rebalance_decisions(_signal(spark, sf), "monthly"), quantiles=5))
 
 
 @register("l2_quantile_legs", oracle(

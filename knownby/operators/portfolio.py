@@ -44,7 +44,10 @@ class PortfolioSpec:
 
 
 def rebalance_decisions(panel: DataFrame, rebalance: str) -> DataFrame:
-    """Rows at the last decision of each UTC day, ISO week or month that has one."""
+    """Rows at the last decision of each UTC day, ISO week or month that has one.
+
+    The panel is read twice: for the decisions of each period, then for their rows.
+    """
     if rebalance == "daily":
         return panel
     period = F.date_trunc("week" if rebalance == "weekly" else "month", F.col("decision_at"))

@@ -246,3 +246,10 @@ def test_a_sorted_panel_reads_stored_rows(spark):
     panel = screens.snapshots_to_panel(rows, decision_at="2024-02-01T00:00:00+00:00")
     assert panel.inputFiles() and "Window" not in panel._jdf.queryExecution().optimizedPlan().toString()
     assert [r["security_id"] for r in panel.collect()] == list(range(20))
+
+
+def test_rebalance_query_reads_its_signal_from_one_stored_evaluation(spark):
+    from knownby.catalog import QUERIES
+
+    plan = QUERIES["l1_rebalance_decisions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "lineitem" not in plan
