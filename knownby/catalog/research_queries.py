@@ -10,6 +10,7 @@ from knownby.catalog.series_queries import frame, two_factor_sql, zscore_sql
 from knownby.functions.ids import iso_instant, research_id
 from knownby.operators import filings, research, screens
 from knownby.plans import daily, workflows
+from knownby.session import materialize
 
 REQUEST = daily.DailyRequest("all", "2001-06-30T00:00:00+00:00", "2001-07-01T00:00:00+00:00", "fixture", lookback_days=5000)
 _END = "DATE '2001-06-30'"
@@ -17,13 +18,15 @@ _END = "DATE '2001-06-30'"
 
 def instruments(spark, sf):
     """Weekly bars of suppliers, their regions and the market, as canonical price bars."""
-    sums = weekly_sums(spark, sf)
+    sums = materialize(weekly_sums(spark, sf))
     placed = sums.join(supplier_regions(spark, sf), "security_id")
     totals = [F.sum("amount").alias("amount"), F.sum("units").alias("units")]
     text = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias("security_id")
     rows = sums.select(text("S", "security_id"), "session_date", "amount", "units")
-    rows = rows.unionByName(placed.groupBy(text("R", "region"), "session_date").agg(*totals))
-    rows = rows.unionByName(placed.groupBy(F.lit("MKT").alias("security_id"), "session_date").agg(*totals))
+    # The market is the sum of the regions.
+    regions = materialize(placed.groupBy("region", "session_date").agg(*totals))
+    rows = rows.unionByName(regions.select(text("R", "region"), "session_date", "amount", "units"))
+    rows = rows.unionByName(regions.groupBy(F.lit("MKT").alias("security_id"), "session_date").agg(*totals))
     at = F.col("session_date").cast("timestamp")
     return rows.select(
         "security_id", "session_date", F.lit("1d").alias("frequency"), at.alias("effective_at"),

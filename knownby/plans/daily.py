@@ -167,7 +167,9 @@ def latest_features(series: DataFrame, factors: DataFrame) -> DataFrame:
     """The last row of ``price_features`` for each member, from the sessions that row looks at.
 
     The windows run over ``SESSIONS`` rows a member however long the history is; its length is counted by an aggregation.
+    The series is stored first: the counts, the trailing sessions and both sides of benchmarks read it.
     """
+    series = materialize(series.select("security_id", "session_date", "effective_at", "close", "volume", "ret"))
     totals = series.groupBy("security_id").agg(F.count(F.lit(1)).alias("bars"), F.count(finite("ret")).alias("observations"))
     newest_first = Window.partitionBy("security_id").orderBy(F.col("session_date").desc())
     recent = series.withColumn("__back", F.row_number().over(newest_first)).where(F.col("__back") <= SESSIONS).drop("__back")
@@ -264,8 +266,8 @@ def daily_research(request: DailyRequest, *, members: DataFrame, mappings: DataF
     factors = materialize(
         usable_factors(benchmarks, history).select("security_id", "market_id", "sector_id")
     )
-    latest = latest_features(series, factors)
-    judged = attach(covered.select("security_id"), latest, ["security_id"])
+    # One row per member, for those that go on and those that are too short.
+    judged = materialize(attach(covered.select("security_id"), latest_features(series, factors), ["security_id"]))
     too_short = F.coalesce("bars", F.lit(0)) < MINIMUM_BARS
     short = judged.where(too_short).select(
         "security_id",

@@ -113,7 +113,7 @@ def recompute_touched(stream: DataFrame, *, bars_path: str, factors: DataFrame,
         hit = factors.join(arrived, "security_id", "left_semi")
         for side in ("market_id", "sector_id"):
             hit = hit.unionByName(factors.join(arrived.withColumnRenamed("security_id", side), side, "left_semi").select(*factors.columns))
-        hit = hit.distinct()
+        hit = materialize(hit.distinct())  # read by every step below; the batch is not
         needed = hit.select(F.explode(F.array("security_id", "market_id", "sector_id")).alias("security_id")).where(
             "security_id is not null"
         ).distinct()

@@ -86,3 +86,12 @@ def test_the_close_workflow_query_leaves_the_cutoff_to_the_operator(spark, monke
     with pytest.raises(Seen):
         QUERIES["o7_close_workflow"](spark, "/root/testdata/sf0.001")
     assert not given["bars"].where("effective_at > timestamp '2001-07-01'").isEmpty()
+
+
+def test_the_daily_run_evaluates_its_features_once(spark):
+    """Members that are too short and those that go on come from the same stored rows."""
+    from knownby.catalog import research_queries
+
+    run = research_queries.run(spark, "/root/testdata/sf0.001")
+    for df in (run.run, run.failures, run.snapshots):
+        assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString()
