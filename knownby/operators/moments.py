@@ -12,23 +12,27 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
+def backwards(keys: Sequence[str], order: str) -> WindowSpec:
+    """A series from its latest row to its earliest, in the order that ``trailing_moments`` leaves."""
+    return Window.partitionBy(*keys).orderBy("__back", F.col(order).desc())
+
+
 def trailing_moments(df: DataFrame, *, keys: Sequence[str], order: str, groups: Sequence[Sequence[str]], window: int, lag: int) -> DataFrame:
     """Add the moments of each group of columns over the ``window`` rows that end ``lag`` rows before each row.
 
     The columns of a group are null together. Group g adds ``__n{g}``, the mean
     ``__m{g}_{i}`` of its column i and the population covariance ``__c{g}_{i}_{j}``
-    of its columns i <= j; means and covariances are null where no row counts.
+    of its columns i <= j; means and covariances are null where no row counts. ``__at`` numbers
+    the rows of a series from 0, ``__back`` its blocks from 0 downwards.
     """
-    series = Window.partitionBy(*keys).orderBy(order)
-    at = F.row_number().over(series) - 1
-    work = df.withColumns({"__at": at, "__block": F.floor(at / F.lit(window))})
-    blocks = Window.partitionBy(*keys, "__block")
+    at = F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1
+    work = df.withColumns({"__at": at, "__back": -F.floor(at / F.lit(window))})
+    blocks = Window.partitionBy(*keys, "__back")
     running = {"__head": blocks.orderBy(order), "__tail": blocks.orderBy(F.col(order).desc())}
-    sums: dict[str, Column] = {}
     for name, frame in running.items():
         over = frame.rowsBetween(Window.unboundedPreceding, 0)
         parts = []
@@ -37,11 +41,12 @@ def trailing_moments(df: DataFrame, *, keys: Sequence[str], order: str, groups:
             for i, c in enumerate(columns):
                 parts.append(F.avg(c).over(over).alias(f"m{g}_{i}"))
                 parts += [F.covar_pop(c, columns[j]).over(over).alias(f"c{g}_{i}_{j}") for j in range(i, len(columns))]
-        sums[name] = F.struct(*parts)
-    work = work.withColumns(sums)
+        work = work.withColumn(name, F.struct(*parts))
+    # The last sums left the rows from the latest to the earliest, so looking on from there takes no further sort.
+    earlier = backwards(keys, order)
     # Where the window ends with a block, it is that block.
     split = F.pmod(F.col("__at") - lag, F.lit(window)) != window - 1
-    work = work.withColumns({"__head": F.lag("__head", lag).over(series), "__tail": F.when(split, F.lag("__tail", lag + window - 1).over(series))})
+    work = work.withColumns({"__head": F.lead("__head", lag).over(earlier), "__tail": F.when(split, F.lead("__tail", lag + window - 1).over(earlier))})
     added: dict[str, Column] = {}
     for g, columns in enumerate(groups):
         def side(part: str, field: str) -> Column:
@@ -63,4 +68,4 @@ def trailing_moments(df: DataFrame, *, keys: Sequence[str], order: str, groups:
                 field = f"c{g}_{i}_{j}"
                 within = (side("__tail", field) * n1 + side("__head", field) * n2) / n
                 added[f"__{field}"] = merged(field, within + step(i) * step(j) * (n1 / n) * (n2 / n))
-    return work.withColumns(added).drop("__head", "__tail", "__block")
+    return work.withColumns(added).drop("__head", "__tail")

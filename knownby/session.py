@@ -41,14 +41,17 @@ def local_session(cores: int = 8, memory: str = "12g", app: str = "knownby") ->
 
 # Windows widen rows after their shuffle, so that a task's sorts hold many times the bytes it fetched. Shuffles are cut
 # finely and merged by measured bytes: a task's rows stay the same, however large the input.
+# The JVM never compiles a method of more than 8000 bytes. A stage whose code, written as one, has such a method runs
+# operator by operator instead, in methods that are compiled.
 FINE = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.adaptive.coalescePartitions.initialPartitionNum": "400",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
 }
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings that results depend on, and fine partitions where the cluster names none."""
+    """Apply the runtime settings that results depend on, and ``FINE`` where the cluster names none."""
     for key in ("spark.sql.session.timeZone", "spark.sql.optimizer.windowGroupLimitThreshold"):
         spark.conf.set(key, SETTINGS[key])
     for key, value in FINE.items():

@@ -62,6 +62,22 @@ def test_series_features_share_one_shuffle_and_sort(stored):
     assert frames == {"unboundedpreceding$()"}
 
 
+def test_a_rolling_fit_sorts_its_rows_three_times(stored):
+    """By session, by block, and from the latest row back; looking back and fitting again find the last order."""
+    k, t = ["security_id"], "available_at"
+    df = stored.withColumn("r", F.col("value") * 2)
+    text = plan(series.abnormal_returns(df, keys=k, order=t, asset="r", factors=["value"], window=20, minimum=5))
+    assert len(re.findall(r"Sort \[", text)) == 3
+    assert text.count("Exchange hashpartitioning") == 1
+
+
+def test_stages_with_methods_that_the_jvm_never_compiles_are_not_fused(spark):
+    from knownby.session import prepare
+
+    spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+    assert prepare(spark).conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
 def test_screen_limit_is_pruned_in_each_task(spark, stored):
     spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10000")
     screen = screens.Screen("s", (screens.Criterion("f", "greater_than", 0.0),), rank=("f", "descending"), limit=5000)
