@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knownby.functions.numeric import col, ratio
-from knownby.functions.text import match_starts
+from knownby.functions.text import bound, match_starts
 from knownby.operators.scale import attach
 
 # What counts as a numeric claim and as a filing heading.
@@ -94,16 +94,15 @@ def _strip(text: Column) -> Column:
 
 def _title(text: Column) -> Column:
     """Upper-case each letter that follows a non-letter, lower-case the rest."""
-    letters = F.split(text, "")
-    return F.array_join(
-        F.transform(
+    def cased(letters: Column) -> Column:
+        return F.transform(
             letters,
             lambda c, i: F.when(
                 (i > 0) & F.coalesce(F.try_element_at(letters, i).rlike("^[A-Za-z]$"), F.lit(False)), F.lower(c)
             ).otherwise(c),
-        ),
-        "",
-    )
+        )
+
+    return F.array_join(bound(F.split(text, ""), cased), "")
 
 
 def sections(text: Column | str) -> Column:
@@ -114,18 +113,19 @@ def sections(text: Column | str) -> Column:
     """
     source = col(text)
     marked = F.regexp_replace(source, F.lit(HEADING), F.lit(f"{_OPEN}$1{_CLOSE}"))
-    parts = F.split(marked, _OPEN)
 
     def part(p: Column) -> Column:
         name = _title(_strip(F.regexp_replace(F.substring_index(p, _CLOSE, 1), r"\s+", " ")))
         body = F.substring(p, F.instr(p, _CLOSE) + 1, F.length(p))
         return F.struct(name.alias("section"), _strip(body).alias("body"))
 
-    headed = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), part)
     whole = F.array(F.struct(F.lit("DOCUMENT").alias("section"), _strip(source).alias("body")))
-    return F.filter(
-        F.when(F.size(parts) > 1, headed).otherwise(whole), lambda s: s["body"] != ""
-    )
+
+    def named(parts: Column) -> Column:
+        headed = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), part)
+        return F.when(F.size(parts) > 1, headed).otherwise(whole)
+
+    return F.filter(bound(F.split(marked, _OPEN), named), lambda s: s["body"] != "")
 
 
 def segment_sections(documents: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -164,7 +164,7 @@ def compare_versions(pairs: DataFrame, *, key: str, previous: str, current: str)
             F.sum(F.when(F.col("sign") > 0, 1).otherwise(0)).alias("now"),
             F.sum(F.when(F.col("sign") < 0, 1).otherwise(0)).alias("before"), F.min("at").alias("at"),
         )
-        .withColumn("shown", _strip(F.col("line")) != "")
+        .withColumn("shown", F.col("line").rlike(r"\S"))
     )
     more, fewer = F.col("now") - F.col("before"), F.col("before") - F.col("now")
     zero = F.lit(0)

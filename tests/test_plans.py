@@ -78,6 +78,13 @@ def test_stages_with_methods_that_the_jvm_never_compiles_are_not_fused(spark):
     assert prepare(spark).conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
 
 
+def test_sections_look_for_headings_once(spark):
+    from knownby.operators import filings
+
+    text = plan(spark.createDataFrame([("RISK FACTORS\nx",)], "text string").select(filings.sections("text").alias("s")))
+    assert text.split("LocalTableScan")[0].count("(?md)^(?:item") == 1
+
+
 def test_screen_limit_is_pruned_in_each_task(spark, stored):
     spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10000")
     screen = screens.Screen("s", (screens.Criterion("f", "greater_than", 0.0),), rank=("f", "descending"), limit=5000)
