@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from knownby.functions.numeric import clip, dispersed, finite, ratio
-from knownby.operators.scale import attach, exact_quantiles, group_moments, value_positions
+from knownby.operators.scale import attach, exact_quantiles, group_moments, placed_quantiles, value_positions
 from knownby.session import materialize
 
 
@@ -28,10 +28,14 @@ def _stored(df: DataFrame, keys: Sequence[str], value: str, *more: str) -> DataF
     return materialize(df.select(*dict.fromkeys([*keys, *more]), finite(value).alias("__value")))
 
 
-def _bounds(values: DataFrame, keys, lower, upper, minimum) -> DataFrame:
-    """One row per group of at least ``minimum`` values: the bounds to clip to."""
+def _clip_check(lower: float, upper: float, minimum: int) -> None:
     if not 0.0 <= lower < upper <= 1.0 or minimum < 1:
         raise ValueError("clip between two ordered quantiles of a group of one or more")
+
+
+def _bounds(values: DataFrame, keys, lower, upper, minimum) -> DataFrame:
+    """One row per group of at least ``minimum`` values: the bounds to clip to."""
+    _clip_check(lower, upper, minimum)
     bounds = exact_quantiles(values, keys=keys, value="__value", quantiles={"__lo": lower, "__hi": upper})
     counts = values.groupBy(*keys).agg(F.count("__value").alias("__n")).where(F.col("__n") >= minimum)
     return attach(counts, bounds, keys).drop("__n")
@@ -82,14 +86,26 @@ def normalize_factor(df: DataFrame, *, keys: Sequence[str], value: str, groups:
                      minimum: int = 5) -> DataFrame:
     """Adds raw, winsorized, zscore and percentile columns for one factor.
 
-    Facts of the groups come from stored (group, value) pairs and are joined to the
-    rows, which are never written.
+    The rows are written once, as they may be costly. Clipping keeps the order, so the bounds and the ranks of clipped
+    values all come from one placing of the raw ones: what is clipped to a bound ties with everything beyond it.
     """
-    more = [groups] if groups else []
-    values = _stored(df, keys, value, *more)
-    bounds = materialize(_bounds(values, keys, lower, upper, minimum))
-    clipped = materialize(_clipped(values, bounds, keys, "__value", "winsorized").drop("__value"))
-    rows = _clipped(df.withColumn("raw", finite(value)), bounds, keys, "raw", "winsorized")
-    scored = cross_sectional_zscore(rows, keys=keys, value="winsorized", groups=groups, ddof=ddof,
-                                    minimum=minimum, source=clipped)
-    return attach(scored, _ranks(clipped, keys, "winsorized", "percentile"), [*keys, "winsorized"])
+    _clip_check(lower, upper, minimum)
+    rows = materialize(df.withColumn("raw", finite(value)))
+    places = materialize(value_positions(rows, keys=keys, value="raw"))
+    full = places.where(F.col("n") >= minimum)
+    bounds = placed_quantiles(full, keys=keys, quantiles={"__lo": lower, "__hi": upper})
+    ends = materialize(attach(full, bounds, keys, "inner").groupBy(*keys).agg(
+        F.max("__lo").alias("__lo"), F.max("__hi").alias("__hi"),
+        F.max(F.when(F.col("value") <= F.col("__lo"), F.col("last"))).alias("__low_last"),
+        F.min(F.when(F.col("value") >= F.col("__hi"), F.col("first"))).alias("__high_first"),
+    ))
+    work = _clipped(rows, ends.select(*keys, "__lo", "__hi"), keys, "raw", "winsorized")
+    scored = cross_sectional_zscore(work, keys=keys, value="winsorized", groups=groups, ddof=ddof, minimum=minimum)
+    one = F.col("__lo") == F.col("__hi")
+    low, high = one | (F.col("value") <= F.col("__lo")), one | (F.col("value") >= F.col("__hi"))
+    first = F.when(low, F.lit(1)).when(high, F.col("__high_first")).otherwise(F.col("first"))
+    last = F.when(high, F.col("n")).when(low, F.col("__low_last")).otherwise(F.col("last"))
+    ranks = attach(full, ends, keys, "inner").select(
+        *keys, F.col("value").alias("raw"), ratio((first + last) / F.lit(2.0), "n").alias("percentile")
+    )
+    return attach(scored, ranks, [*keys, "raw"])

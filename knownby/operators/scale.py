@@ -140,16 +140,11 @@ def exact_quantiles(
             raise ValueError("quantiles must lie between zero and one")
     counted = _value_counts(df, keys, value)
     offsets = _bucket_offsets(counted, keys)
-    targets: dict[str, Column] = {}
-    for name, q in quantiles.items():
-        place = (F.col("__n") - 1) * F.lit(float(q))
-        targets[f"{name}__lo"] = F.floor(place)
-        targets[f"{name}__hi"] = F.ceil(place)
     hit = F.lit(False)
-    for position in targets.values():
-        hit = hit | (
-            (position >= F.col("__below")) & (position < F.col("__below") + F.col("__bc"))
-        )
+    for q in quantiles.values():
+        place = (F.col("__n") - 1) * F.lit(float(q))
+        for position in (F.floor(place), F.ceil(place)):
+            hit = hit | ((position >= F.col("__below")) & (position < F.col("__below") + F.col("__bc")))
     # Only buckets that contain a wanted rank are ordered in full.
     candidates = attach(counted, offsets.where(hit), [*keys, "__b"], "inner")
     inside = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(
@@ -158,21 +153,29 @@ def exact_quantiles(
     placed = candidates.withColumn(
         "__end", F.col("__below") + F.sum("__c").over(inside)
     ).withColumn("__start", F.col("__end") - F.col("__c"))
-    picked = placed.groupBy(*keys).agg(
-        F.max("__n").alias("__n"),
-        *[
-            F.max(
-                F.when((position >= F.col("__start")) & (position < F.col("__end")), F.col("__v"))
-            ).alias(name)
-            for name, position in targets.items()
-        ],
+    return _interpolated(placed, keys, quantiles)
+
+
+def placed_quantiles(places: DataFrame, *, keys: Sequence[str], quantiles: Mapping[str, float]) -> DataFrame:
+    """``exact_quantiles`` of values whose ``value_positions`` are at hand."""
+    placed = places.select(
+        *keys, F.col("value").alias("__v"), (F.col("first") - 1).alias("__start"), F.col("last").alias("__end"), F.col("n").alias("__n")
     )
+    return _interpolated(placed, keys, quantiles)
+
+
+def _interpolated(placed: DataFrame, keys: Sequence[str], quantiles: Mapping[str, float]) -> DataFrame:
+    """Quantiles from values that hold the places ``__start`` to ``__end``, exclusive, of ``__n``."""
+    picked: list[Column] = [F.max("__n").alias("__n")]
     outputs = []
     for name, q in quantiles.items():
         place = (F.col("__n") - 1) * F.lit(float(q))
+        for side, at in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            here = (at >= F.col("__start")) & (at < F.col("__end"))
+            picked.append(F.max(F.when(here, F.col("__v"))).alias(f"{name}__{side}"))
         low, high = F.col(f"{name}__lo"), F.col(f"{name}__hi")
         outputs.append((low + (high - low) * (place - F.floor(place))).alias(name))
-    return picked.select(*keys, *outputs)
+    return placed.groupBy(*keys).agg(*picked).select(*keys, *outputs)
 
 
 def running_position(

@@ -79,3 +79,29 @@ def test_close_values_spread_over_many_parts(spark):
     assert len(sizes) > 3 * 200 and max(sizes) < 3 * 200_000 / len(sizes)
     odd = spark.createDataFrame([("a", v) for v in (1e300, -1e300, 0.0, 5.0, 5.0, float("nan"), None)], "g string, v double")
     assert sorted((r["__v"], r["__c"]) for r in _value_counts(odd, ["g"], "v").collect()) == [(-1e300, 1), (0.0, 1), (5.0, 2), (1e300, 1)]
+
+
+def test_a_normalized_factor_comes_from_one_evaluation_and_one_placing(spark, monkeypatch):
+    """Ties, groups that clip to one value, thin groups, nulls: as pandas has them, and no window is left in the plan."""
+    from pyspark.sql import Window
+
+    from knownby.operators import scale
+
+    calls = []
+    real = scale._value_counts
+    monkeypatch.setattr(scale, "_value_counts", lambda *a: calls.append(1) or real(*a))
+    rng = np.random.default_rng(5)
+    groups = {"ties": rng.integers(0, 6, 80).astype(float), "spread": rng.normal(size=90), "one": np.array([7.0] * 30 + [9.0]), "thin": np.array([1.0, 2.0]), "below": -rng.integers(0, 3, 40) / 3}
+    rows = [(g, i, float(v)) for g, vs in groups.items() for i, v in enumerate(vs)] + [("ties", 900, None), ("spread", 901, float("nan"))]
+    df = spark.createDataFrame(rows, "d string, id int, v double").withColumn("v", F.max("v").over(Window.partitionBy("d", "id")))
+    out = panels.normalize_factor(df, keys=["d"], value="v", lower=0.1, upper=0.9, minimum=5)
+    assert len(calls) == 1 and "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["d"], r["id"]): (r["winsorized"], r["percentile"], r["zscore"]) for r in out.collect()}
+    assert len(got) == len(rows) and got["ties", 900] == got["spread", 901] == got["thin", 0] == (None, None, None)
+    for g in ("ties", "spread", "one", "below"):
+        v = pd.Series(groups[g])
+        clipped = v.clip(v.quantile(0.1), v.quantile(0.9))
+        close_to([got[g, i][0] for i in range(len(v))], list(clipped))
+        close_to([got[g, i][1] for i in range(len(v))], list(clipped.rank() / len(v)))
+        if g != "one":
+            close_to([got[g, i][2] for i in range(len(v))], list((clipped - clipped.mean()) / clipped.std(ddof=0)))
