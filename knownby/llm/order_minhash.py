@@ -42,11 +42,13 @@ from knownby.llm.catalog import query
 from knownby.llm.graph import connected_components
 from knownby.llm.substring_dedup import only_members, runs, text_hash, with_changes
 from knownby.llm.tables import BASES, flat, mix, ranges, slices, span_hashes, table, text_column, window_hashes, word_spans
-from knownby.session import materialize
+from knownby.session import materialize, tasks_for
 
 SHINGLE = 5
 SIMILARITY = 0.8
 ROWS, BANDS = 2, 10
+TASK_DOCUMENTS, TASK_PAIRS = 25_000, 2_000  # of a task that stores rows of documents, or compares pairs
+KEPT_SHINGLES = 1 << 18  # 4 MB, and one text more
 
 #: After lower-casing: digits, a-z and everything beyond ASCII.
 IS_WORD = np.zeros(256, dtype=bool)
@@ -235,46 +237,69 @@ def sequences(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
     return near.mapInArrow(run, "node long, words binary").dropDuplicates(["node"])
 
 
+class Numbered:
+    """Shingles of the nodes met last, in text order and numbered in order of value: pairs that follow share their nodes."""
+
+    def __init__(self, shingle: int):
+        self.shingle, self.found, self.size = shingle, {}, 0
+
+    def __call__(self, node: int, words: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
+        if (found := self.found.get(node)) is None:
+            h = mix(np.frombuffer(words.as_buffer(), np.uint32).astype(np.uint64))
+            h = shingle_hashes(h, np.array([0, len(h)]), self.shingle)[0]
+            if self.size > KEPT_SHINGLES:
+                self.found, self.size = {}, 0
+            found = self.found[node] = h, np.sort(numbered(h))
+            self.size += len(h)
+        return found
+
+
 def compared(pairs: DataFrame, words: DataFrame, shingle: int, least: float, apart: bool = False) -> DataFrame:
-    """a, b, shared (shingles in common), linked; with ``apart`` also the numbered shingles of a that b lacks."""
+    """a, b, shared (shingles in common), linked; with ``apart`` also the numbered shingles of a that b lacks. pairs: as stored."""
     both = (pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("wa")), "a")
             .join(words.select(F.col("node").alias("b"), F.col("words").alias("wb")), "b").select("a", "b", "wa", "wb"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Numbered(shingle)
         for batch in batches:
             common, linked, rest = [], [], []
-            for wa, wb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = (shingle_hashes(mix(np.frombuffer(w, np.uint32).astype(np.uint64)), np.array([0, len(w) // 4]), shingle)[0] for w in (wa, wb))
+            for a, b, wa, wb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                (x, own), (y, other) = shingles(a, wa), shingles(b, wb)
                 n, m = len(x), len(y)
-                own, other = numbered(x), numbered(y)
-                alone = own[~np.isin(own, other)]
-                together = n - len(alone)
+                alone = other[np.minimum(np.searchsorted(other, own), m - 1)] != own
+                together = n - int(np.count_nonzero(alone))
                 possible = together >= least * (n + m - together)
                 found = aligned(x, y, least) if possible else 0
                 common.append(together)
                 linked.append(bool(found) and found >= least * (n + m - found))
-                rest.append(alone.view(np.int64) if apart else [])
+                rest.append(own[alone].view(np.int64) if apart else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(linked, pa.bool_()), pa.array(rest, pa.list_(pa.int64()))], names=["a", "b", "shared", "linked", "rest"])
 
-    return both.mapInArrow(run, "a long, b long, shared long, linked boolean, rest array<long>")
+    # A worker is dear beside a few pairs: its tasks follow the number of pairs, not that of the join's partitions.
+    tasks = tasks_for(pairs.sparkSession, pairs.count(), TASK_PAIRS)
+    return both.coalesce(tasks).mapInArrow(run, "a long, b long, shared long, linked boolean, rest array<long>")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, least: float = SIMILARITY, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """doc_id, th (hash of the text), class_id, kept: one row per document. kept: the document stands for its class."""
     source = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), text_hash(text).alias("th"))
     sketches = materialize(sketched(source, shingle, rows, bands))
-    content = materialize(sketches.groupBy("name", "check").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+    tasks = tasks_for(docs.sparkSession, sketches.count(), TASK_DOCUMENTS)
+
+    def stored(df: DataFrame) -> DataFrame:
+        return materialize(df, tasks)
+
+    content = stored(sketches.groupBy("name", "check").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("keys").alias("keys")))
 
     # Members of buckets with company, and the leader of each bucket.
     dealt = content.where(F.col("doc_id").isNotNull()).select(F.col("name").alias("node"), "n", "doc_id", F.explode("keys").alias("key"))
     sizes = dealt.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialize(dealt.join(sizes, "key"))
-    popularity = members.groupBy("node").agg(F.sum("size").alias("score"), F.first("doc_id").alias("doc_id"))
-    leaders = materialize(members.select("key", "node").join(popularity, "node").groupBy("key").agg(F.max_by("node", F.struct("score", -F.col("doc_id"))).alias("leader")))
-    led = materialize(members.select("key", "node", "n").join(leaders, "key"))
-    nodes = materialize(popularity.select("node", "doc_id"))
-    words = materialize(sequences(source, nodes, shingle))
-    stars = led.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    members = stored(dealt.join(sizes, "key"))
+    popularity = stored(members.groupBy("node").agg(F.sum("size").alias("score"), F.first("doc_id").alias("doc_id")))
+    leaders = stored(members.select("key", "node").join(popularity, "node").groupBy("key").agg(F.max_by("node", F.struct("score", -F.col("doc_id"))).alias("leader")))
+    led = stored(members.select("key", "node", "n").join(leaders, "key"))
+    words = stored(sequences(source, popularity.select("node", "doc_id"), shingle))
+    stars = stored(led.where("node != leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
     first = materialize(compared(stars, words, shingle, least, apart=True))
     links = first.where("linked").select("a", "b")
     parts = connected_components(links)
@@ -287,22 +312,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     reach = first.join(extra, ["a", "b"], "left").select(F.col("a").alias("node"), F.col("b").alias("leader"), (F.col("shared") + F.coalesce("extra", F.lit(0))).alias("most"))
     placed = (led.join(reach, ["node", "leader"], "left").join(parts, "node", "left")
               .select("key", "node", "n", F.least("n", F.coalesce("most", "n")).alias("most"), F.coalesce("component", "node").alias("component"), (F.col("node") == F.col("leader")).alias("leads")))
-    placed = materialize(placed.where("not leads"))
+    placed = stored(placed.where("not leads"))
     split = placed.groupBy("key").agg((F.min("component") != F.max("component")).alias("split")).where("split").select("key")
     open_rows = placed.join(split, "key", "left_semi")
     # M >= least / (1 + least) * (n1 + n2) bounds the partner's length by what a node can share. A pair that meets in
     # several buckets is taken in the first.
     longest = (F.col("most") * ((1 + least) / least) - F.col("n")).alias("longest")
     able = open_rows.select("key", "node", "n", "component", longest).where(F.col("longest") >= least * F.col("n"))
-    able = materialize(able.join(content.select(F.col("name").alias("node"), "keys"), "node"))
+    able = stored(able.join(content.select(F.col("name").alias("node"), "keys"), "node"))
     x, y = (able.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("node", "n", "component", "longest", "keys"))) for side in "xy")
     near = "x_node < y_node and x_component != y_component and y_n <= x_longest and x_n <= y_longest and array_intersect(x_keys, y_keys)[0] = key"
-    again = x.join(y, "key").where(near).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
+    again = stored(x.join(y, "key").where(near).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct())
     second = materialize(compared(again, words, shingle, least).where("linked").select("a", "b"))
-    parts = connected_components(links.union(second))
+    parts = connected_components(parts.select(F.col("component").alias("a"), F.col("node").alias("b")).union(second))
 
-    grouped = materialize(content.select("name", "check", "doc_id").join(parts.withColumnRenamed("node", "name"), "name", "left")
-                          .select("name", "check", "doc_id", F.coalesce("component", "name").alias("component"), F.when(F.col("component").isNull(), F.col("check")).otherwise(0).alias("side")))
+    grouped = stored(content.select("name", "check", "doc_id").join(parts.withColumnRenamed("node", "name"), "name", "left")
+                     .select("name", "check", "doc_id", F.coalesce("component", "name").alias("component"), F.when(F.col("component").isNull(), F.col("check")).otherwise(0).alias("side")))
     classes = grouped.groupBy("component", "side").agg(F.min("doc_id").alias("class_id"))
     of_content = grouped.join(classes, ["component", "side"]).select("name", "check", "class_id")
     joined = sketches.select("doc_id", "th", "name", "check").join(of_content, ["name", "check"])

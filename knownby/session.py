@@ -74,8 +74,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write an intermediate once to the shared folder and read it back.
+def tasks_for(spark: SparkSession, rows: int, each: int) -> int:
+    """Tasks of about ``each`` rows, two a core at least: for few rows that a shuffle deals into many partitions."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows // each))
+
+
+def materialize(df: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Write an intermediate once to the shared folder and read it back; in at most ``tasks`` files, if given.
 
     Used where a plan reads the same expensive intermediate several times: the
     lineage is cut, a lost executor re-reads files instead of recomputing the
@@ -83,5 +88,5 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/intermediate-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if tasks is None else df.coalesce(tasks)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,13 +3,16 @@
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from knownby.llm import language_crf, order_minhash, pii, substring_dedup
 from knownby.llm.graph import connected_components
+from knownby.session import checkpoint_dir
 
 from .conftest import prose
 
@@ -290,10 +293,58 @@ def test_a_large_group_of_drifting_copies_is_not_paired_out(llm):
     assert {found[i] for i in near} == {min(near)}
 
 
+def stored_files(spark):
+    """Part files of each intermediate that was stored so far."""
+    return {p.parent.name: len(list(p.parent.glob("part-*"))) for p in Path(checkpoint_dir(spark).removeprefix("file:")).rglob("_SUCCESS")}
+
+
+def test_few_rows_are_stored_and_compared_by_few_tasks(llm):
+    pick = random.Random(12)
+    base = [prose(g, 80).split() for g in range(20)]
+    docs = docs_of(llm, [(i, " ".join(edited(base[i % 20], pick.choice([0, 1, 3, 6]), pick))) for i in range(300)])
+    want = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()}
+    given = {"spark.sql.shuffle.partitions": "211", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: llm.conf.get(k) for k in given}
+    before = stored_files(llm)
+    try:
+        for k, v in given.items():
+            llm.conf.set(k, v)
+        assert {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()} == want
+    finally:
+        for k, v in old.items():
+            llm.conf.set(k, v)
+    files = {k: n for k, n in stored_files(llm).items() if k not in before}
+    assert files and max(files.values()) <= 2 * llm.sparkContext.defaultParallelism
+
+
+def test_compared_pairs_count_shared_shingles(llm):
+    pick = random.Random(13)
+    texts = [edited("a b a b a c d ".split() * 6, n, pick) for n in (0, 1, 1, 2, 4)] + [["a"], ["a", "b"], "a b c d e".split()]
+    number = {w: i for i, w in enumerate(sorted({w for t in texts for w in t}))}
+    words = llm.createDataFrame([(i, bytearray(np.array([number[w] * 7919 + 1 for w in t], np.uint32).tobytes())) for i, t in enumerate(texts)], "node long, words binary")
+    pairs = llm.createDataFrame([(i, j) for i in range(len(texts)) for j in range(len(texts)) if i != j], "a long, b long").repartition(1)
+    rows = order_minhash.compared(pairs, words, 5, 0.8, apart=True).collect()
+    assert len(rows) == len(texts) * (len(texts) - 1)
+    for r in rows:
+        x, y = (Counter(zip(*[t[i:] for i in range(5)]) if len(t) >= 5 else [tuple(t)]) for t in (texts[r.a], texts[r.b]))
+        assert r.shared == sum((x & y).values()) and len(r.rest) == len(set(r.rest)) == sum((x - y).values())
+        assert r.linked == (similarity(texts[r.a], texts[r.b]) >= 0.8)
+    numbered = order_minhash.Numbered(5)
+    scalar = pa.scalar(np.arange(40, dtype=np.uint32).tobytes())
+    assert numbered(1, scalar) is numbered(1, scalar)  # hashed once for the pairs of a node
+
+
 def test_near_duplicates_of_nothing(llm):
     assert order_minhash.near_duplicates(docs_of(llm, [])).count() == 0
 
 
+def test_links_that_are_stars_take_no_round(llm):
+    links = llm.createDataFrame([(1, 5), (6, 1), (2, 8), (3, 3), (1, 7)], "a long, b long")
+    before = stored_files(llm)
+    assert {r.node: r.component for r in connected_components(links).collect()} == {1: 1, 5: 1, 6: 1, 7: 1, 2: 2, 8: 2}
+    assert len(stored_files(llm)) == len(before) + 1
+
+
 def test_components(llm):
     pick = random.Random(3)
     edges = [(pick.randrange(60), pick.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 140)] + [(200, 201 + i) for i in range(50)]
