@@ -12,7 +12,7 @@ from knownby.catalog.pit_queries import WEEK_AS_OF, WEEK_AT
 from knownby.catalog.research_queries import REQUEST, _SEVEN, coverage, instruments, market_mappings
 from knownby.operators import screens
 from knownby.plans import daily, workflows
-from knownby.session import checkpoint_dir
+from knownby.session import checkpoint_dir, materialize
 from knownby.catalog.domain_queries import WINDOWS, company_events, week_bars
 from knownby.catalog.source_queries import _request, loaded
 from knownby.sources import bars as bar_sources
@@ -88,8 +88,11 @@ def _(spark, sf):
 def _(spark, sf):
     root = scratch(spark)
     bars = instruments(spark, sf).withColumns({c: F.col("close") for c in ("open", "high", "low")})
+    # Three micro-batches, each with weeks of all years and of every security: without a number of files, tables of any size
+    # were cut into ever more batches, each of which recomputes all that is stored.
+    bars = bars.repartition(12, "security_id", "session_date")
     benchmarks = daily.member_benchmarks(coverage(spark, sf), market_mappings(spark, sf), as_of=REQUEST.as_of)
-    factors = benchmarks.select("security_id", "market_id", "sector_id")
+    factors = materialize(benchmarks.select("security_id", "market_id", "sector_id"))
     drained(live.recompute_touched(replay(spark, bars, root), bars_path=f"{root}/bars", factors=factors, results_path=f"{root}/results",
                                    checkpoint=f"{root}/checkpoint", table=PRICE_BARS))
     results = spark.read.parquet(f"{root}/results")

@@ -69,3 +69,15 @@ def trailing_moments(df: DataFrame, *, keys: Sequence[str], order: str, groups:
                 within = (side("__tail", field) * n1 + side("__head", field) * n2) / n
                 added[f"__{field}"] = merged(field, within + step(i) * step(j) * (n1 / n) * (n2 / n))
     return work.withColumns(added).drop("__head", "__tail")
+
+
+def moments_within(groups: Sequence[Sequence[str]], inside: Column) -> list[Column]:
+    """What ``trailing_moments`` adds of each group, as aggregates over the rows of a series that lie ``inside`` one window."""
+    out = []
+    for g, columns in enumerate(groups):
+        held = [F.when(inside, F.col(c)) for c in columns]
+        out.append(F.count(held[0]).cast("double").alias(f"__n{g}"))
+        for i, c in enumerate(held):
+            out.append(F.avg(c).alias(f"__m{g}_{i}"))
+            out += [F.covar_pop(c, held[j]).alias(f"__c{g}_{i}_{j}") for j in range(i, len(held))]
+    return out

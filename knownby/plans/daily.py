@@ -7,14 +7,16 @@ are joined by (benchmark, session).
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from knownby.functions.ids import iso_instant, research_id
-from knownby.functions.numeric import finite
+from knownby.functions.numeric import dispersed, finite, ratio
 from knownby.operators.intervals import active_coverage_members, benchmark_as_of
+from knownby.operators.moments import moments_within
 from knownby.operators.pit import Instant, instant, latest_by, utc
 from knownby.operators.research import (
     PRICE_COMPONENTS, Materiality, build_cards, build_price_findings, price_bar_evidence, price_components, score_materiality,
@@ -22,8 +24,8 @@ from knownby.operators.research import (
 from knownby.operators.scale import attach
 from knownby.session import materialize
 from knownby.operators.series import (
-    abnormal_returns, relative_return, rolling_beta, rolling_total_return, rolling_volatility,
-    simple_returns, volume_zscore,
+    abnormal_returns, beta_of, beta_rows, fit_columns, fit_rows, latest_abnormal_returns, log_volume, relative_return, rolling_beta,
+    rolling_total_return, rolling_volatility, simple_returns, volume_zscore,
 )
 
 # Feature name, snapshot column, unit, window; and the feature version.
@@ -105,52 +107,51 @@ def usable_factors(benchmarks: DataFrame, priced: DataFrame) -> DataFrame:
 
 
 def session_returns(bars: DataFrame) -> DataFrame:
-    """One row per (security, session) with the adjusted close and its simple return."""
-    unique = latest_by(bars, keys=["security_id", "session_date"], order=["available_at", "effective_at", "source_record_id"])
+    """One row per (security, session) with the adjusted close and its simple return, and what features read beside them."""
+    order = ["available_at", "effective_at", "source_record_id"]
+    # Only these: a whole bar would be carried through the selection's sorts and its shuffle.
+    read = bars.select("security_id", "session_date", "close", "adjusted_close", "volume", *order)
+    unique = latest_by(read, keys=["security_id", "session_date"], order=order)
     priced = unique.withColumn("adjusted_close", F.coalesce("adjusted_close", "close"))
     return simple_returns(priced, keys=["security_id"], order="session_date", value="adjusted_close", name="ret")
 
 
-def price_features(series: DataFrame, factors: DataFrame, *, benchmarks: DataFrame | None = None, totals: DataFrame | None = None) -> DataFrame:
-    """The seven price features of every member at every session.
-
-    ``factors`` has (security_id, market_id, sector_id) after ``usable_factors``.
-    Benchmark returns come from the benchmark's own sessions, in ``benchmarks`` where that is not the series itself.
-    ``totals`` (security_id, bars, observations) are the counts of a member whose earlier sessions are left out of the series.
-    """
-    used = factors.select(F.explode(F.array("market_id", "sector_id")).alias("security_id")).where(
-        "security_id is not null"
-    ).distinct()
-    bench = (series if benchmarks is None else benchmarks).join(used, "security_id", "left_semi").select("security_id", "session_date", "ret")
+def beside_benchmarks(series: DataFrame, factors: DataFrame, bench: DataFrame) -> DataFrame:
+    """Rows of members beside the returns of their benchmarks: the first factor of their fits, the second and the sector."""
     as_side = lambda n: bench.select(
         F.col("security_id").alias(f"{n}_id"), "session_date", F.col("ret").alias(f"{n}_ret")
     )
     # Only what the windows need travels through them.
     work = (
-        series.select("security_id", "session_date", "effective_at", "close", "volume", "ret")
-        .join(factors, "security_id")
+        series.join(factors, "security_id")
         .join(as_side("market"), ["market_id", "session_date"], "left")
         .join(as_side("sector"), ["sector_id", "session_date"], "left")
     )
-    keys, t = ["security_id"], "session_date"
     has_market, has_sector = F.col("market_id").isNotNull(), F.col("sector_id").isNotNull()
     work = work.withColumn(
         "factor_1", F.when(has_market, F.col("market_ret")).otherwise(F.col("sector_ret"))
     ).withColumn("factor_2", F.when(has_market & has_sector, F.col("sector_ret")))
-    work = work.drop("market_ret")
-    work = abnormal_returns(work, keys=keys, order=t, asset="ret", factors=["factor_1", "factor_2"],
-                            first_factor_only=~(has_market & has_sector))
-    work = volume_zscore(work, keys=keys, order=t, volume=F.col("close") * F.col("volume"), window=20, minimum=20)
-    work = rolling_volatility(work, keys=keys, order=t, value="ret", window=20, name="realized_volatility_20d")
-    work = rolling_beta(work, keys=keys, order=t, asset="ret", benchmark="factor_1", name="beta_126d")
-    work = relative_return(work, asset="ret", benchmark="sector_ret", name="__rel")
-    work = rolling_total_return(work, keys=keys, order=t, value="__rel", window=63, name="relative_return_sector_63d")
-    if totals is None:
-        path = Window.partitionBy(*keys).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
-        work = work.withColumns({"observations": F.count(finite("ret")).over(path), "bars": F.count(F.lit(1)).over(path)})
-    else:
-        work = work.join(totals, "security_id")
-    deep = F.col("observations") >= MINIMUM_RETURNS
+    return work.drop("market_ret")
+
+
+def benchmark_ids(factors: DataFrame) -> DataFrame:
+    return factors.select(F.explode(F.array("market_id", "sector_id")).alias("security_id")).where(
+        "security_id is not null"
+    ).distinct()
+
+
+def benchmark_rows(series: DataFrame, factors: DataFrame) -> DataFrame:
+    return series.join(benchmark_ids(factors), "security_id", "left_semi").select("security_id", "session_date", "ret")
+
+
+def one_factor() -> Column:
+    """Whether a member's fit has one factor: it lacks the market or the sector."""
+    return ~(F.col("market_id").isNotNull() & F.col("sector_id").isNotNull())
+
+
+def shown(work: DataFrame) -> DataFrame:
+    """The price features as they are returned; those of short series are missing."""
+    deep, has_sector = F.col("observations") >= MINIMUM_RETURNS, F.col("sector_id").isNotNull()
     return work.select(
         "security_id", "session_date", "effective_at", "bars", "observations", "market_id", "sector_id",
         F.col("ret").alias("daily_return"),
@@ -163,17 +164,64 @@ def price_features(series: DataFrame, factors: DataFrame, *, benchmarks: DataFra
     )
 
 
+def price_features(series: DataFrame, factors: DataFrame) -> DataFrame:
+    """The seven price features of every member at every session.
+
+    ``factors`` has (security_id, market_id, sector_id) after ``usable_factors``.
+    Benchmark returns come from the benchmark's own sessions.
+    """
+    work = beside_benchmarks(series.select("security_id", "session_date", "effective_at", "close", "volume", "ret"), factors, benchmark_rows(series, factors))
+    keys, t = ["security_id"], "session_date"
+    work = abnormal_returns(work, keys=keys, order=t, asset="ret", factors=["factor_1", "factor_2"], first_factor_only=one_factor())
+    work = volume_zscore(work, keys=keys, order=t, volume=F.col("close") * F.col("volume"), window=20, minimum=20)
+    work = rolling_volatility(work, keys=keys, order=t, value="ret", window=20, name="realized_volatility_20d")
+    work = rolling_beta(work, keys=keys, order=t, asset="ret", benchmark="factor_1", name="beta_126d")
+    work = relative_return(work, asset="ret", benchmark="sector_ret", name="__rel")
+    work = rolling_total_return(work, keys=keys, order=t, value="__rel", window=63, name="relative_return_sector_63d")
+    path = Window.partitionBy(*keys).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
+    return shown(work.withColumns({"observations": F.count(finite("ret")).over(path), "bars": F.count(F.lit(1)).over(path)}))
+
+
 def latest_features(series: DataFrame, factors: DataFrame) -> DataFrame:
     """The last row of ``price_features`` for each member, from the sessions that row looks at.
 
-    The windows run over ``SESSIONS`` rows a member however long the history is; its length is counted by an aggregation.
-    The series is stored first: the counts, the trailing sessions and both sides of benchmarks read it.
+    Every window of the last row is a range of the ``SESSIONS`` rows that end with it, so one aggregation of those rows gives
+    all of them; no window moves. Those rows and the whole series of benchmarks are stored first: members and both sides of
+    benchmarks read them.
     """
-    series = materialize(series.select("security_id", "session_date", "effective_at", "close", "volume", "ret"))
-    totals = series.groupBy("security_id").agg(F.count(F.lit(1)).alias("bars"), F.count(finite("ret")).alias("observations"))
-    newest_first = Window.partitionBy("security_id").orderBy(F.col("session_date").desc())
-    recent = series.withColumn("__back", F.row_number().over(newest_first)).where(F.col("__back") <= SESSIONS).drop("__back")
-    return last_session(price_features(recent, factors, benchmarks=series, totals=totals))
+    whole = Window.partitionBy("security_id")
+    series = series.select("security_id", "session_date", "effective_at", "close", "volume", "ret").withColumns({
+        "bars": F.count(F.lit(1)).over(whole), "observations": F.count(finite("ret")).over(whole),
+        "__at": F.row_number().over(whole.orderBy("session_date"))})
+    series = series.withColumn("__back", F.col("bars") - F.col("__at") + 1).drop("__at")
+    used = benchmark_ids(factors).withColumn("__side", F.lit(True))
+    series = materialize(series.join(used, "security_id", "left").where((F.col("__back") <= SESSIONS) | F.col("__side")).drop("__side"))
+    # Stored, so that Spark knows how few rows benchmarks are and leaves the members' where they lie.
+    bench = materialize(benchmark_rows(series, factors))
+    work = beside_benchmarks(series.where(F.col("__back") <= SESSIONS), factors, bench)
+    pair = ["factor_1", "factor_2"]
+    raw, alone = fit_columns("ret", pair, one_factor())
+    work = beta_rows(fit_rows(relative_return(work, asset="ret", benchmark="sector_ret", name="__rel"), raw), "ret", "factor_1")
+    work = work.withColumns({"__logged": finite(log_volume(F.col("close") * F.col("volume"))), "__ret": finite("ret"), "__rel": finite("__rel")})
+
+    def rows(first: int, last: int) -> Column:
+        """Between so many rows from the end, which is 1."""
+        return F.col("__back").between(first, last)
+
+    def held(name: str, first: int, last: int) -> Column:
+        return F.when(rows(first, last), F.col(name))
+
+    own = ["session_date", "effective_at", "bars", "observations", "ret", *pair, "sector_ret", "__logged"]
+    logged, ret, rel = held("__logged", 2, 21), held("__ret", 1, 20), held("__rel", 1, 63)
+    last = work.groupBy("security_id", "market_id", "sector_id").agg(
+        *[F.max(held(c, 1, 1)).alias(c) for c in own],
+        *moments_within([["__u0", "__u1", "__u2"], ["__y", "__x"], ["__own"]], rows(2, SESSIONS)),
+        F.when(F.count(logged) >= 20, ratio(F.max(held("__logged", 1, 1)) - F.avg(logged), dispersed(F.stddev_samp(logged), F.avg(logged)))).alias("volume_zscore"),
+        F.when(F.count(ret) >= 20, F.stddev_samp(ret) * F.lit(math.sqrt(252))).alias("realized_volatility_20d"),
+        F.when(F.count(rel) >= 63, F.product(F.lit(1.0) + rel) - F.lit(1.0)).alias("relative_return_sector_63d"),
+    )
+    last = last.withColumns({"beta_126d": beta_of(1, 2, MINIMUM_RETURNS), "__alone": alone} | {f"__v{i}": c for i, c in enumerate(raw)})
+    return shown(latest_abnormal_returns(work, last, keys=["security_id"], back="__back", factors=pair))
 
 
 def last_session(features: DataFrame) -> DataFrame:

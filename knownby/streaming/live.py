@@ -110,9 +110,8 @@ def recompute_touched(stream: DataFrame, *, bars_path: str, factors: DataFrame,
         spark: SparkSession = batch.sparkSession
         append_vintages(spark, bars_path, batch, table)
         arrived = batch.select("security_id").distinct()
-        hit = factors.join(arrived, "security_id", "left_semi")
-        for side in ("market_id", "sector_id"):
-            hit = hit.unionByName(factors.join(arrived.withColumnRenamed("security_id", side), side, "left_semi").select(*factors.columns))
+        sides = factors.withColumn("__side", F.explode(F.array("security_id", "market_id", "sector_id")))
+        hit = sides.join(arrived.withColumnRenamed("security_id", "__side"), "__side", "left_semi").drop("__side")
         hit = materialize(hit.distinct())  # read by every step below; the batch is not
         needed = hit.select(F.explode(F.array("security_id", "market_id", "sector_id")).alias("security_id")).where(
             "security_id is not null"

@@ -359,3 +359,105 @@ def test_latest_features_equal_the_last_row_of_all(spark):
         for column, value in row.asDict().items():
             got = recent[name][column]
             assert got == value if not isinstance(value, float) else got == pytest.approx(value, rel=1e-9)
+
+
+def test_appends_write_few_files_and_keep_every_row(spark):
+    from glob import glob
+
+    path = folder() + "/table"
+    bars_of = lambda names: spark.createDataFrame([bar(n, d, float(d)) for n in names for d in range(1, 29)], BAR).withColumn(
+        "effective_at", F.expr("effective_at + make_interval(0, cast(close as int) % 5, 0, 0, 0, 0, 0)")).repartition(16)
+    assert appends.append_vintages(spark, path, bars_of("ab"), appends.PRICE_BARS) == 56
+    assert len(glob(f"{path}/*/*.parquet")) == 5  # one for each month, not one from each of the tasks
+    # The next has bars that are stored, bars that are new, and repeats of its own.
+    more = bars_of("bc")
+    assert appends.append_vintages(spark, path, more.unionByName(more.where("security_id = 'c'")), appends.PRICE_BARS) == 28
+    stored = appends.read_vintages(spark, path)
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, bars_of("abc").select(*stored.columns).collect()))
+    assert appends.append_vintages(spark, path, bars_of("abc"), appends.PRICE_BARS) == 0
+
+
+def test_latest_features_of_dependent_benchmarks_move_no_window(spark):
+    import random
+    from datetime import date, timedelta
+
+    from knownby.plans import daily
+
+    pick, rows = random.Random(5), []
+    moves = {"m": [pick.gauss(0, 0.02) for _ in range(200)]}
+    moves["copy"] = moves["m"]  # repeats the market: not of full rank
+    moves["near"] = [0.5 * r + 1e-7 * pick.gauss(0, 1) for r in moves["m"]]  # close to it: fitted on its rows
+    moves["flat"] = [0.0] * 200
+    for name in ("p", "q", "r", "s", "t"):
+        moves[name] = [pick.gauss(0, 0.02) + 0.8 * r for r in moves["m"]]
+    for name, returns in moves.items():
+        price = 100.0
+        for i, r in enumerate(returns):
+            price *= 1 + r
+            if name != "t" or i >= 110:
+                rows.append((name, date(2020, 1, 1) + timedelta(days=i), price, 1000.0 + pick.random()))
+    df = spark.createDataFrame(rows, "security_id string, session_date date, close double, volume double")
+    df = df.withColumns({"adjusted_close": F.col("close"), "effective_at": F.col("session_date").cast("timestamp"), "available_at": F.col("session_date").cast("timestamp"), "source_record_id": F.lit("r")})
+    returns = daily.session_returns(df)
+    factors = spark.createDataFrame([("p", "m", "copy"), ("q", "m", "near"), ("r", None, "flat"), ("s", "m", None), ("t", "m", "near")],
+                                    "security_id string, market_id string, sector_id string")
+    whole = {r.security_id: r.asDict() for r in daily.last_session(daily.price_features(returns, factors)).collect()}
+    latest = daily.latest_features(returns, factors)
+    recent = {r.security_id: r.asDict() for r in latest.collect()}
+    assert set(whole) == set(recent) == {"p", "q", "r", "s", "t"}
+    for name, row in whole.items():
+        for column, value in row.items():
+            got = recent[name][column]
+            assert got == value if not isinstance(value, float) else got == pytest.approx(value, rel=1e-6, abs=1e-12), (name, column)
+    assert recent["p"]["residual_return"] is None and recent["q"]["residual_return"] is not None
+    assert "Window" not in latest._jdf.queryExecution().executedPlan().toString()
+
+
+def test_touched_securities_are_those_of_the_batch_and_of_its_benchmarks(spark, tmp_path):
+    from datetime import date, datetime, timedelta, timezone
+
+    rows = []
+    for name in ("a", "b", "m"):
+        for i in range(30):
+            at = datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(days=i)
+            rows.append((name, "1d", "s", at, at, date(2024, 1, 1) + timedelta(days=i), 100.0 + i % 7, f"{name}{i}"))
+    df = spark.createDataFrame(rows, "security_id string, frequency string, source string, effective_at timestamp, available_at timestamp, session_date date, close double, source_record_id string")
+    df = df.withColumns({c: F.col("close") for c in ("open", "high", "low", "adjusted_close", "volume")})
+    factors = spark.createDataFrame([("a", "m", None), ("b", None, None)], "security_id string, market_id string, sector_id string")
+    touched = []
+    for k, part in enumerate(("security_id in ('a', 'b')", "security_id = 'm'", "security_id = 'b' and session_date > '2024-01-20'")):
+        batch = df.where(part)
+        if k == 2:
+            batch = batch.withColumn("effective_at", F.col("effective_at") + F.expr("interval 1 hour"))
+        batch.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = live.recompute_touched(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), bars_path=str(tmp_path / "bars"), factors=factors,
+                                       results_path=str(tmp_path / "results"), checkpoint=str(tmp_path / "check"), table=appends.PRICE_BARS)
+        query.awaitTermination()
+        touched.append({r.security_id: r.benchmark_return for r in spark.read.parquet(str(tmp_path / f"results/batch={k}")).collect()})
+    assert [set(t) for t in touched] == [{"a", "b"}, {"a"}, {"b"}]
+    assert touched[0]["a"] is None and touched[1]["a"] == pytest.approx(101.0 / 100.0 - 1)
+
+
+def test_replayed_bars_come_in_as_many_batches_whatever_their_size(spark, monkeypatch):
+    from knownby.catalog import QUERIES, stream_queries
+
+    class Seen(Exception):
+        pass
+
+    def seen(_spark, df, _root):
+        raise Seen(df.rdd.getNumPartitions())
+
+    monkeypatch.setattr(stream_queries, "replay", seen)
+    files = set()
+    for parts in ("3", "60"):  # what larger tables are cut into
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "4k" if parts == "60" else "128m")
+        try:
+            QUERIES["q4_recompute_touched"](spark, "/root/testdata/sf0.001")
+        except Seen as found:
+            files.add(found.args[0])
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert files == {12}
