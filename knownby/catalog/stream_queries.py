@@ -88,8 +88,8 @@ def _(spark, sf):
 def _(spark, sf):
     root = scratch(spark)
     bars = instruments(spark, sf).withColumns({c: F.col("close") for c in ("open", "high", "low")})
-    # Three micro-batches, each with weeks of all years and of every security: without a number of files, tables of any size
-    # were cut into ever more batches, each of which recomputes all that is stored.
+    # Three micro-batches, each with weeks of all years and of every security. As many files as the plan has partitions would be
+    # more batches for a larger table, each of which recomputes all that is stored.
     bars = bars.repartition(12, "security_id", "session_date")
     benchmarks = daily.member_benchmarks(coverage(spark, sf), market_mappings(spark, sf), as_of=REQUEST.as_of)
     factors = materialize(benchmarks.select("security_id", "market_id", "sector_id"))

@@ -88,14 +88,15 @@ def trailing_bars(spark: SparkSession, path: str, securities: DataFrame, session
     stored = spark.read.parquet(path)
     months = sorted((row[0] for row in stored.select(PERIOD).distinct().collect()), reverse=True)  # at most the months there are
     counted, taken, step = None, 0, 2 * sessions // 21 + 1
-    while taken < len(months):
-        more = months[taken:taken + step]
-        fresh = stored.where(F.col(PERIOD).isin(more)).join(securities, "security_id", "left_semi")
+    while taken + step < len(months):  # once the oldest month is taken, no count would change what is read
+        fresh = stored.where(F.col(PERIOD).isin(months[taken:taken + step])).join(securities, "security_id", "left_semi")
         fresh = fresh.groupBy("security_id").agg(F.count_distinct("session_date").alias("n"))
         counted = materialize(fresh if counted is None else counted.unionByName(fresh).groupBy("security_id").agg(F.sum("n").alias("n")))
-        taken, step = taken + len(more), step * 2
+        taken, step = taken + step, step * 2
         if securities.join(counted.where(F.col("n") >= sessions), "security_id", "left_anti").isEmpty():
             break
+    else:
+        taken = len(months)
     return stored.where(F.col(PERIOD).isin(months[:taken])).drop(PERIOD)
 
 

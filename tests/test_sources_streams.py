@@ -461,3 +461,16 @@ def test_replayed_bars_come_in_as_many_batches_whatever_their_size(spark, monkey
             spark.conf.set("spark.sql.shuffle.partitions", before)
             spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert files == {12}
+
+
+def test_short_histories_are_read_without_counting(spark, monkeypatch):
+    path = folder() + "/bars"
+    at = F.col("effective_at") + F.expr("make_interval(0, cast(close as int) % 5, 0, 0, 0, 0, 0)")
+    rows = spark.createDataFrame([bar("a", d, float(d)) for d in range(1, 29)], BAR).withColumn("effective_at", at).withColumn("session_date", F.to_date("effective_at"))
+    appends.append_vintages(spark, path, rows, appends.PRICE_BARS)
+    counts = []
+    monkeypatch.setattr(live, "materialize", lambda df: counts.append(1) or df)
+    only = spark.createDataFrame([("a",)], "security_id string")
+    assert live.trailing_bars(spark, path, only, 128).count() == 28 and not counts
+    # Of five months the first turn takes one, the second two more, which hold enough.
+    assert live.trailing_bars(spark, path, only, 10).count() == 17 and len(counts) == 2
